@@ -132,3 +132,14 @@ def confidence_band(confidence: Column) -> Column:
         .when(confidence >= 0.6, F.lit("medium"))
         .otherwise(F.lit("low"))
     )
+
+
+def coerced(raw: Mapping[str, Column]) -> Column:
+    """struct(record_valid, vehicle) from text values; one unreadable value voids the record."""
+    cast = {f: v.try_cast(FIELD_TYPES[f]) for f, v in raw.items()}
+    valid = F.lit(True)
+    for f, v in raw.items():
+        valid = valid & (v.isNull() | cast[f].isNotNull())
+    return F.struct(
+        valid.alias("record_valid"), F.when(valid, vehicle(cast)).alias("vehicle")
+    )

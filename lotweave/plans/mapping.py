@@ -49,6 +49,7 @@ def _map_one(r: Column) -> Column:
                 s["value"].alias("value"),
                 s["number"].alias("number"),
                 F.exists(cleaned, lambda c: c["number"].isNotNull()).alias("has_number"),
+                (F.size(cleaned) > 1).alias("is_list"),
                 F.coalesce(s.isNotNull() | (F.size(cleaned) > 1), F.lit(False)).alias("success"),
             ),
         )
@@ -56,7 +57,7 @@ def _map_one(r: Column) -> Column:
     static = F.struct(
         r["field"].alias("field"), r["ordinal"].alias("ordinal"), F.array(r["rule"]).alias("values"),
         r["rule"].alias("value"), F.lit(None).cast("int").alias("number"),
-        F.lit(False).alias("has_number"), F.lit(True).alias("success"),
+        F.lit(False).alias("has_number"), F.lit(False).alias("is_list"), F.lit(True).alias("success"),
     )
     return F.when(r["kind"] == "static", static).otherwise(
         let(let(F.when(r["kind"].isin("css", "xpath"), match(r["steps"])), found), pack)
@@ -117,7 +118,7 @@ def _as_int(f: Column) -> tuple[Column, Column]:
 
 
 def _as_list(f: Column) -> tuple[Column, Column]:
-    ok = f["success"].isNull() | ((F.size(f["values"]) > 1) & ~f["has_number"])
+    ok = f["success"].isNull() | (f["is_list"] & ~f["has_number"])
     return f["values"], ok
 
 
@@ -157,7 +158,8 @@ def to_vehicle(fields: Column) -> Column:
         pick(fields, "dealer.name").alias("in_dealer_name"),
         pick(fields, "dealer.phone").alias("in_dealer_phone"),
     )
-    return let(picked, build)
+    some = F.exists(fields, lambda f: f["success"])
+    return F.when(some, let(picked, build))
 
 
 def map_vehicles(mapped: DataFrame, fields: str = "fields") -> DataFrame:
@@ -216,6 +218,7 @@ def _preview_one(r: Column) -> Column:
                 F.when(x["error"].isNull() & (n > 0), F.when(n > 1, kept).otherwise(F.array(x["value"]))).alias("values"),
                 x["value"].alias("value"), x["number"].alias("number"),
                 F.exists(cleaned, lambda c: c["number"].isNotNull()).alias("has_number"),
+                (n > 1).alias("is_list"),
                 F.coalesce(x["error"].isNull() & (x["value"].isNotNull() | (n > 1)), F.lit(False)).alias("success"),
                 x["error"].alias("error"), r["selector"].alias("selector"), r["selector_type"].alias("selector_type"),
             ),
@@ -229,7 +232,7 @@ def _preview_one(r: Column) -> Column:
     static = F.struct(
         field.alias("field"), r["ordinal"].alias("ordinal"), F.array(r["rule"]).alias("values"),
         r["rule"].alias("value"), F.lit(None).cast("int").alias("number"), F.lit(False).alias("has_number"),
-        F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"),
+        F.lit(False).alias("is_list"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("string").alias("selector"), F.lit("static").alias("selector_type"),
     )
     return F.when(kind == "static", static).otherwise(let(match(r["steps"]), found))

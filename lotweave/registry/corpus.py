@@ -136,7 +136,7 @@ SITE_OF_PAGE = "CASE page_id % 4 WHEN 0 THEN 'cars_com' WHEN 1 THEN 'carfax' WHE
 
 REQUEST_VALUE = f"""CASE listing_id % 8
   WHEN 0 THEN vin WHEN 1 THEN {URL} WHEN 2 THEN lower(vin)
-  WHEN 3 THEN concat('www.', host, '/x') WHEN 4 THEN substr(vin, 1, 16) WHEN 5 THEN concat(vin, 'Z')
+  WHEN 3 THEN concat('www.', host, '/x') WHEN 4 THEN substr(vin, 1, 16) WHEN 5 THEN vin || 'Z'
   WHEN 6 THEN '  ' ELSE concat('https://', host, '/gone/', cast(listing_id AS string)) END"""
 
 
