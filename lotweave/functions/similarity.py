@@ -14,7 +14,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @F.pandas_udf(T.DoubleType())
-def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts; null pairs are skipped."""
     from difflib import SequenceMatcher
 
@@ -25,3 +25,7 @@ def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         ],
         dtype="float64",
     )
+
+
+# Never copied into a pushed-down filter or join condition: each pair is compared once.
+text_ratio = _ratio.asNondeterministic()

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,71 +42,93 @@ def blank_to_null(text: Column) -> Column:
 
 # --- fixed selectors ---------------------------------------------------------------------------
 
+def literal(text: str) -> str:
+    """A string as a SQL literal; patterns keep their backslashes."""
+    return "r'" + text.replace("'", "\\'") + "'" if "'" not in text else '"' + text + '"'
+
 
 @dataclass(frozen=True)
 class Step:
-    """One compound of a selector; ``child`` means the direct-child combinator."""
+    """One compound of a selector; ``child`` means the direct-child combinator.
+
+    Fixed selectors are written out as SQL lambdas: one expression string per selector instead of
+    hundreds of small Column calls when a plan is built.
+    """
 
     tag: str | None = None
     cls: str | None = None
     attr: tuple[str, str, str] | None = None  # name, op ('=', '*=', '^='), value
     child: bool = False
 
-    def test(self, n: Column) -> Column:
+    def sql(self, n: str) -> str:
         tests = []
         if self.tag:
-            tests.append(n.tag == self.tag)
+            tests.append(f"{n}.tag = {literal(self.tag)}")
         if self.cls:
-            tests.append(F.array_contains(n.classes, self.cls))
+            tests.append(f"array_contains({n}.classes, {literal(self.cls)})")
         if self.attr:
             name, op, value = self.attr
-            got = F.array_join(n.classes, " ") if name == "class" else n.attrs[name]
-            tests.append(F.coalesce(_compare(got, F.lit(op), F.lit(value)), F.lit(False)))
-        out = F.lit(True)
-        for t in tests:
-            out = t if out is None else out & t
-        return out
-
-
-def _compare(got: Column, op: Column, value: Column) -> Column:
-    return (
-        F.when(op == "exists", got.isNotNull())
-        .when(op == "=", got == value)
-        .when(op == "*=", (value != "") & F.contains(got, value))
-        .when(op == "^=", (value != "") & F.startswith(got, value))
-        .when(op == "$=", (value != "") & F.endswith(got, value))
-        .when(op == "~=", F.array_contains(F.split(got, r"\s+"), value))
-    )
+            got = f"array_join({n}.classes, ' ')" if name == "class" else f"{n}.attrs[{literal(name)}]"
+            call = {"=": "{0} = {1}", "*=": "contains({0}, {1})", "^=": "startswith({0}, {1})"}[op]
+            tests.append(f"coalesce({call.format(got, literal(value))}, false)")
+        return " AND ".join(tests) or "true"
+
+
+def select_sql(steps: list[Step]) -> str:
+    found = f"filter(nodes, n0 -> {steps[0].sql('n0')})"
+    for i, step in enumerate(steps[1:], 1):
+        placed = f"s.id = n{i}.parent" if step.child else f"s.id < n{i}.id AND n{i}.id <= s.last"
+        keep = f"n{i} -> {step.sql(f'n{i}')} AND exists(c{i}, s -> {placed})"
+        found = f"get(transform(array({found}), c{i} -> filter(nodes, {keep})), 0)"
+    return found
 
 
-def below(spans: Column, n: Column) -> Column:
-    """Is ``n`` inside one of the candidate intervals?"""
-    return F.exists(spans, lambda c: (c.id < n.id) & (n.id <= c.last))
+def element_sql(e: str) -> str:
+    """Text of an element, each piece stripped and joined without a separator."""
+    mine = f"slice(texts, {e}.t0 + 1, {e}.t1 - {e}.t0)"
+    shown = f"filter({mine}, t -> t.kind = 'text' OR (t.kind = 'hidden' AND t.owner = {e}.id))"
+    return f"array_join(transform({shown}, t -> btrim(t.text, '{WHITESPACE}')), '')"
 
 
 def select(steps: list[Step]) -> Column:
     """All nodes matching the steps, in document order."""
-    found = F.filter(F.col("nodes"), steps[0].test)
-    for step in steps[1:]:
-        found = let(found, partial(_narrow, step))
-    return found
+    return F.expr(select_sql(steps))
 
 
-def _narrow(step: Step, spans: Column) -> Column:
-    def keep(n: Column) -> Column:
-        placed = F.exists(spans, lambda c: c.id == n.parent) if step.child else below(spans, n)
-        return step.test(n) & placed
+def first(steps: list[Step]) -> Column:
+    return F.expr(f"get({select_sql(steps)}, 0)")
 
-    return F.filter(F.col("nodes"), keep)
 
+def text_of(*choices: list[Step]) -> Column:
+    """Text of the first element that exists among the choices, null when none does."""
+    found = ", ".join(f"get({select_sql(c)}, 0)" for c in choices)
+    return F.expr(f"get(transform(array(coalesce({found})), e -> {element_sql('e')}), 0)")
+
+
+def texts_of(cascade: list[list[Step]]) -> Column:
+    """Texts of the elements found by the first selector that finds any."""
+    return F.expr(f"transform({cascade_sql(cascade)}, e -> {element_sql('e')})")
 
-def first(steps: list[Step]) -> Column:
-    return F.get(select(steps), F.lit(0))
 
+def cascade_sql(cascade: list[list[Step]]) -> str:
+    tries = [f"get(transform(array({select_sql(s)}), m -> if(size(m) > 0, m, null)), 0)" for s in cascade]
+    return f"coalesce({', '.join(tries)})"
 
-def within(n: Column) -> Column:
-    """Descendants of a node."""
-    return F.slice(F.col("nodes"), n.id + 1, n.last - n.id)
+
+def below(spans: Column, n: Column) -> Column:
+    """Is ``n`` inside one of the candidate intervals?"""
+    return F.exists(spans, lambda c: (c.id < n.id) & (n.id <= c.last))
+
+
+def _compare(got: Column, op: Column, value: Column) -> Column:
+    return (
+        F.when(op == "exists", got.isNotNull())
+        .when(op == "=", got == value)
+        .when(op == "*=", (value != "") & F.contains(got, value))
+        .when(op == "^=", (value != "") & F.startswith(got, value))
+        .when(op == "$=", (value != "") & F.endswith(got, value))
+        .when(op == "~=", F.array_contains(F.split(got, r"\s+"), value))
+    )
 
 
 # --- text of elements --------------------------------------------------------------------------
@@ -130,20 +151,18 @@ def element_text(n: Column) -> Column:
 
 def page_text() -> Column:
     """Visible text of the page, pieces joined as they are (scripts, styles, comments dropped)."""
-    return F.array_join(
-        F.transform(F.filter(F.col("texts"), lambda t: t.kind == "text"), lambda t: t.text), ""
-    )
+    return F.expr("array_join(transform(filter(texts, t -> t.kind = 'text'), t -> t.text), '')")
 
 
 def page_lines() -> Column:
     """Visible text, one stripped piece per line, empty pieces dropped."""
-    pieces = F.transform(F.filter(F.col("texts"), lambda t: t.kind == "text"), lambda t: strip(t.text))
-    return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
+    pieces = f"transform(filter(texts, t -> t.kind = 'text'), t -> btrim(t.text, '{WHITESPACE}'))"
+    return F.expr(f"array_join(filter({pieces}, p -> p <> ''), '\\n')")
 
 
 def first_text(pattern: str) -> Column:
     """First string of the page (of any kind) matching a regex: struct owner, kind, text."""
-    return F.get(F.filter(F.col("texts"), lambda t: t.text.rlike(pattern)), F.lit(0))
+    return F.expr(f"get(filter(texts, t -> t.text RLIKE {literal(pattern)}), 0)")
 
 
 def owner_node(text: Column) -> Column:

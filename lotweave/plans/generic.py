@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotweave.functions import record, values, web
 from lotweave.operators.selectors import (
-    Step, blank_to_null, element_text, first, let, link_value, only, page_text, strip, within,
+    Step, blank_to_null, element_sql, let, link_value, only, page_text, strip, text_of,
 )
 
 LOW_CONFIDENCE = "Insufficient data for confident parsing"
@@ -16,13 +16,13 @@ LOW_CONFIDENCE = "Insufficient data for confident parsing"
 def title() -> Column:
     """First of h1, title and h2 whose text parses as year make model."""
     return F.coalesce(
-        *[let(let(first([Step(tag=t)]), element_text), values.text_title) for t in ("h1", "title", "h2")]
+        *[let(text_of([Step(tag=t)]), values.text_title) for t in ("h1", "title", "h2")]
     )
 
 
 def dealer_name() -> Column:
     """First element classed as dealer, seller or contact, if its text is short."""
-    texts = [let(first([Step(attr=("class", "*=", w))]), element_text) for w in ("dealer", "seller", "contact")]
+    texts = [text_of([Step(attr=("class", "*=", w))]) for w in ("dealer", "seller", "contact")]
     return F.coalesce(*[only(t, lambda x: F.length(x) < 100) for t in texts])
 
 
@@ -43,17 +43,10 @@ def images(url: Column) -> Column:
 def features() -> Column:
     """Items of lists with 3 to 20 entries, 5 to 50 characters long, first fifteen."""
 
-    def items(box: Column) -> Column:
-        return let(
-            F.filter(within(box), lambda n: n.tag == "li"),
-            lambda li: F.when(F.size(li).between(3, 20), F.transform(li, element_text)).otherwise(
-                F.array().cast("array<string>")
-            ),
-        )
-
-    lists = F.filter(F.col("nodes"), lambda n: n.tag.isin("ul", "ol"))
-    good = F.filter(F.flatten(F.transform(lists, items)), lambda s: F.length(s).between(5, 50))
-    return F.slice(good, 1, 15)
+    items = "filter(slice(nodes, b.id + 1, b.last - b.id), n -> n.tag = 'li')"
+    texts = f"if(size(li) BETWEEN 3 AND 20, transform(li, e -> {element_sql('e')}), array())"
+    lists = f"transform(filter(nodes, b -> b.tag IN ('ul', 'ol')), b -> get(transform(array({items}), li -> {texts}), 0))"
+    return F.expr(f"slice(filter(flatten({lists}), s -> length(s) BETWEEN 5 AND 50), 1, 15)")
 
 
 def generic_fields(url: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lotweave.constants import DETAIL_NAMES, SITE_CONFIDENCE, VIN_CLASS
 from lotweave.functions import record, values, web
 from lotweave.operators.selectors import (
-    Step, element_text, first, first_text, let, link_value, owner_node, raw_text, select, within,
+    Step, cascade_sql, element_sql, element_text, first, first_text, let, link_value, owner_node,
+    raw_text, select_sql, text_of, texts_of,
 )
 
 
@@ -44,28 +45,17 @@ DETAIL_PATTERNS = [
 ]
 
 
-def _text(*choices: list[Step]) -> Column:
-    """Text of the first element that exists among the choices, null when none does."""
-    return let(F.coalesce(*[first(c) for c in choices]), element_text)
-
-
-def _any(cascade: list[list[Step]]) -> Column:
-    """Matches of the first selector that matches anything."""
-    found = [let(select(s), lambda m: F.when(F.size(m) > 0, m)) for s in cascade]
-    return F.coalesce(*found)
-
-
 def basic() -> Column:
     """Title, year, make, model."""
-    title = _text([Step(tag="h1", cls="listing-title")], [Step(tag="h1", attr=("data-qa", "=", "vdp-vehicle-title"))])
+    title = text_of([Step(tag="h1", cls="listing-title")], [Step(tag="h1", attr=("data-qa", "=", "vdp-vehicle-title"))])
 
     def read(t: Column) -> Column:
         def merge(p: Column) -> Column:
             return F.struct(
                 t.alias("listing_title"),
-                F.coalesce(p["year"], values.to_int(_text(_qa("vehicle-year")))).alias("year"),
-                F.coalesce(p["make"], _text(_qa("vehicle-make"))).alias("make"),
-                F.coalesce(p["model"], _text(_qa("vehicle-model"))).alias("model"),
+                F.coalesce(p["year"], values.to_int(text_of(_qa("vehicle-year")))).alias("year"),
+                F.coalesce(p["make"], text_of(_qa("vehicle-make"))).alias("make"),
+                F.coalesce(p["model"], text_of(_qa("vehicle-model"))).alias("model"),
             )
 
         return let(values.site_title(t), merge)
@@ -75,7 +65,7 @@ def basic() -> Column:
 
 def price() -> Column:
     """First selector of the cascade whose text is a price."""
-    return F.coalesce(*[values.site_price(_text(s)) for s in PRICE_CASCADE])
+    return F.coalesce(*[values.site_price(text_of(s)) for s in PRICE_CASCADE])
 
 
 def mileage() -> Column:
@@ -83,7 +73,7 @@ def mileage() -> Column:
         first_text(r"(?iU)\d+,?\d*\s+miles?"),
         lambda t: let(owner_node(t), element_text),
     )
-    return values.site_mileage(F.coalesce(_text(_qa("mileage-value")), said))
+    return values.site_mileage(F.coalesce(text_of(_qa("mileage-value")), said))
 
 
 def vin() -> Column:
@@ -92,44 +82,29 @@ def vin() -> Column:
         first_text(rf"(?iU)VIN:?\s*({VIN_CLASS}{{17}})"), lambda t: values.any_vin(t["text"])
     )
     return let(
-        _text(_qa("vin-value")), lambda t: F.when(t.isNotNull(), values.full_vin(t)).otherwise(said)
-    )
-
-
-def _pairs(box: Column, key: Step, value: Step) -> Column:
-    def zipped(keys: Column) -> Column:
-        return let(
-            F.filter(within(box), value.test),
-            lambda vals: F.when(
-                F.size(keys) == F.size(vals),
-                F.zip_with(
-                    keys, vals,
-                    lambda k, v: F.struct(
-                        F.replace(F.lower(element_text(k)), F.lit(":"), F.lit("")).alias("key"),
-                        element_text(v).alias("value"),
-                    ),
-                ),
-            ),
-        )
-
-    return F.coalesce(
-        let(F.filter(within(box), key.test), zipped),
-        F.array().cast("array<struct<key:string,value:string>>"),
+        text_of(_qa("vin-value")), lambda t: F.when(t.isNotNull(), values.full_vin(t)).otherwise(said)
     )
 
 
 def details() -> Column:
-    """Key/value pairs of the details box as array<struct<field, value>>, in order."""
-    names = F.create_map(*[F.lit(x) for pair in DETAIL_NAMES.items() for x in pair])
-
-    def read(box: Column) -> Column:
-        pairs = F.concat(*[_pairs(box, k, v) for k, v in DETAIL_PATTERNS])
-        named = F.transform(
-            pairs, lambda p: F.struct(names[p["key"]].alias("field"), p["value"].alias("value"))
+    """Key/value pairs of the details box as array<struct<field, value>>, in order.
+
+    A pattern counts only if it has as many values as keys.
+    """
+    pairs = []
+    for key, value in DETAIL_PATTERNS:
+        inside = "filter(slice(nodes, box.id + 1, box.last - box.id), n -> {})"
+        name = f"replace(lower({element_sql('k')}), ':', '')"
+        zipped = f"zip_with(ks, vs, (k, v) -> named_struct('key', {name}, 'value', {element_sql('v')}))"
+        pairs.append(
+            f"get(transform(array({inside.format(key.sql('n'))}), ks -> get(transform(array("
+            f"{inside.format(value.sql('n'))}), vs -> if(size(ks) = size(vs), {zipped}, array())), 0)), 0)"
         )
-        return F.filter(named, lambda p: p["field"].isNotNull() & (p["value"] != ""))
-
-    return let(first(_cls("vehicle-details")), read)
+    names = ", ".join(f"'{k}', '{v}'" for k, v in DETAIL_NAMES.items())
+    named = f"transform(concat({', '.join(pairs)}), p -> named_struct('field', map({names})[p.key], 'value', p.value))"
+    kept = f"filter({named}, p -> p.field IS NOT NULL AND p.value <> '')"
+    box = f"get({select_sql(_cls('vehicle-details'))}, 0)"
+    return F.expr(f"get(transform(array({box}), box -> {kept}), 0)")
 
 
 def _last(pairs: Column, field: str) -> Column:
@@ -139,12 +114,12 @@ def _last(pairs: Column, field: str) -> Column:
 
 def dealer() -> Column:
     """Name, phone, address and location of the seller."""
-    phone = _text(_qa("dealer-phone"), [Step(tag="a", attr=("href", "^=", "tel:"))])
+    phone = text_of(_qa("dealer-phone"), [Step(tag="a", attr=("href", "^=", "tel:"))])
     address = F.coalesce(first(_qa("dealer-address")), first(_cls("dealer-address")))
     return let(
         address,
         lambda a: F.struct(
-            _text(_qa("dealer-name"), _cls("dealer-name")).alias("dealer_name"),
+            text_of(_qa("dealer-name"), _cls("dealer-name")).alias("dealer_name"),
             values.site_phone(phone).alias("dealer_phone"),
             element_text(a).alias("dealer_address"),
             values.site_location(raw_text(a)).alias("location"),
@@ -153,13 +128,12 @@ def dealer() -> Column:
 
 
 def features() -> Column:
-    return F.coalesce(
-        F.transform(_any(FEATURE_CASCADE), element_text), F.array().cast("array<string>")
-    )
+    return F.coalesce(texts_of(FEATURE_CASCADE), F.array().cast("array<string>"))
 
 
 def images(url: Column) -> Column:
-    src = F.filter(F.transform(_any(IMAGE_CASCADE), link_value), lambda s: s != "")
+    found = F.expr(cascade_sql(IMAGE_CASCADE))
+    src = F.filter(F.transform(found, link_value), lambda s: s != "")
     return F.coalesce(
         F.array_distinct(F.transform(src, lambda s: web.absolute(s, url))),
         F.array().cast("array<string>"),

@@ -6,13 +6,11 @@ Only candidates (selector, value, score) are exploded; ranking them is one shuff
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY
-from lotweave.operators.selectors import element_text, node_selector, only, strip
+from lotweave.operators.selectors import element_sql, node_selector, only, strip
 
 _ITEM = (
     "array<struct<strategy:int,seq:int,field:string,selector:string,confidence:double,"
@@ -54,44 +52,31 @@ def by_model(answers: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(answers, locate)), F.array()).cast(_ITEM)
 
 
-def _near(kind: str, word: Column) -> Callable[[Column], Column]:
-    def classes(n: Column) -> Column:
-        return F.contains(F.lower(F.array_join(n.classes, " ")), word)
-
-    def ids(n: Column) -> Column:
-        return F.coalesce(F.contains(F.lower(n.attrs["id"]), word), F.lit(False))
-
-    def data(n: Column) -> Column:
-        return F.exists(
-            F.map_keys(n.attrs),
-            lambda k: (F.locate("data", k) > 0) & F.contains(F.substring(k, F.locate("data", k) + F.lit(4), F.length(k)), word),
-        )
-
-    return {"class name": classes, "ID": ids, "data attribute": data}[kind]
-
-
 def by_keyword(field: str, words: list[str]) -> Column:
     """First two elements per keyword whose class, id or data attribute names it."""
-    kinds = (("class name", 0.6), ("ID", 0.7), ("data attribute", 0.8))
-    parts = [
-        F.transform(
-            F.slice(F.filter(F.col("nodes"), _near(kind, F.lit(word))), 1, 2),
-            _keyword_item(field, word, kind, score, k * 6 + j * 2),
-        )
-        for k, word in enumerate(words)
-        for j, (kind, score) in enumerate(kinds)
-    ]
-    return F.concat(*parts).cast(_ITEM)
-
+    near = (
+        ("class name", 0.6, "contains(lower(array_join(n.classes, ' ')), '{w}')"),
+        ("ID", 0.7, "coalesce(contains(lower(n.attrs['id']), '{w}'), false)"),
+        ("data attribute", 0.8, "exists(map_keys(n.attrs), k -> lower(k) RLIKE 'data.*{w}')"),
+    )
+    hits = ", ".join(
+        f"transform(slice(filter(nodes, n -> {test.format(w=w)}), 1, 2), (e, i) -> named_struct("
+        f"'seq', i + {at * 6 + j * 2}, 'id', e.id, 'by_id', {str(kind == 'ID').lower()}, 'confidence', double({score}), "
+        f"'value', {element_sql('e')}, 'why', \"Keyword '{w}' found in {kind}\"))"
+        for at, w in enumerate(words)
+        for j, (kind, score, test) in enumerate(near)
+    )
 
-def _keyword_item(field: str, word: str, kind: str, score: float, at: int):
-    def item(n: Column, i: Column) -> Column:
-        pointer = F.concat(F.lit("#"), n.attrs["id"]) if kind == "ID" else node_selector(n.id)
-        text = only(F.substring(element_text(n), 1, 100), lambda t: t != "")
-        why = F.lit(f"Keyword '{word}' found in {kind}")
-        return _item(3, i + at, F.lit(field), pointer, score, text, why)
+    def item(h: Column) -> Column:
+        by_id = F.concat(F.lit("#"), F.get("nodes", h["id"] - 1).attrs["id"])
+        return F.struct(
+            F.lit(3).alias("strategy"), h["seq"].alias("seq"), F.lit(field).alias("field"),
+            F.when(h["by_id"], by_id).otherwise(node_selector(h["id"])).alias("selector"),
+            h["confidence"].alias("confidence"),
+            only(F.substring(h["value"], 1, 100), lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
+        )
 
-    return item
+    return F.transform(F.expr(f"concat({hits})"), item).cast(_ITEM)
 
 
 def candidates(dom: DataFrame, fields: list[str] | None = None, answers: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotweave.operators.dom import node_rows, text_rows, with_dom
 from lotweave.operators.selectors import (
     Step, compile_steps, element_text, first, first_text, let, link_value, match, node_selector,
-    page_lines, page_text, select, terminal, xpath_values,
+    page_lines, page_text, select, terminal, text_of, xpath_values,
 )
 from lotweave.plans import mapping, site
 from lotweave.registry import corpus as C
@@ -58,12 +58,12 @@ _AD = _DECODE.format("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)
 
 @query("element_text", f"SELECT page_id, trim({_H1}) AS h1 FROM pages")
 def element_text_query(spark, sf):
-    return with_dom(C.driver_pages(spark, sf)).select("page_id", let(first([Step(tag="h1")]), element_text).alias("h1"))
+    return with_dom(C.driver_pages(spark, sf)).select("page_id", text_of([Step(tag="h1")]).alias("h1"))
 
 
 @query("select_simple", f"SELECT page_id, trim({_AD}) AS ad FROM pages")
 def select_simple(spark, sf):
-    return with_dom(C.driver_pages(spark, sf)).select("page_id", let(first([Step(cls="ad")]), element_text).alias("ad"))
+    return with_dom(C.driver_pages(spark, sf)).select("page_id", text_of([Step(cls="ad")]).alias("ad"))
 
 
 _LI = _COUNT.format("li>", 4, "items")

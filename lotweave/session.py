@@ -46,6 +46,7 @@ def local_session(cpus: int | str = 8, app: str = "lotweave") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus if str(cpus).isdigit() else 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack capture per call
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
