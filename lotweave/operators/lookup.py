@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 5_000
+WANTED_ROWS = 1_000_000
 SALTS = 64
 
 
@@ -24,3 +25,15 @@ def lookup_join(
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
+
+
+def keep_wanted(big: DataFrame, wanted: DataFrame, on: str, max_rows: int = WANTED_ROWS) -> DataFrame:
+    """Rows of ``big`` whose key is wanted.
+
+    While the distinct keys are few they are broadcast and ``big`` is filtered where it lies, so
+    page bodies nobody asks for are never shuffled.  Beyond that it is a plain semi join, whose
+    hot keys AQE can split.
+    """
+    keys = wanted.select(on).where(F.col(on).isNotNull()).distinct()
+    few = keys.limit(max_rows + 1).count() <= max_rows
+    return big.join(F.broadcast(keys) if few else keys, on, "left_semi")

@@ -57,7 +57,7 @@ def _shown(f: Column) -> Column:
     return F.when(f["is_list"], F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))).otherwise(f["value"])
 
 
-def _entries(fields: Column) -> Column:
+def entries(fields: Column) -> Column:
     """Top-level fields with a value; dotted fields appear under their head."""
     hits = F.filter(fields, lambda f: f["success"])
     flat = F.transform(
@@ -85,10 +85,10 @@ def _entries(fields: Column) -> Column:
     return F.concat(flat, F.transform(heads, nested))
 
 
-def coverage(entries: Column) -> Column:
+def coverage(found: Column) -> Column:
     """Share of the expected fields with a meaningful value."""
     useful = F.filter(
-        entries,
+        found,
         lambda e: F.array_contains(F.lit(EXPECTED_FIELDS), e["field"]) & (strip(e["value"]) != "")
         & (e["value"] != "0") & (e["value"] != "[]"),
     )
@@ -98,16 +98,16 @@ def coverage(entries: Column) -> Column:
 def pair_up(previews: DataFrame, answers: DataFrame) -> DataFrame:
     """One row per page with both sides' entries; the model side must have succeeded."""
     left = previews.select(
-        "page_id", _entries(F.col("fields")).alias("mapping"),
+        "page_id", entries(F.col("fields")).alias("mapping"),
         F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["success"].alias("success"))).alias("tried"),
         F.col("confidence").alias("mapping_confidence"), F.size("errors").alias("mapping_errors"),
     )
-    right = answers.where("success").select("page_id", _entries(as_results(F.col("fields"))).alias("model"))
+    right = answers.where("success").select("page_id", entries(as_results(F.col("fields"))).alias("model"))
     return left.join(right, "page_id")
 
 
-def _value_of(entries: Column, field: Column) -> Column:
-    return F.get(F.filter(entries, lambda e: e["field"] == field), F.lit(0))["value"]
+def _value_of(found: Column, field: Column) -> Column:
+    return F.get(F.filter(found, lambda e: e["field"] == field), F.lit(0))["value"]
 
 
 def compare_fields(pairs: DataFrame) -> DataFrame:

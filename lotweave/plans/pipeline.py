@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from lotweave.constants import SEARCH_MAX_RESULTS, SITE_CONFIDENCE
 from lotweave.functions import record, web
 from lotweave.operators.dom import with_dom
-from lotweave.operators.lookup import lookup_join
+from lotweave.operators.lookup import keep_wanted, lookup_join
 from lotweave.plans import model
 from lotweave.plans.generic import LOW_CONFIDENCE, generic_fields, generic_vehicle
 from lotweave.plans.site import site_vehicle
 from lotweave.sources.pages import fetch_urls
 
 NO_RESULTS = "No search results found for VIN"
-NEEDED_BROADCAST = 1_000_000
 
 PARSERS = [("cars.com", "site")]
 
@@ -81,8 +80,8 @@ def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None
     )
 
 
-def vin_index(pages: DataFrame) -> DataFrame:
-    """Pages naming each VIN, at most a search's worth per VIN, best first.
+def vin_index(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Pages naming each (wanted) VIN, at most a search's worth per VIN, best first.
 
     The cap is the search's own; ranks are cut inside each partition before rows are shuffled, so
     a VIN on a third of all pages sends a handful of rows per task.
@@ -91,6 +90,8 @@ def vin_index(pages: DataFrame) -> DataFrame:
         F.explode(web.vins_in(F.col("html"))).alias("vin"), "page_id", "url",
         F.regexp_extract("html", r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1).alias("title"),
     )
+    if wanted is not None:
+        rows = keep_wanted(rows, wanted, "vin")
     found = Window.partitionBy("vin").orderBy("page_id")
     best = Window.partitionBy("vin").orderBy(F.desc("is_supported"), F.lower("title"), "page_id")
     cut = rows.withColumn("_n", F.row_number().over(found)).where(F.col("_n") <= SEARCH_MAX_RESULTS).drop("_n")
@@ -123,7 +124,7 @@ def candidates(requests: DataFrame, pages: DataFrame) -> DataFrame:
     vins = ok.where(F.col("input_type") == "vin").select(
         "request_id", web.clean_vin(F.col("input_value")).alias("vin")
     )
-    hits = vins.join(vin_index(pages), "vin").select(
+    hits = vins.join(vin_index(pages, vins), "vin").select(
         "request_id", "rank", "url", "page_id", F.lit(None).cast("string").alias("fetch_error"),
         "title", "domain", "is_supported",
     )
@@ -137,13 +138,6 @@ def candidates(requests: DataFrame, pages: DataFrame) -> DataFrame:
     return hits.unionByName(direct)
 
 
-def wanted_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages some request asks for: a broadcast filter while their ids are few, else a join."""
-    ids = wanted.select("page_id").where(F.col("page_id").isNotNull()).distinct()
-    few = ids.limit(NEEDED_BROADCAST + 1).count() <= NEEDED_BROADCAST
-    return pages.join(F.broadcast(ids) if few else ids, "page_id", "left_semi")
-
-
 def first_success(tries: DataFrame, *result: str) -> DataFrame:
     """Per request the best-ranked success, else the last one tried."""
     order = F.struct(
@@ -161,7 +155,7 @@ def process(
     """One trace per request (request_id, input_value[, input_type])."""
     asked = typed_requests(requests)
     tries = candidates(asked, pages)
-    parsed = parse_pages(wanted_pages(pages, tries), registry, answers).select(
+    parsed = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers).select(
         "page_id", "success", "parser_used", "confidence", "error", "vehicle"
     )
     tried = tries.join(parsed, "page_id", "left").withColumn(

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY
 from lotweave.operators.selectors import element_sql, node_selector, only, strip
+from lotweave.plans.compare import entries
+from lotweave.plans.model import as_results
+
+FEW_ANSWERS = 50_000
 
 _ITEM = (
     "array<struct<strategy:int,seq:int,field:string,selector:string,confidence:double,"
@@ -52,17 +56,26 @@ def by_model(answers: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(answers, locate)), F.array()).cast(_ITEM)
 
 
-def by_keyword(field: str, words: list[str]) -> Column:
-    """First two elements per keyword whose class, id or data attribute names it."""
+def by_keyword(fields: list[tuple[str, list[str]]]) -> Column:
+    """First two elements per keyword whose class, id or data attribute names it.
+
+    Marks (lower-cased classes, id and data attributes) are taken once per element that has any;
+    every keyword then only searches those short strings.
+    """
+    marks = """filter(transform(nodes, n -> named_struct('id', n.id, 't0', n.t0, 't1', n.t1,
+      'cls', lower(array_join(n.classes, ' ')), 'name', coalesce(lower(n.attrs['id']), ''),
+      'data', filter(transform(map_keys(n.attrs), k -> lower(k)), k -> contains(k, 'data')))),
+      m -> m.cls <> '' OR m.name <> '' OR size(m.data) > 0)"""
     near = (
-        ("class name", 0.6, "contains(lower(array_join(n.classes, ' ')), '{w}')"),
-        ("ID", 0.7, "coalesce(contains(lower(n.attrs['id']), '{w}'), false)"),
-        ("data attribute", 0.8, "exists(map_keys(n.attrs), k -> lower(k) RLIKE 'data.*{w}')"),
+        ("class name", 0.6, "contains(m.cls, '{w}')"),
+        ("ID", 0.7, "contains(m.name, '{w}')"),
+        ("data attribute", 0.8, "exists(m.data, k -> k RLIKE 'data.*{w}')"),
     )
     hits = ", ".join(
-        f"transform(slice(filter(nodes, n -> {test.format(w=w)}), 1, 2), (e, i) -> named_struct("
-        f"'seq', i + {at * 6 + j * 2}, 'id', e.id, 'by_id', {str(kind == 'ID').lower()}, 'confidence', double({score}), "
-        f"'value', {element_sql('e')}, 'why', \"Keyword '{w}' found in {kind}\"))"
+        f"transform(slice(filter(marks, m -> {test.format(w=w)}), 1, 2), (e, i) -> named_struct("
+        f"'field', '{field}', 'seq', i + {at * 6 + j * 2}, 'id', e.id, 'by_id', {str(kind == 'ID').lower()}, "
+        f"'confidence', double({score}), 'value', {element_sql('e')}, 'why', \"Keyword '{w}' found in {kind}\"))"
+        for field, words in fields
         for at, w in enumerate(words)
         for j, (kind, score, test) in enumerate(near)
     )
@@ -70,20 +83,32 @@ def by_keyword(field: str, words: list[str]) -> Column:
     def item(h: Column) -> Column:
         by_id = F.concat(F.lit("#"), F.get("nodes", h["id"] - 1).attrs["id"])
         return F.struct(
-            F.lit(3).alias("strategy"), h["seq"].alias("seq"), F.lit(field).alias("field"),
+            F.lit(3).alias("strategy"), h["seq"].alias("seq"), h["field"].alias("field"),
             F.when(h["by_id"], by_id).otherwise(node_selector(h["id"])).alias("selector"),
             h["confidence"].alias("confidence"),
             only(F.substring(h["value"], 1, 100), lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
         )
 
-    return F.transform(F.expr(f"concat({hits})"), item).cast(_ITEM)
+    found = F.expr(f"get(transform(array({marks}), marks -> concat({hits})), 0)")
+    return F.transform(found, item).cast(_ITEM)
+
+
+def with_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pages with what a model said about them, as array<struct<field, value, ...>> ``given``.
+
+    This is the one join that meets page bodies.  Few answers are broadcast; for many, keep pages
+    and answers in tables bucketed by ``page_id``, which makes the join local.
+    """
+    given = answers.where("success").select("page_id", entries(as_results(F.col("fields"))).alias("given"))
+    few = answers.limit(FEW_ANSWERS + 1).count() <= FEW_ANSWERS
+    return pages.join(F.broadcast(given) if few else given, "page_id", "left")
 
 
 def candidates(dom: DataFrame, fields: list[str] | None = None, answers: str | None = None) -> DataFrame:
     """All candidate rows of a page (page_id, strategy, seq, field, selector, ...)."""
     wanted = [d for d in FIELD_DICTIONARY if fields is None or d[0] in fields]
     parts = [by_pattern(name, p) for name, _, _, p, _ in wanted if p]
-    parts += [by_keyword(name, words) for name, _, _, _, words in wanted]
+    parts.append(by_keyword([(name, words) for name, _, _, _, words in wanted]))
     if answers:
         parts.append(by_model(F.filter(answers, lambda a: a["field"].isin([d[0] for d in wanted]))))
     return dom.select("page_id", F.explode(F.concat(*parts)).alias("c")).select("page_id", "c.*")

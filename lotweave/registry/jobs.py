@@ -249,9 +249,7 @@ def recommendations(spark, sf):
 
 
 def dom_with_answers(spark, sf):
-    given = answers(spark, sf).select("page_id", compare._entries(model.as_results(F.col("fields"))).alias("given"))
-    # answers are slim, so they are attached to the page text before the tree is built
-    return with_dom(C.listing_pages(spark, sf).join(given, "page_id", "left"))
+    return with_dom(suggest.with_answers(C.listing_pages(spark, sf), answers(spark, sf)))
 
 
 @query("suggest_pattern", truth("""SELECT listing_id AS page_id, CASE listing_id % 4 WHEN 0 THEN '[document] > html > body > span'
@@ -267,7 +265,7 @@ def suggest_pattern(spark, sf):
     CASE WHEN listing_id % 4 = 1 THEN 'Price:' ELSE '' END || '$' || format('{:,}', price) AS value FROM listings WHERE price IS NOT NULL AND listing_id % 4 < 3
   UNION ALL SELECT listing_id, '.price-section', '$' || format('{:,}', price) FROM listings WHERE price IS NOT NULL AND listing_id % 4 = 0"""))
 def suggest_keyword(spark, sf):
-    rows = with_dom(C.listing_pages(spark, sf)).select("page_id", F.explode(suggest.by_keyword("price", ["price", "cost", "msrp", "asking"])).alias("c"))
+    rows = with_dom(C.listing_pages(spark, sf)).select("page_id", F.explode(suggest.by_keyword([("price", ["price", "cost", "msrp", "asking"])])).alias("c"))
     return rows.select("page_id", "c.selector", "c.value")
 
 
@@ -384,7 +382,7 @@ def vin_pages(spark, sf):
 def vin_unmatched(spark, sf):
     asked = C.listings(spark, sf).where("vin IS NOT NULL").select(
         F.col("listing_id").alias("request_id"), F.expr("if(listing_id % 5 = 0, reverse(vin), vin)").alias("vin"))
-    seen = pipeline.vin_index(C.listing_pages(spark, sf)).select("vin")
+    seen = pipeline.vin_index(C.listing_pages(spark, sf), asked).select("vin")
     return asked.join(seen, "vin", "left_anti").select("request_id", F.lit(pipeline.NO_RESULTS).alias("error"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotweave.constants import PAGE_CUT
 from lotweave.functions import web
+from lotweave.operators.lookup import keep_wanted
 
 INVALID_URL = "Invalid URL format"
 NOT_FOUND = "not in corpus"
@@ -28,7 +29,8 @@ def one_page_per_url(pages: DataFrame) -> DataFrame:
 def fetch_urls(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per distinct URL: the page it names, or why there is none."""
     wanted = urls.select("url").where(F.col("url").isNotNull()).distinct()
-    found = wanted.join(one_page_per_url(pages), "url", "left")
+    asked = keep_wanted(pages.select("url", "page_id"), wanted, "url")
+    found = wanted.join(one_page_per_url(asked), "url", "left")
     return with_fetch_error(found)
 
 
