@@ -152,9 +152,14 @@ def first_success(tries: DataFrame, *result: str) -> DataFrame:
 def process(
     requests: DataFrame, pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None
 ) -> DataFrame:
-    """One trace per request (request_id, input_value[, input_type])."""
+    """One trace per request (request_id, input_value[, input_type]).
+
+    The candidates (a few slim rows per request) are kept, since they choose the pages to parse and
+    are joined with the results: the corpus is searched once.  A lost executor's share of them is
+    recomputed.
+    """
     asked = typed_requests(requests)
-    tries = candidates(asked, pages)
+    tries = candidates(asked, pages).persist()
     parsed = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers).select(
         "page_id", "success", "parser_used", "confidence", "error", "vehicle"
     )
