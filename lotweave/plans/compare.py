@@ -102,7 +102,7 @@ def pair_up(previews: DataFrame, answers: DataFrame) -> DataFrame:
         F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["success"].alias("success"))).alias("tried"),
         F.col("confidence").alias("mapping_confidence"), F.size("errors").alias("mapping_errors"),
     )
-    right = answers.where("success").select("page_id", entries(as_results(F.col("fields"))).alias("model"))
+    right = answers.where("success").select("page_id", entries(as_results()).alias("model"))
     return left.join(right, "page_id")
 
 

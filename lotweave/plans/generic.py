@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ def features() -> Column:
     return F.expr(f"slice(filter(flatten({lists}), s -> length(s) BETWEEN 5 AND 50), 1, 15)")
 
 
-def generic_fields(url: Column) -> Column:
-    """Everything the generic route finds on a page."""
+@cache
+def generic_fields() -> Column:
+    """Everything the generic route finds on a page.  Built once per process."""
 
     def read(text: Column) -> Column:
         return let(
@@ -65,7 +68,7 @@ def generic_fields(url: Column) -> Column:
                 t["listing_title"].alias("listing_title"),
                 values.text_phone(text).alias("dealer_phone"),
                 blank_to_null(dealer_name()).alias("dealer_name"),
-                images(url).alias("images"),
+                images(F.col("url")).alias("images"),
                 features().alias("features"),
             ),
         )
@@ -126,7 +129,7 @@ def parse_generic(dom: DataFrame) -> DataFrame:
     """One result per page: record, confidence, whether a model is needed and what it would read."""
     keep = [c for c in dom.columns if c not in ("nodes", "texts")]
     scored = dom.select(
-        *dom.columns, generic_fields(F.col("url")).alias("found")
+        *dom.columns, generic_fields().alias("found")
     ).withColumn("confidence", record.generic_confidence(F.col("found")))
     weak = record.needs_model(F.col("confidence"))
     return scored.select(

@@ -6,6 +6,8 @@ salted, since one site may own a third of all pages).  Evaluation then stays ins
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +66,26 @@ def _map_one(r: Column) -> Column:
     )
 
 
+@cache
+def mapped_rules() -> Column:
+    """Results of all rules of the page's site.  Built once per process."""
+    return F.transform("rules", _map_one)
+
+
+@cache
+def previewed_rules() -> Column:
+    """Preview results of all rules but metadata.  Built once per process."""
+    shown = F.filter("rules", lambda r: ~F.startswith(r["field"], F.lit("_")))
+    return F.transform(shown, _preview_one)
+
+
 def map_fields(ruled: DataFrame) -> DataFrame:
     """Per page: results of all rules, confidence and whether a fallback is needed.
 
     ``fields_total`` counts every key of the mapping, metadata included.
     """
     keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules")]
-    mapped = ruled.select(*keep, F.transform("rules", _map_one).alias("fields"))
+    mapped = ruled.select(*keep, mapped_rules().alias("fields"))
     n = F.size(F.filter("fields", lambda f: f["success"]))
     counted = mapped.select(
         "*",
@@ -122,12 +137,15 @@ def _as_list(f: Column) -> tuple[Column, Column]:
     return f["values"], ok
 
 
-def to_vehicle(fields: Column) -> Column:
-    """struct(record_valid, vehicle) from mapping results.
+@cache
+def to_vehicle(name: str = "fields") -> Column:
+    """struct(record_valid, vehicle) from the named mapping results.  Built once per process.
 
     One field of the wrong shape voids the record.  Nested dealer fields win over flat ones.
     """
 
+    fields = F.col(name)
+
     def build(p: Column) -> Column:
         nested = p["in_dealer_name"].isNotNull() | p["in_dealer_phone"].isNotNull()
         chosen = {
@@ -164,7 +182,7 @@ def to_vehicle(fields: Column) -> Column:
 
 def map_vehicles(mapped: DataFrame, fields: str = "fields") -> DataFrame:
     keep = [c for c in mapped.columns if c != fields]
-    return mapped.select(*keep, to_vehicle(F.col(fields)).alias("r")).select(
+    return mapped.select(*keep, to_vehicle(fields).alias("r")).select(
         *keep, "r.record_valid", "r.vehicle"
     )
 
@@ -241,8 +259,7 @@ def _preview_one(r: Column) -> Column:
 def preview(ruled: DataFrame) -> DataFrame:
     """Per page: preview results, confidence over fields without metadata, collected errors."""
     keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules")]
-    shown = F.filter("rules", lambda r: ~F.startswith(r["field"], F.lit("_")))
-    rows = ruled.where(F.col("rules").isNotNull()).select(*keep, F.transform(shown, _preview_one).alias("fields"))
+    rows = ruled.where(F.col("rules").isNotNull()).select(*keep, previewed_rules().alias("fields"))
     n, total = F.size(F.filter("fields", lambda f: f["success"])), F.size("fields")
     failed = F.filter("fields", lambda f: ~f["success"] & f["error"].isNotNull())
     return rows.select(

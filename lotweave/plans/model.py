@@ -6,6 +6,8 @@ caller's business.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,9 +114,9 @@ def field_count(fields: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def parse_answers(answers: DataFrame) -> DataFrame:
-    """Per answer: cleaned fields, success, confidence and error."""
-    keep = [c for c in answers.columns if c != "response"]
+@cache
+def judged_answer() -> Column:
+    """struct(fields, field_count, confidence) of ``response``.  Built once per process."""
 
     def judge(f: Column) -> Column:
         n = field_count(f)
@@ -124,9 +126,15 @@ def parse_answers(answers: DataFrame) -> DataFrame:
         )
 
     doc = answer_json(F.col("response"))
-    judged = answers.select(
-        *keep, let(doc, lambda d: F.when(d.isNotNull(), let(clean_fields(d), judge))).alias("r")
-    ).select(*keep, "r.fields", F.coalesce("r.field_count", F.lit(0)).alias("field_count"), "r.confidence")
+    return let(doc, lambda d: F.when(d.isNotNull(), let(clean_fields(d), judge)))
+
+
+def parse_answers(answers: DataFrame) -> DataFrame:
+    """Per answer: cleaned fields, success, confidence and error."""
+    keep = [c for c in answers.columns if c != "response"]
+    judged = answers.select(*keep, judged_answer().alias("r")).select(
+        *keep, "r.fields", F.coalesce("r.field_count", F.lit(0)).alias("field_count"), "r.confidence"
+    )
     ok = F.col("fields").isNotNull()
     return judged.select("*", ok.alias("success"), F.when(~ok, F.lit(PARSE_ERROR)).alias("error"))
 
@@ -143,8 +151,10 @@ def goal_metadata(model: Column, confidence: Column, tokens: Column) -> Column:
     )
 
 
-def as_results(fields: Column) -> Column:
-    """Model fields in the shape of mapping results, absent fields left out."""
+@cache
+def as_results(column: str = "fields") -> Column:
+    """Model fields in the shape of mapping results, absent fields left out.  Built once per process."""
+    fields = F.col(column)
 
     def item(name: str, value: Column, values: Column, number: Column, is_list: bool) -> Column:
         return F.when(
@@ -173,7 +183,7 @@ def merge(mapped: DataFrame, answers: DataFrame) -> DataFrame:
     Only rows flagged for fallback look up an answer, and they carry results, not page bodies.
     """
     given = answers.where("success").select(
-        "page_id", as_results(F.col("fields")).alias("_given"), F.col("confidence").alias("_conf")
+        "page_id", as_results().alias("_given"), F.col("confidence").alias("_conf")
     )
     joined = mapped.join(given, (mapped.page_id == given.page_id) & mapped.fallback_needed, "left").drop(
         given.page_id

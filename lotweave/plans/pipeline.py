@@ -47,8 +47,8 @@ def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None
     on_site = F.col("parser") == "site"
     found = dom.select(
         "page_id", "url", "domain", "parser",
-        F.when(on_site, site_vehicle(F.col("url"))).alias("site"),
-        F.when(~on_site, generic_fields(F.col("url"))).alias("found"),
+        F.when(on_site, site_vehicle()).alias("site"),
+        F.when(~on_site, generic_fields()).alias("found"),
     )
     first = found.select(
         "page_id", "url", "domain", "parser", "site",

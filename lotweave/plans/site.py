@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,8 +151,12 @@ def accidents() -> Column:
     )
 
 
-def site_vehicle(url: Column) -> Column:
-    """The whole record of a page in the site layout."""
+@cache
+def site_vehicle() -> Column:
+    """The whole record of a page in the site layout.
+
+    Built once per process: the expression is immutable and large, and building it is what takes time.
+    """
 
     def build(b: Column, d: Column, pairs: Column) -> Column:
         found = {
@@ -159,7 +164,7 @@ def site_vehicle(url: Column) -> Column:
             "model": b["model"], "price": price(), "mileage": mileage(), "vin": vin(),
             "dealer_name": d["dealer_name"], "dealer_phone": d["dealer_phone"],
             "dealer_address": d["dealer_address"], "location": d["location"],
-            "features": features(), "images": images(url), "accidents": accidents(),
+            "features": features(), "images": images(F.col("url")), "accidents": accidents(),
         }
         for field in sorted(set(DETAIL_NAMES.values())):
             found[field] = _last(pairs, field)
@@ -176,6 +181,6 @@ def parse_site(dom: DataFrame) -> DataFrame:
         filled = [v[f].isNotNull().cast("int") for f in record.FIELD_TYPES]
         return F.struct(v.alias("vehicle"), sum(filled[1:], filled[0]).alias("fields_found"))
 
-    return dom.select(*keep, let(site_vehicle(F.col("url")), counted).alias("r")).select(
+    return dom.select(*keep, let(site_vehicle(), counted).alias("r")).select(
         *keep, "r.vehicle", F.lit(SITE_CONFIDENCE).alias("confidence"), "r.fields_found"
     )

@@ -150,7 +150,7 @@ def images(spark, sf):
 @query("generic_confidence", truth(f"""SELECT listing_id AS page_id, {_CONF} AS confidence, {_CONF} < 0.7 AS requires_model,
   {_ENOUGH} AS sufficient {_GEN}"""))
 def generic_confidence(spark, sf):
-    found = routed(spark, sf, "generic").select("page_id", generic.generic_fields(F.col("url")).alias("f"))
+    found = routed(spark, sf, "generic").select("page_id", generic.generic_fields().alias("f"))
     score = record.generic_confidence(F.col("f"))
     return found.select("page_id", score.alias("confidence"), record.needs_model(score).alias("requires_model"),
                         record.sufficient(F.col("f")).alias("sufficient"))

@@ -166,7 +166,7 @@ def goal_metadata(spark, sf):
 @query("prompt_build")
 def prompt_build(spark, sf):
     dom = with_dom(C.listing_pages(spark, sf))
-    found = dom.select("page_id", "url", "nodes", "texts", generic.generic_fields(F.col("url")).alias("found"))
+    found = dom.select("page_id", "url", "nodes", "texts", generic.generic_fields().alias("found"))
     return found.select("page_id", model.prompt(F.col("url"), generic.model_input(), F.to_json("found")).alias("prompt"))
 
 

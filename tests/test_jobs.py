@@ -1,4 +1,5 @@
 import json
+from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, t string").withColumn("fetched_at", F.to_timestamp("t")).drop("t")
     df.write.parquet(f"{tmp_path}/in")
     registry = pipeline.parser_registry(spark)
-    q = intake.run_intake(intake.page_stream(spark, f"{tmp_path}/in"), registry, f"{tmp_path}/out", "t", once=True)
+    q = intake.run_intake(intake.page_stream(spark, f"{tmp_path}/in"), registry, f"{tmp_path}/out", f"test-{uuid4().hex}", once=True)
     q.awaitTermination(120)
     got = spark.read.json(f"{tmp_path}/out").select("url", "goal").collect()
     assert len(got) == 2
