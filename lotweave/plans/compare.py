@@ -96,13 +96,13 @@ def coverage(found: Column) -> Column:
 
 
 def pair_up(previews: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row per page with both sides' entries; the model side must have succeeded."""
+    """One row per page with both sides' entries; ``model`` is null where the answer failed."""
     left = previews.select(
         "page_id", entries(F.col("fields")).alias("mapping"),
         F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["success"].alias("success"))).alias("tried"),
         F.col("confidence").alias("mapping_confidence"), F.size("errors").alias("mapping_errors"),
     )
-    right = answers.where("success").select("page_id", entries(as_results()).alias("model"))
+    right = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("model"))
     return left.join(right, "page_id")
 
 
@@ -114,7 +114,7 @@ def compare_fields(pairs: DataFrame) -> DataFrame:
     """Long form: one row per page and field found by either side."""
     names = F.array_union(
         F.transform("mapping", lambda e: e["field"]), F.transform("model", lambda e: e["field"])
-    )
+    )  # null, hence no rows, where the model failed
     rows = pairs.withColumn("field", F.explode(names)).select(
         "page_id", "field",
         _value_of(F.col("mapping"), F.col("field")).alias("mapping_value"),

@@ -181,9 +181,10 @@ def merge(mapped: DataFrame, answers: DataFrame) -> DataFrame:
     """Mapping results overridden by model fields where the mapping fell short.
 
     Only rows flagged for fallback look up an answer, and they carry results, not page bodies.
+    Failed answers stay as nulls: a filter on them would be pushed below the parsing and parse twice.
     """
-    given = answers.where("success").select(
-        "page_id", as_results().alias("_given"), F.col("confidence").alias("_conf")
+    given = answers.select(
+        "page_id", F.when(F.col("success"), as_results()).alias("_given"), F.col("confidence").alias("_conf")
     )
     joined = mapped.join(given, (mapped.page_id == given.page_id) & mapped.fallback_needed, "left").drop(
         given.page_id

@@ -60,13 +60,14 @@ def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None
         given = first.select("*", F.lit(None).cast("double").alias("ai_confidence"),
                              F.lit(None).cast(first.schema["generic"].dataType).alias("ai"), F.lit(False).alias("has_ai"))
     else:
-        ok = answers.where("success").select(
+        # failed answers stay as nulls: a filter would be pushed below their parsing and parse twice
+        ok = answers.select(
             F.col("page_id").alias("_page"), model.vehicle_of(F.col("fields")).alias("ai"),
-            F.col("confidence").alias("ai_confidence"),
+            F.col("success").alias("_ok"), F.col("confidence").alias("ai_confidence"),
         )
         # the weak flag is part of the join condition: only those rows look up an answer
         given = first.join(ok, F.col("weak") & (F.col("page_id") == F.col("_page")), "left")
-        given = given.withColumn("has_ai", F.col("_page").isNotNull())
+        given = given.withColumn("has_ai", F.coalesce("_ok", F.lit(False)))
     good = ~F.col("weak") | F.col("has_ai")
     return given.select(
         "page_id", "url", "domain",

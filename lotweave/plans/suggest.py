@@ -99,7 +99,7 @@ def with_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
     This is the one join that meets page bodies.  Few answers are broadcast; for many, keep pages
     and answers in tables bucketed by ``page_id``, which makes the join local.
     """
-    given = answers.where("success").select("page_id", entries(as_results()).alias("given"))
+    given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
     few = answers.limit(FEW_ANSWERS + 1).count() <= FEW_ANSWERS
     return pages.join(F.broadcast(given) if few else given, "page_id", "left")
 
