@@ -5,17 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotweave.llm import bpe, language, minhash, quality, simhash, toxicity, urls
+from lotweave.llm import bpe, language, minhash, mixing, pstable, quality, simhash, surrogates, toxicity, urls
 from lotweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pstable.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), neighbours=20)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "text", "mix_rate", "mix_copy", "mix_key")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +35,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_count", "pii_kinds")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -40,7 +55,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_simhash, op4_toxicity, op5_language, op7_bpe, op8_urls, op9_minhash, op10_quality)
-}
-ORACLES: dict[str, str] = {}
+_ALL = (
+    op1_pstable, op2_simhash, op3_mixing, op4_toxicity, op5_language, op6_surrogates, op7_bpe, op8_urls, op9_minhash, op10_quality,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
