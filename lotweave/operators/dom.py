@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ class _Rows(HTMLParser):
         self.text: list[str] = []
         self.node_offsets = [0]
         self.text_offsets = [0]
+        self.errors: list[int] = []
+        self._bad = 0
         self._open: list[int] = []
         self._open_tags: Counter[str] = Counter()
         self._hidden = 0
@@ -62,16 +65,30 @@ class _Rows(HTMLParser):
         self.reset()
         self._open.clear()
         self._open_tags.clear()
+        self._bad = 0
         if html:
             try:
                 self.feed(html)
                 self.close()
-            except AssertionError:  # markup the tokeniser rejects: keep what was read
-                pass
+            except AssertionError:  # markup that the tokeniser rejects in a way not known of
+                self._bad += 1
         while self._open:
             self._end()
         self.node_offsets.append(len(self.tag))
         self.text_offsets.append(len(self.text))
+        self.errors.append(self._bad)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that the tokeniser rejects is skipped as a comment is, and counted."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            if end < 0:
+                return -1
+            self._bad += 1
+            self.handle_comment(self.rawdata[i + 2 : end])
+            return end + 1
 
     def _end(self) -> None:
         at = self._open.pop()
@@ -186,7 +203,7 @@ def _chunks(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[tuple[int, int]
 def _to_dom(html_at: int, keep_html: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(h.as_py() or "") for h in batch.column(html_at)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(html_at)), 0).to_pylist()
             for start, count in _chunks(batch, sizes):
                 part = batch.slice(start, count)
                 rows = _Rows()
@@ -196,15 +213,18 @@ def _to_dom(html_at: int, keep_html: bool):
                 names, columns = list(part.schema.names), list(part.columns)
                 if not keep_html:
                     del names[html_at], columns[html_at]
+                errors = pa.array(rows.errors, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, nodes, texts], names=[*names, "nodes", "texts"]
+                    [*columns, nodes, texts, errors], names=[*names, "nodes", "texts", "parse_errors"]
                 )
 
     return run
 
 
 def with_dom(pages: DataFrame, keep_html: bool = False) -> DataFrame:
-    """Replace ``html`` by ``nodes`` and ``texts``; all other columns pass through.
+    """Replace ``html`` by ``nodes``, ``texts`` and ``parse_errors``; all other columns pass through.
+
+    ``parse_errors`` counts declarations that no tokenizer rule fits; they are kept as comments.
 
     The body leaves the row here, so nothing after this step can shuffle it by accident.
     """
@@ -212,7 +232,7 @@ def with_dom(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     nodes = T.StructField("nodes", T.DataType.fromDDL(f"array<{NODE_TYPE}>"))
     texts = T.StructField("texts", T.DataType.fromDDL(f"array<{TEXT_TYPE}>"))
     return pages.mapInArrow(
-        _to_dom(pages.columns.index("html"), keep_html), T.StructType([*fields, nodes, texts])
+        _to_dom(pages.columns.index("html"), keep_html), T.StructType([*fields, nodes, texts, T.StructField("parse_errors", T.IntegerType())])
     )
 
 

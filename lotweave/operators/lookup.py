@@ -1,39 +1,32 @@
-"""Joins of page-sized rows with a small side whose size is checked, not assumed."""
+"""Joins of page-sized rows with a smaller side: sizes are left to the planner, skew is the caller's to name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 5_000
-WANTED_ROWS = 1_000_000
-SALTS = 64
-
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: str, salt_by: str, how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    big: DataFrame, small: DataFrame, on: str, salt_by: str, how: str = "inner", salts: int = 1
 ) -> DataFrame:
     """Join ``big`` to ``small`` on a key of which ``small`` has one row per value.
 
-    Up to ``max_rows`` rows the small side is broadcast.  Beyond that both sides are spread over
-    the key and a salt, so that a key holding a third of ``big`` still fills many tasks.  The salt
-    is a hash of a column, never random, so a retried task gives the same rows.
+    Spark broadcasts the small side below its byte threshold, at plan time or by AQE, and else
+    shuffles, splitting skewed keys.  With ``salts`` over 1 both sides are spread over the key and a
+    salt, so that a key holding a third of ``big`` fills many tasks in any case.  The salt is a hash
+    of a column, never random, so a retried task gives the same rows.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if salts == 1:
+        return big.join(small, on, how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
-def keep_wanted(big: DataFrame, wanted: DataFrame, on: str, max_rows: int = WANTED_ROWS) -> DataFrame:
-    """Rows of ``big`` whose key is wanted.
+def keep_wanted(big: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """Rows of ``big`` whose key is wanted: a semi join on the distinct keys.
 
-    While the distinct keys are few they are broadcast and ``big`` is filtered where it lies, so
-    page bodies nobody asks for are never shuffled.  Beyond that it is a plain semi join, whose
-    hot keys AQE can split.
+    Few keys are broadcast by their size, so that rows nobody asks for are never shuffled.
     """
     keys = wanted.select(on).where(F.col(on).isNotNull()).distinct()
-    few = keys.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return big.join(keys, on, "left_semi")

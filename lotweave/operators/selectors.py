@@ -217,9 +217,8 @@ def node_selector(node_id: Column) -> Column:
 # --- selectors that arrive as data --------------------------------------------------------------
 
 _NAME = r"[\w-]+"
-_CSS_COMPOUND = (
-    rf"(?:\*|{_NAME})?(?:[.#]{_NAME}|\[\s*{_NAME}\s*(?:[*^$~]?=\s*(?:\"[^\"]*\"|'[^']*'|{_NAME})\s*)?\])*"
-)
+_CSS_TEST = rf"(?:[.#]{_NAME}|\[\s*{_NAME}\s*(?:[*^$~]?=\s*(?:\"[^\"]*\"|'[^']*'|{_NAME})\s*)?\])"
+_CSS_COMPOUND = rf"(?:(?:\*|{_NAME}){_CSS_TEST}*|{_CSS_TEST}+)"
 _CSS_OK = rf"^\s*{_CSS_COMPOUND}(?:(?:\s*>\s*|\s+){_CSS_COMPOUND})*\s*$"
 _XPATH_TEST = rf"(?:contains\(\s*@{_NAME}\s*,\s*(?:'[^']*'|\"[^\"]*\")\s*\)|@{_NAME}(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?)"
 _XPATH_STEP = rf"/{{1,2}}(?:\*|{_NAME})(?:\[\s*{_XPATH_TEST}(?:\s+and\s+{_XPATH_TEST})*\s*\])*"
@@ -319,13 +318,19 @@ def terminal(rule: Column, kind: Column) -> Column:
     )
 
 
+def _attribute(n: Column, name: Column) -> Column:
+    """An attribute's value; classes are joined by one space each, as the fixed selectors see them."""
+    joined = F.when(n.attrs["class"].isNotNull(), F.array_join(n.classes, " "))
+    return F.when(name == "class", joined).otherwise(n.attrs[name])
+
+
 def _step_test(n: Column, s: Column) -> Column:
     return (
         (s.tag.isNull() | (n.tag == s.tag))
         & F.forall(s.classes, lambda c: F.array_contains(n.classes, c))
         & (s.id.isNull() | F.coalesce(n.attrs["id"] == s.id, F.lit(False)))
         & F.forall(
-            s.attrs, lambda a: F.coalesce(_compare(n.attrs[a["name"]], a.op, a.value), F.lit(False))
+            s.attrs, lambda a: F.coalesce(_compare(_attribute(n, a["name"]), a.op, a.value), F.lit(False))
         )
     )
 
@@ -356,7 +361,7 @@ def xpath_values(spans: Column, end: Column) -> Column:
         & F.exists(spans, lambda s: (s.id <= t.owner) & (t.owner <= s["last"])),
     )
     attr = F.filter(
-        F.transform(spans, lambda s: F.get(F.col("nodes"), s.id - 1).attrs[F.substring(end, 2, 1000)]),
+        F.transform(spans, lambda s: F.get(F.col("nodes"), s.id - 1).attrs[F.regexp_replace(end, "^@", "")]),
         lambda v: v.isNotNull(),
     )
     return (

@@ -1,7 +1,7 @@
 """Declarative extraction: every rule of a page's site against the page, without a shuffle.
 
-The rule sets join the pages on the site (``lookup_join``: broadcast only after a size check, else
-salted, since one site may own a third of all pages).  Evaluation then stays inside the page row.
+The rule sets join the pages on the site (``lookup_join``: broadcast while small, with salts for many
+rule sets, since one site may own a third of all pages).  Evaluation then stays inside the page row.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from lotweave.operators.selectors import (
 NO_STRINGS = "array<string>"
 
 
-def with_rules(dom: DataFrame, rule_sets: DataFrame) -> DataFrame:
+def with_rules(dom: DataFrame, rule_sets: DataFrame, salts: int = 1) -> DataFrame:
     """Attach the rule set of ``site_id``; pages of sites without one keep a null."""
-    return lookup_join(dom, rule_sets, "site_id", salt_by="page_id", how="left")
+    return lookup_join(dom, rule_sets, "site_id", salt_by="page_id", how="left", salts=salts)
 
 
 def _node(span: Column) -> Column:

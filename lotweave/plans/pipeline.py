@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotweave.constants import SEARCH_MAX_RESULTS, SITE_CONFIDENCE
+from lotweave.constants import SITE_CONFIDENCE
 from lotweave.functions import record, web
 from lotweave.operators.dom import with_dom
 from lotweave.operators.lookup import keep_wanted, lookup_join
 from lotweave.plans import model
 from lotweave.plans.generic import LOW_CONFIDENCE, generic_fields, generic_vehicle
 from lotweave.plans.site import site_vehicle
+from lotweave.session import literal_rows
 from lotweave.sources.pages import fetch_urls
 
 NO_RESULTS = "No search results found for VIN"
@@ -25,7 +26,7 @@ PARSERS = [("cars.com", "site")]
 
 def parser_registry(spark: SparkSession) -> DataFrame:
     """Domains with a parser of their own; add rows to route more."""
-    return spark.createDataFrame(PARSERS, "domain string, parser string")
+    return literal_rows(spark, PARSERS, "domain", "parser")
 
 
 def route(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -81,27 +82,25 @@ def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None
     )
 
 
-def vin_index(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Pages naming each (wanted) VIN, at most a search's worth per VIN, best first.
+def vin_index(pages: DataFrame, wanted: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Pages naming each (wanted) VIN with a usable URL, ranked: supported sites, then title, then page.
 
-    The cap is the search's own; ranks are cut inside each partition before rows are shuffled, so
-    a VIN on a third of all pages sends a handful of rows per task.
+    ``limit`` keeps the best so many per VIN; Spark then cuts by rank inside each task before the
+    shuffle.  Without it all are kept.
     """
     rows = pages.select(
-        F.explode(web.vins_in(F.col("html"))).alias("vin"), "page_id", "url",
+        F.explode(F.array_distinct(web.vins_in(F.col("html")))).alias("vin"), "page_id", "url",
         F.regexp_extract("html", r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1).alias("title"),
-    )
+    ).where(web.is_url(F.col("url")))
     if wanted is not None:
         rows = keep_wanted(rows, wanted, "vin")
-    found = Window.partitionBy("vin").orderBy("page_id")
     best = Window.partitionBy("vin").orderBy(F.desc("is_supported"), F.lower("title"), "page_id")
-    cut = rows.withColumn("_n", F.row_number().over(found)).where(F.col("_n") <= SEARCH_MAX_RESULTS).drop("_n")
-    return (
-        cut.where(web.is_url(F.col("url")))
-        .withColumn("domain", web.domain(F.col("url")))
+    ranked = (
+        rows.withColumn("domain", web.domain(F.col("url")))
         .withColumn("is_supported", web.is_supported(F.col("domain")))
         .withColumn("rank", F.row_number().over(best))
     )
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def typed_requests(requests: DataFrame) -> DataFrame:
@@ -119,13 +118,13 @@ def typed_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def candidates(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages to try per request: (request_id, rank, url, page_id, fetch_error)."""
+def candidates(requests: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pages to try per request (the best ``limit`` of a VIN, or all): (request_id, rank, url, page_id, fetch_error)."""
     ok = requests.where(F.col("request_error").isNull())
     vins = ok.where(F.col("input_type") == "vin").select(
         "request_id", web.clean_vin(F.col("input_value")).alias("vin")
     )
-    hits = vins.join(vin_index(pages, vins), "vin").select(
+    hits = vins.join(vin_index(pages, vins, limit), "vin").select(
         "request_id", "rank", "url", "page_id", F.lit(None).cast("string").alias("fetch_error"),
         "title", "domain", "is_supported",
     )
@@ -151,29 +150,29 @@ def first_success(tries: DataFrame, *result: str) -> DataFrame:
 
 
 def process(
-    requests: DataFrame, pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None
+    requests: DataFrame, pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """One trace per request (request_id, input_value[, input_type]).
+    """One trace per request (request_id, input_value[, input_type]); ``limit`` is the search's, per VIN.
 
-    The candidates (a few slim rows per request) are kept, since they choose the pages to parse and
-    are joined with the results: the corpus is searched once.  A lost executor's share of them is
-    recomputed.
+    The choice among a request's candidates moves outcomes only; the vehicle of the one chosen page
+    is joined afterwards.
     """
     asked = typed_requests(requests)
-    tries = candidates(asked, pages).persist()
+    tries = candidates(asked, pages, limit)
     parsed = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers).select(
         "page_id", "success", "parser_used", "confidence", "error", "vehicle"
     )
-    tried = tries.join(parsed, "page_id", "left").withColumn(
+    outcomes = parsed.select("page_id", "success", "parser_used", "confidence", "error")
+    tried = tries.join(outcomes, "page_id", "left").withColumn(
         "success", F.coalesce("success", F.lit(False))
     ).withColumn(
         "error",
         F.when(F.col("fetch_error").isNotNull(), F.concat(F.lit("DOM fetch failed: "), F.col("fetch_error")))
         .otherwise(F.col("error")),
     )
-    chosen = first_success(
-        tried, "url", "fetch_error", "success", "parser_used", "confidence", "error", "vehicle"
-    )
+    chosen = first_success(tried, "page_id", "url", "fetch_error", "success", "parser_used", "confidence", "error")
+    vehicles = parsed.where("success").select("page_id", "vehicle")
+    chosen = chosen.join(vehicles, (chosen["page_id"] == vehicles["page_id"]) & chosen["success"], "left").drop("page_id")
     listed = tries.where(F.col("title").isNotNull()).groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "title", F.col("url").alias("href"), "domain", "is_supported")))
         .alias("search_results")

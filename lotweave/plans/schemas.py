@@ -12,6 +12,15 @@ REQUIRED = ["vin", "goal"]
 PRICE_WORDS = ["price", "cost", "msrp"]
 
 
+def _all_missing() -> Column:
+    return F.array(*[F.lit(f"Missing required field: {f}") for f in REQUIRED])
+
+
+def readable(config: Column) -> Column:
+    """Is the text a JSON object?"""
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(config)), F.lit("OBJECT")), F.lit(False))
+
+
 def _messages(col: Column) -> Column:
     return F.array_sort(F.collect_list(col))
 
@@ -24,7 +33,8 @@ def _missing(field: str) -> Column:
 def validate_mapping(configs: DataFrame) -> DataFrame:
     """Per site: errors, warnings and number of keys, metadata included.
 
-    Unreadable configs come back invalid with no count instead of failing the whole report.
+    Unreadable configs come back invalid with no count instead of failing the whole report; an empty
+    one misses its required fields.
     """
     rules = rule_rows(configs)
     bad = (F.col("kind") == "xpath") & ~selector_ok(F.col("selector"), F.col("selector_type"))
@@ -47,21 +57,26 @@ def validate_mapping(configs: DataFrame) -> DataFrame:
             )
         ).alias("warnings"),
     )
+    lost = F.array(F.concat(F.lit("Mapping not found for site: "), F.col("site_id")))
     return (
-        configs.select("site_id").join(report, "site_id", "left")
+        configs.select("site_id", readable(F.col("config")).alias("_readable")).join(report, "site_id", "left")
+        .withColumn("errors", F.coalesce("errors", F.when(F.col("_readable"), _all_missing()).otherwise(lost)))
         .select(
             "site_id",
-            F.coalesce(F.size("errors") == 0, F.lit(False)).alias("valid"),
-            F.when(F.col("errors").isNull(), F.array(F.concat(F.lit("Mapping not found for site: "), F.col("site_id"))))
-            .otherwise(F.col("errors")).alias("errors"),
+            (F.size("errors") == 0).alias("valid"),
+            "errors",
             F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
-            "fields_count",
+            F.coalesce("fields_count", F.when(F.col("_readable"), F.lit(0))).alias("fields_count"),
         )
     )
 
 
 def validate_config(configs: DataFrame) -> DataFrame:
-    """Per site: structural errors and warnings, counting fields without metadata."""
+    """Per site: structural errors and warnings, counting fields without metadata.
+
+    Every config has a row: an empty one misses its required fields, one that is no JSON object is
+    unreadable.
+    """
     rules = rule_rows(configs)
     shown = ~F.startswith("field", F.lit("_"))
     quoted = F.concat(F.lit("Field '"), F.col("field"), F.lit("'"))
@@ -69,7 +84,7 @@ def validate_config(configs: DataFrame) -> DataFrame:
     bad_type = shown & (F.col("kind") == "dict") & ~F.col("given_type").isin("css", "xpath")
     bad_kind = shown & F.col("kind").isin("list", "other")
     empty = shown & (F.col("rule") == "") & (F.col("field") != "goal") & (F.col("kind") == "static")
-    return rules.groupBy("site_id").agg(
+    report = rules.groupBy("site_id").agg(
         F.array_compact(
             F.concat(
                 F.array(*[_missing(f) for f in REQUIRED]),
@@ -80,21 +95,29 @@ def validate_config(configs: DataFrame) -> DataFrame:
         ).alias("errors"),
         _messages(F.when(empty, F.concat(quoted, F.lit(" has empty selector")))).alias("warnings"),
         F.count_if(shown).cast("int").alias("field_count"),
+    )
+    whole = configs.select("site_id", readable(F.col("config")).alias("_readable")).join(report, "site_id", "left")
+    return whole.select(
+        "site_id",
+        F.coalesce("errors", F.when(F.col("_readable"), _all_missing()).otherwise(F.array(F.lit("unreadable")))).alias("errors"),
+        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
+        F.coalesce("field_count", F.when(F.col("_readable"), F.lit(0))).alias("field_count"),
     ).withColumn("valid", F.size("errors") == 0)
 
 
 def mapping_info(configs: DataFrame) -> DataFrame:
-    """Per site: fields in order, their number and the first three rules."""
+    """Per site: fields in order, their number, all rules in order and the outcome of the validation."""
     entry = F.struct("ordinal", "field", "rule")
     rows = rule_rows(configs).groupBy("site_id").agg(
         F.array_sort(F.collect_list(entry), lambda a, b: a["ordinal"] - b["ordinal"]).alias("entries")
     )
-    return rows.select(
+    checks = validate_mapping(configs).select("site_id", F.struct("valid", "errors", "warnings").alias("validation"))
+    return checks.join(rows, "site_id", "left").select(
         "site_id",
         F.transform("entries", lambda e: e["field"]).alias("fields"),
-        F.size("entries").alias("field_count"),
-        F.transform(F.slice("entries", 1, 3), lambda e: F.struct(e["field"].alias("field"), e["rule"].alias("rule")))
-        .alias("sample_selectors"),
+        F.when(F.col("entries").isNotNull(), F.size("entries")).alias("field_count"),
+        F.transform("entries", lambda e: F.struct(e["field"].alias("field"), e["rule"].alias("rule"))).alias("selectors"),
+        "validation",
     )
 
 
@@ -103,11 +126,12 @@ def available_sites(configs: DataFrame) -> DataFrame:
 
 
 def list_schemas(configs: DataFrame) -> DataFrame:
-    """Readable schemas with their metadata and number of fields."""
+    """Readable schemas with their whole metadata (JSON) and number of fields; rows are to be counted by the caller."""
     doc = F.try_parse_json("config")
-    return configs.where(doc.isNotNull()).select(
+    return configs.where(readable(F.col("config"))).select(
         "site_id",
         F.try_variant_get(doc, "$._metadata.version", "string").alias("version"),
+        F.to_json(F.try_variant_get(doc, "$._metadata", "variant")).alias("metadata"),
         F.size(F.filter(F.json_object_keys("config"), lambda k: ~F.startswith(k, F.lit("_")))).alias("field_count"),
     )
 
@@ -123,12 +147,11 @@ def get_schema(configs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _stamped(config: Column, meta: dict[str, Column]) -> Column:
     """Config text with its metadata replaced by the given entries over the old ones."""
     body = F.map_filter(F.from_json(config, "map<string,variant>"), lambda k, _: k != "_metadata")
-    old = F.coalesce(
-        F.from_json(F.get_json_object(config, "$._metadata"), "map<string,string>"),
-        F.create_map().cast("map<string,string>"),
-    )
-    kept = F.map_filter(old, lambda k, _: ~k.isin(list(meta)))
-    new = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)])
+    none = F.create_map().cast("map<string,variant>")
+    old = F.coalesce(F.from_json(F.get_json_object(config, "$._metadata"), "map<string,variant>"), none)
+    kept = F.map_filter(old, lambda k, _: ~k.isin(list(meta)))  # values keep their types
+    new = F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), F.to_json(F.array(v)))])
+    new = F.transform_values(new, lambda _, v: F.try_variant_get(F.parse_json(v), "$[0]", "variant"))
     full = F.map_concat(body, F.create_map(F.lit("_metadata"), F.to_variant_object(F.map_concat(kept, new))))
     return F.to_json(full)
 
@@ -165,7 +188,7 @@ def update_schemas(existing: DataFrame, asked: DataFrame, updated_by: str = "lot
     meta_text = F.get_json_object("_old", "$._metadata")
     merged = F.when(
         F.get_json_object("config", "$._metadata").isNull() & meta_text.isNotNull(),
-        F.concat(F.lit('{"_metadata": '), meta_text, F.lit(", "), F.substring(F.ltrim("config"), 2, 10_000_000)),
+        F.concat(F.lit('{"_metadata": '), meta_text, F.lit(", "), F.regexp_replace("config", r"^\s*\{", "")),
     ).otherwise(F.col("config"))
     meta = {
         "site_id": F.col("site_id"), "updated_by": F.lit(updated_by),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from lotweave.session import spread
 
-# Every listing refers to one of the dealers 0-9, so the dealer side has at most ten rows.
+# Twenty listings per dealer, in order: every supplier is one, and there are twenty parts per supplier.
 LISTINGS = """
-SELECT /*+ BROADCAST(d) */ p_partkey AS listing_id,
+SELECT p_partkey AS listing_id,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE substr(upper(md5(cast(p_partkey AS string))), 1, 17) END AS vin,
   cast(1985 + p_size AS int) AS year,
   replace(p_brand, '#', '') AS make,
@@ -32,7 +32,7 @@ SELECT /*+ BROADCAST(d) */ p_partkey AS listing_id,
   p_partkey % 17 = 0 AS is_error_page
 FROM {part} JOIN (
   SELECT s_suppkey, s_name, n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
-  WHERE s_suppkey < 10) d ON s_suppkey = p_partkey % 10
+  ) d ON s_suppkey = cast(floor(p_partkey / 20) AS bigint)
 """
 LISTINGS_SQL = LISTINGS.format(part="part", supplier="supplier", nation="nation")
 URL = "concat('https://', host, '/vehicledetail/', cast(listing_id AS string), '/')"

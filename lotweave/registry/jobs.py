@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotweave.constants import FIELD_DICTIONARY
+from lotweave.constants import FIELD_DICTIONARY, SEARCH_MAX_RESULTS
 from lotweave.functions import record, web
 from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import compile_steps, match
@@ -35,15 +35,29 @@ def rules_classify(spark, sf):
         "site_id", "field", "selector_type", "selector", F.when(F.col("kind") == "static", F.col("rule")).alias("static_value"))
 
 
-@query("rules_info", f"""SELECT site_id, string_agg(field, '|' ORDER BY ordinal) AS fields, cast(count(*) AS int) AS field_count,
-  string_agg(CASE WHEN ordinal <= 3 THEN field END, '|' ORDER BY ordinal) AS first_three FROM ({C.CONFIG_RULES}) GROUP BY site_id""")
+_VALIDATED = """SELECT 'site' || s_suppkey AS site_id, s_suppkey % 6 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 5 AS valid,
+  CASE WHEN s_suppkey % 11 = 5 THEN 'Mapping not found for site: site' || s_suppkey ELSE
+    concat_ws('|', CASE WHEN s_suppkey % 6 = 0 THEN 'Missing required field: goal' END,
+      CASE WHEN s_suppkey % 7 = 0 THEN 'Invalid selector for trim: //span[' END) END AS errors,
+  CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 11 <> 5 THEN 'Price selector might not target price element' ELSE '' END AS warnings,
+  CASE WHEN s_suppkey % 11 <> 5 THEN cast(3 + cast(s_suppkey % 4 = 1 AS int) + cast(s_suppkey % 6 <> 0 AS int) + cast(s_suppkey % 3 = 0 AS int)
+    + cast(s_suppkey % 8 = 0 AS int) + cast(s_suppkey % 10 = 3 AS int) + cast(s_suppkey % 14 = 2 AS int) AS int) END AS fields_count FROM supplier"""
+
+
+@query("rules_info", f"""SELECT v.site_id, i.fields, i.field_count, i.selectors, v.valid, v.errors, v.warnings FROM ({_VALIDATED}) v LEFT JOIN
+  (SELECT site_id, string_agg(field, '|' ORDER BY ordinal) AS fields, cast(count(*) AS int) AS field_count,
+    string_agg(field || '=' || CASE WHEN kind IN ('css', 'xpath', 'static') AND field NOT IN ('year', 'model', '_metadata') THEN rule ELSE '(object)' END, '|' ORDER BY ordinal)
+      FILTER (WHERE field <> 'make') AS selectors
+   FROM ({C.CONFIG_RULES}) GROUP BY site_id) i ON i.site_id = v.site_id""")
 def rules_info(spark, sf):
+    shown = F.transform(F.filter("selectors", lambda s: s["field"] != "make"), lambda s: F.concat(s["field"], F.lit("="), F.when(
+        s["field"].isin("year", "model", "_metadata"), F.lit("(object)")).otherwise(s["rule"])))
     return schemas.mapping_info(C.site_configs(spark, sf)).select(
-        "site_id", F.array_join("fields", "|").alias("fields"), "field_count",
-        F.array_join(F.transform("sample_selectors", lambda s: s["field"]), "|").alias("first_three"))
+        "site_id", F.array_join("fields", "|").alias("fields"), "field_count", F.array_join(shown, "|").alias("selectors"),
+        "validation.valid", F.array_join("validation.errors", "|").alias("errors"), F.array_join("validation.warnings", "|").alias("warnings"))
 
 
-@query("schema_list", f"""SELECT site_id, max(CASE WHEN field = '_metadata' THEN '1.2.0' END) AS version,
+@query("schema_list", f"""SELECT site_id, max(CASE WHEN field = '_metadata' THEN '1.2.0' END) AS version, max(CASE WHEN field = '_metadata' THEN rule END) AS metadata,
   cast(count(*) FILTER (WHERE field <> '_metadata') AS int) AS field_count FROM ({C.CONFIG_RULES}) GROUP BY site_id""")
 def schema_list(spark, sf):
     return schemas.list_schemas(C.site_configs(spark, sf))
@@ -56,13 +70,7 @@ def schema_get(spark, sf):
     return schemas.get_schema(C.site_configs(spark, sf), wanted).select("site_id", "error")
 
 
-@query("rules_validate", """SELECT 'site' || s_suppkey AS site_id, s_suppkey % 6 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 5 AS valid,
-  CASE WHEN s_suppkey % 11 = 5 THEN 'Mapping not found for site: site' || s_suppkey ELSE
-    concat_ws('|', CASE WHEN s_suppkey % 6 = 0 THEN 'Missing required field: goal' END,
-      CASE WHEN s_suppkey % 7 = 0 THEN 'Invalid selector for trim: //span[' END) END AS errors,
-  CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 11 <> 5 THEN 'Price selector might not target price element' ELSE '' END AS warnings,
-  CASE WHEN s_suppkey % 11 <> 5 THEN cast(3 + cast(s_suppkey % 4 = 1 AS int) + cast(s_suppkey % 6 <> 0 AS int) + cast(s_suppkey % 3 = 0 AS int)
-    + cast(s_suppkey % 8 = 0 AS int) + cast(s_suppkey % 10 = 3 AS int) + cast(s_suppkey % 14 = 2 AS int) AS int) END AS fields_count FROM supplier""")
+@query("rules_validate", _VALIDATED)
 def rules_validate(spark, sf):
     return schemas.validate_mapping(C.site_configs(spark, sf)).select(
         "site_id", "valid", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), "fields_count")
@@ -75,36 +83,47 @@ _CONFIG_ERRORS = """concat_ws('|', CASE WHEN s_suppkey % 6 = 0 THEN 'Missing req
   CASE WHEN s_suppkey % 8 = 0 THEN 'Field ''make'' has invalid configuration type' END)"""
 
 
-@query("config_validate", f"""SELECT 'site' || s_suppkey AS site_id, {_CONFIG_OK} AS valid, {_CONFIG_ERRORS} AS errors,
-  CASE WHEN s_suppkey % 10 = 3 THEN 'Field ''color'' has empty selector' ELSE '' END AS warnings FROM supplier WHERE s_suppkey % 11 <> 5""")
+@query("config_validate", f"""SELECT 'site' || s_suppkey AS site_id, s_suppkey % 11 <> 5 AND {_CONFIG_OK} AS valid,
+  CASE WHEN s_suppkey % 11 = 5 THEN 'unreadable' ELSE {_CONFIG_ERRORS} END AS errors,
+  CASE WHEN s_suppkey % 10 = 3 AND s_suppkey % 11 <> 5 THEN 'Field ''color'' has empty selector' ELSE '' END AS warnings FROM supplier""")
 def config_validate(spark, sf):
     return schemas.validate_config(C.site_configs(spark, sf)).select(
         "site_id", "valid", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"))
 
 
+def _metadata_keys():
+    meta = F.to_json(F.try_variant_get(F.try_parse_json("config"), "$._metadata", "variant"))
+    return F.array_join(F.array_sort(F.json_object_keys(meta)), "|").alias("metadata_keys")
+
+
 @query("schema_create", f"""SELECT 'site' || s_suppkey AS site_id,
   CASE WHEN s_acctbal < 5000 THEN 'conflict' WHEN s_suppkey % 11 = 5 OR NOT ({_CONFIG_OK}) THEN 'invalid' ELSE 'created' END AS status,
   CASE WHEN s_acctbal < 5000 THEN 'Schema already exists: site' || s_suppkey WHEN s_suppkey % 11 = 5 THEN 'Invalid schema: unreadable'
     WHEN NOT ({_CONFIG_OK}) THEN 'Invalid schema: ' || replace({_CONFIG_ERRORS}, '|', ', ') END AS error,
-  CASE WHEN s_acctbal >= 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN '1.0.0' END AS version FROM supplier""")
+  CASE WHEN s_acctbal >= 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN '1.0.0' END AS version,
+  CASE WHEN s_acctbal >= 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN CASE WHEN s_suppkey % 4 = 1 THEN
+    'created_at|created_by|site|site_id|version' ELSE 'created_at|created_by|site_id|version' END END AS metadata_keys FROM supplier""")
 def schema_create(spark, sf):
     asked = C.site_configs(spark, sf)
     taken = C.table(spark, sf, "supplier").where("s_acctbal < 5000").select(F.concat(F.lit("site"), F.col("s_suppkey")).alias("site_id"))
     existing = asked.join(taken, "site_id", "left_semi")
     out = schemas.create_schemas(existing, asked)
-    return out.select("site_id", "status", "error", F.get_json_object("config", "$._metadata.version").alias("version"))
+    return out.select("site_id", "status", "error", F.get_json_object("config", "$._metadata.version").alias("version"), _metadata_keys())
 
 
 @query("schema_update", f"""SELECT 'site' || s_suppkey AS site_id, s_acctbal < 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} AS updated,
   CASE WHEN s_suppkey % 4 = 1 AND s_suppkey % 11 <> 5 THEN '1.2.0'
-    WHEN s_acctbal < 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN '1.0.0' END AS version FROM supplier""")
+    WHEN s_acctbal < 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN '1.0.0' END AS version,
+  CASE WHEN s_acctbal < 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN CASE WHEN s_suppkey % 4 = 1 THEN
+      'site|site_id|updated_at|updated_by|version' ELSE 'site_id|updated_at|updated_by|version' END
+    WHEN s_suppkey % 4 = 1 AND s_suppkey % 11 <> 5 THEN 'site|version' END AS metadata_keys FROM supplier""")
 def schema_update(spark, sf):
     existing = C.site_configs(spark, sf)
     some = C.table(spark, sf, "supplier").where("s_acctbal < 5000").select(F.concat(F.lit("site"), F.col("s_suppkey")).alias("site_id"))
     asked = existing.join(some, "site_id", "left_semi")
     out = schemas.update_schemas(existing, asked)
     version = F.try_variant_get(F.try_parse_json("config"), "$._metadata.version", "string")
-    return out.select("site_id", "updated", version.alias("version"))
+    return out.select("site_id", "updated", version.alias("version"), _metadata_keys())
 
 
 # --- model answers -------------------------------------------------------------------------
@@ -372,9 +391,10 @@ def route_auto(spark, sf):
 
 
 @query("vin_pages", truth(f"""SELECT vin, listing_id AS page_id, {C.URL} AS url, year || ' ' || make || ' ' || model AS title,
-  cast(1 AS int) AS rank, host IN ('www.cars.com', 'carfax.com') AS is_supported FROM listings WHERE vin IS NOT NULL"""))
+  cast(1 AS int) AS rank, host IN ('www.cars.com', 'carfax.com') AS is_supported, true AS within_limit FROM listings WHERE vin IS NOT NULL"""))
 def vin_pages(spark, sf):
-    return pipeline.vin_index(C.listing_pages(spark, sf)).select("vin", "page_id", "url", "title", "rank", "is_supported")
+    return pipeline.vin_index(C.listing_pages(spark, sf)).select(
+        "vin", "page_id", "url", "title", "rank", "is_supported", (F.col("rank") <= SEARCH_MAX_RESULTS).alias("within_limit"))
 
 
 @query("vin_unmatched", truth("""SELECT listing_id AS request_id, 'No search results found for VIN' AS error FROM listings

@@ -240,12 +240,6 @@ def similarity_numeric(spark, sf):
     return C.listings(spark, sf).select("listing_id", compare.numeric_similarity(a, b).alias("similarity"))
 
 
-@query("similarity_text")
-def similarity_text(spark, sf):
-    pairs = C.listings(spark, sf).select("listing_id", F.col("model").alias("a"), F.expr("concat(color, ' ', body_style)").alias("b"))
-    return compare.with_similarity(pairs, "a", "b")
-
-
 @query("case_outcomes", """SELECT p_partkey, p_partkey % 3 = 0 AS success, CASE p_partkey % 3
   WHEN 1 THEN 'API request failed with status 400: bad goal' WHEN 2 THEN 'API request failed with status 500: ' END AS error FROM part""")
 def case_outcomes(spark, sf):

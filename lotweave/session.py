@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Arrow batches are bounded in rows and bytes: a page body may be megabytes, so the default of
 # 10 000 rows per batch could be gigabytes in one Python worker.
@@ -33,6 +34,12 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A few fixed rows as a table whose small size the planner knows, so that joins broadcast it."""
+    items = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*items)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; a local one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

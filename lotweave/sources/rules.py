@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.operators.selectors import compile_steps, rule_kind, terminal
+from lotweave.session import literal_rows
 from lotweave.sources.site_rules import SITE_RULES
 
 
@@ -22,7 +23,7 @@ def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
 def built_in_configs(spark: SparkSession) -> DataFrame:
     """The known sites' mappings in the same (site_id, config) form."""
     rows = [(site, json.dumps(rules)) for site, rules in SITE_RULES.items()]
-    return spark.createDataFrame(rows, "site_id string, config string")
+    return literal_rows(spark, rows, "site_id", "config")
 
 
 def _typed(value: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lotweave.functions import record
 from lotweave.plans.pipeline import parse_pages
-from lotweave.session import checkpoint_dir
 
 PAGE_SCHEMA = "page_id long, url string, html string, fetched_at timestamp"
 
@@ -37,14 +36,21 @@ def goals(pages: DataFrame, registry: DataFrame, answers: DataFrame | None = Non
 
 def run_intake(
     stream: DataFrame, registry: DataFrame, out_path: str, name: str, answers: DataFrame | None = None,
-    once: bool = False,
+    once: bool = False, checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Write goals of arriving pages; each micro-batch replaces its own folder, so a retry adds nothing."""
+    """Write goals of arriving pages; each micro-batch replaces its own folder, so a retry adds nothing.
+
+    The stream's state lives under ``checkpoint`` or the session's spark.checkpoint.dir, which a
+    restart must find again: one of the two is required.
+    """
+    folder = checkpoint or stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("a stream needs a checkpoint folder that outlives it")
 
     def write(batch: DataFrame, epoch: int) -> None:
         goals(batch, registry, answers).write.mode("overwrite").json(f"{out_path}/epoch={epoch}")
 
     writer = stream.writeStream.foreachBatch(write).option(
-        "checkpointLocation", f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/{name}"
+        "checkpointLocation", f"{folder.rstrip('/')}/{name}"
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -63,9 +63,9 @@ def test_intervals_agree_with_parents(parts):
 
 def test_columns_pass_through_and_html_leaves(spark, pages):
     dom = with_dom(pages("<p>a</p>", None, ""))
-    assert dom.columns == ["page_id", "url", "nodes", "texts"]
+    assert dom.columns == ["page_id", "url", "nodes", "texts", "parse_errors"]
     assert {r.page_id: r.n for r in dom.select("page_id", F.size("nodes").alias("n")).collect()} == {0: 1, 1: 0, 2: 0}
-    assert with_dom(pages("<p>a</p>"), keep_html=True).columns == ["page_id", "url", "html", "nodes", "texts"]
+    assert with_dom(pages("<p>a</p>"), keep_html=True).columns == ["page_id", "url", "html", "nodes", "texts", "parse_errors"]
 
 
 def test_long_tables(spark, pages):
@@ -79,3 +79,10 @@ def test_deep_unclosed_markup_stays_linear():
     nodes, _ = tree("<p>x" * 5000)
     assert len(nodes) == 5000 and nodes[0]["last"] == 5000 and nodes[-1]["depth"] == 5000
     assert issubclass(_Rows, HTMLParser)
+
+
+def test_rejected_declarations_lose_nothing_else(spark, pages):
+    rows = with_dom(pages("<p>a</p><![foo bar]><p>b</p>", "<p>c</p>", "<p>d</p><![foo")).orderBy("page_id").collect()
+    shown = [[t["text"] for t in r.texts if t["kind"] == "text"] for r in rows]
+    assert shown[0] == ["a", "b"] and shown[1] == ["c"] and shown[2][0] == "d"
+    assert [r.parse_errors for r in rows][:2] == [1, 0]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotweave.operators.dom import with_dom
 from lotweave.operators.lookup import lookup_join
+from lotweave.session import literal_rows
 from lotweave.plans import generic, mapping, model, pipeline, schemas, search, site, suggest
 from lotweave.sources import cases
 from lotweave.sources import pages as P
@@ -114,11 +115,11 @@ def test_page_copies_and_repeated_requests(spark, pages):
     assert got == {1: (0, None), 2: (0, None), 3: (None, P.INVALID_URL), 4: (None, P.INVALID_URL)}
 
 
-def test_lookup_join_gives_the_same_rows_beyond_its_bound(spark):
+def test_lookup_join_gives_the_same_rows_with_salts(spark):
     big = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k")
-    small = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(40)]], "k string, v int")
+    small = literal_rows(spark, [("hot", 1), *[(f"k{i}", i) for i in range(40)]], "k", "v")
     a = lookup_join(big, small, "k", "id", "left")
-    b = lookup_join(big, small, "k", "id", "left", max_rows=3)
+    b = lookup_join(big, small, "k", "id", "left", salts=16)
     assert sorted(a.select("id", "v").collect()) == sorted(b.select("id", "v").collect()) and b.count() == 1000
     assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
 
@@ -166,13 +167,47 @@ def test_schema_update_keeps_version_and_create_conflicts(spark):
     assert {r.site_id: r.status for r in schemas.create_schemas(old, new).collect()} == {"s": "conflict", "t": "created"}
 
 
+def test_metadata_keeps_its_types_and_long_configs_stay_whole(spark):
+    long = "x" * 200_000
+    old = spark.createDataFrame([("s", '{"_metadata": {"n": 5, "on": true, "tags": ["a"], "o": {"x": true}}, "vin": ".v", "goal": "g"}')], "site_id string, config string")
+    new = spark.createDataFrame([("s", '  {"vin": ".w", "goal": "' + long + '"}')], "site_id string, config string")
+    doc = json.loads(schemas.update_schemas(old, new).head().config)
+    assert doc["goal"] == long and {k: doc["_metadata"][k] for k in ("n", "on", "tags", "o")} == {"n": 5, "on": True, "tags": ["a"], "o": {"x": True}}
+    assert doc["_metadata"]["site_id"] == "s" and doc["_metadata"]["version"] == "1.0.0"
+
+
+def test_empty_and_unreadable_configs_are_reported(spark):
+    configs = spark.createDataFrame([("e", "{}"), ("u", "{"), ("l", "[1]")], "site_id string, config string")
+    missing = ["Missing required field: vin", "Missing required field: goal"]
+    got = {r.site_id: (r.valid, r.errors, r.fields_count) for r in schemas.validate_mapping(configs).collect()}
+    assert got["e"] == (False, missing, 0) and got["u"][:2] == (False, ["Mapping not found for site: u"]) and got["l"][0] is False
+    assert {r.site_id: r.errors for r in schemas.validate_config(configs).collect()} == {"e": missing, "u": ["unreadable"], "l": ["unreadable"]}
+    assert {r.site_id: r.validation.valid for r in schemas.mapping_info(configs).collect()} == {"e": False, "u": False, "l": False}
+
+
+def test_best_page_of_a_vin_comes_first_whatever_its_id(spark):
+    rows = [(i, f"https://h{i}.com/", f"<title>t{i}</title> {VIN}") for i in range(14)] + [(90, "bad", f"{VIN}"), (99, "https://www.cars.com/d/1/", f"<title>z</title>{VIN} {VIN}")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = pipeline.vin_index(table).orderBy("rank").collect()
+    assert len(got) == 15 and got[0].page_id == 99 and got[0].is_supported
+    assert [r.page_id for r in pipeline.vin_index(table, limit=3).orderBy("rank").collect()] == [r.page_id for r in got[:3]]
+
+
+def test_a_third_of_requests_for_one_vin(spark):
+    table = spark.createDataFrame([(1, "https://www.cars.com/d/1/", f"<p data-qa='vin-value'>{VIN}</p>"), (2, "https://x.com/2", "<h1>2020 Kia Rio</h1>")], "page_id long, url string, html string")
+    asked = spark.range(300).selectExpr("id as request_id", f"if(id % 3 = 0, '{VIN}', concat('https://x.com/', id % 9)) as input_value")
+    got = pipeline.process(asked, table, pipeline.parser_registry(spark))
+    rows = {r.request_id: r for r in got.collect()}
+    assert len(rows) == 300 and all(rows[i].selected_url == "https://www.cars.com/d/1/" for i in range(0, 300, 3))
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     rows = [(1, "https://www.cars.com/1", "<p data-qa='vin-value'>" + VIN, "2026-01-01 00:00:00"), (2, "https://www.cars.com/1", "<p>copy", "2026-01-01 00:01:00"),
             (3, "https://x.com/2", "<h1>2020 Kia Rio</h1> VIN: " + VIN, "2026-01-01 00:02:00")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, t string").withColumn("fetched_at", F.to_timestamp("t")).drop("t")
     df.write.parquet(f"{tmp_path}/in")
     registry = pipeline.parser_registry(spark)
-    q = intake.run_intake(intake.page_stream(spark, f"{tmp_path}/in"), registry, f"{tmp_path}/out", f"test-{uuid4().hex}", once=True)
+    q = intake.run_intake(intake.page_stream(spark, f"{tmp_path}/in"), registry, f"{tmp_path}/out", f"test-{uuid4().hex}", once=True, checkpoint=f"{tmp_path}/state")
     q.awaitTermination(120)
     got = spark.read.json(f"{tmp_path}/out").select("url", "goal").collect()
     assert len(got) == 2

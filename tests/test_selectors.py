@@ -50,7 +50,7 @@ def test_rule_kind(spark, rule, kind):
     assert spark.range(1).select(rule_kind(F.lit(rule)).alias("k")).head().k == kind
 
 
-@pytest.mark.parametrize("rule", [".a + .b", ".a ~ .b", "//a[", "//a[1]", "//a[text()='x']", ".a,", ".a:hover"])
+@pytest.mark.parametrize("rule", [".a + .b", ".a ~ .b", "//a[", "//a[1]", "//a[text()='x']", ".a,", ".a:hover", ".a >", ".a > > .b"])
 def test_outside_the_grammar(spark, rule):
     r = F.lit(rule)
     assert spark.range(1).select(selector_ok(r, rule_kind(r)).alias("ok")).head().ok is False
@@ -65,3 +65,14 @@ def test_node_selector(dom):
     got = dom.select(F.transform("nodes", lambda n: node_selector(n.id)).alias("s")).head().s
     assert got == ["[document] > html", "[document] > html > body", ".a.x", "#one", "body > div.a.x > p > span", ".b",
                    "body > div.a.x > div.b > p", ".b", ".price.big", "html > body > div.b > a"]
+
+
+def test_class_attribute_tests_see_single_spaces(spark, pages):
+    spaced = with_dom(pages("<p class='a  x\ny'>1</p>"))
+    assert found(spaced, "[class='a x y']") == found(spaced, "//p[@class='a x y']/text()") == ["1"]
+    assert spaced.select(F.transform(select([Step(attr=("class", "=", "a x y"))]), element_text).alias("v")).head().v == ["1"]
+
+
+def test_long_attribute_names(spark, pages):
+    name = "data-" + "n" * 1500
+    assert found(with_dom(pages(f"<p {name}='v'>1</p>")), f"//p/@{name}") == ["v"]
