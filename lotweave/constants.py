@@ -36,8 +36,6 @@ DOMAIN_MARKS = {
     "autotrader.com": ["autotrader", "at-listing"],
     "capitalone.com": ["capital one auto"],
 }
-PAGE_CUT = 50_000
-MODEL_INPUT_CUT = 5_000
 
 # --- fixed values: site layout selectors ---------------------------------------------------
 DETAIL_NAMES = {

@@ -78,7 +78,7 @@ def goal_struct(v: Column, metadata: Column | None = None) -> Column:
                 v["dealer_address"].alias("address"),
             ),
         ),
-        "images": F.slice(v["images"], 1, 5),
+        "images": v["images"],
     }
     out = [special.get(k, v[k] if k not in special else None).alias(k) for k in GOAL_KEYS]
     if metadata is not None:

@@ -96,14 +96,17 @@ def coverage(found: Column) -> Column:
 
 
 def pair_up(previews: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row per page with both sides' entries; ``model`` is null where the answer failed."""
-    left = previews.select(
+    """One row per previewed page with both sides' entries; ``model`` is null where the answer failed or is missing.
+
+    Pages of sites without rules have no mapping side and are left out.
+    """
+    left = previews.where(F.col("fields").isNotNull()).select(
         "page_id", entries(F.col("fields")).alias("mapping"),
         F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["success"].alias("success"))).alias("tried"),
         F.col("confidence").alias("mapping_confidence"), F.size("errors").alias("mapping_errors"),
     )
-    right = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("model"))
-    return left.join(right, "page_id")
+    right = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("model"), F.col("error").alias("model_error"))
+    return left.join(right, "page_id", "left")
 
 
 def _value_of(found: Column, field: Column) -> Column:
@@ -136,13 +139,13 @@ def compare_fields(pairs: DataFrame) -> DataFrame:
         F.when(m.isNull(), 0.0).when(a.isNull(), 0.5).otherwise(F.col("similarity")),
     )
     note = (
-        F.when(kind_is("missing"), F.concat(F.lit("Consider adding mapping for '"), F.col("field"), F.lit("': "), F.substring(a, 1, 100)))
+        F.when(kind_is("missing"), F.concat(F.lit("Consider adding mapping for '"), F.col("field"), F.lit("': "), a))
         .when(kind_is("extra"), F.concat(F.lit("Mapping found '"), F.col("field"), F.lit("' but AI didn't - verify accuracy")))
         .when(kind_is("different"), F.concat(
-            F.lit("Values differ - Mapping: '"), F.substring(m, 1, 50), F.lit("' vs AI: '"), F.substring(a, 1, 50), F.lit("'")))
+            F.lit("Values differ - Mapping: '"), m, F.lit("' vs AI: '"), a, F.lit("'")))
     )
     return judged.select(
-        "page_id", "field", "mapping_value", "model_value",
+        "page_id", "field", field_rank(F.col("field")).alias("field_order"), "mapping_value", "model_value",
         kind_is("match").alias("is_match"), "similarity", "difference_type",
         note.alias("suggestion"),
         F.when(F.col("tried").isNotNull(), F.when(F.col("tried"), 0.8).otherwise(0.0)).alias("confidence"),
@@ -187,7 +190,7 @@ def page_scores(comparisons: DataFrame) -> DataFrame:
     advice = F.array_compact(F.array(
         F.when(F.col("missing") > 0, F.concat(
             F.lit("Consider adding mappings for "), F.col("missing"), F.lit(" missing fields: "),
-            F.array_join(F.slice("missing_fields", 1, 5), ", "))),
+            F.array_join("missing_fields", ", "))),
         F.when(F.col("different") > 0, F.concat(
             F.lit("Review "), F.col("different"), F.lit(" fields with different values - selectors may need refinement"))),
         F.when(F.col("mapping_errors") > 0, F.concat(
@@ -196,4 +199,15 @@ def page_scores(comparisons: DataFrame) -> DataFrame:
         F.when(F.size("critical_fields") > 0, F.concat(
             F.lit("Priority: Add mappings for critical fields: "), F.array_join("critical_fields", ", "))),
     ))
-    return agg.select("*", F.slice(advice, 1, 10).alias("recommendations"))
+    return agg.select("*", advice.alias("recommendations"))
+
+
+def page_results(pairs: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """One row per page with an answer or none: its scores, or why it could not be compared."""
+    scores = page_scores(comparisons).drop("mapping_confidence", "mapping_errors")
+    none = F.array().cast("array<string>")
+    rows = pairs.select("page_id", F.col("model").isNotNull().alias("success"), "model_error").join(scores, "page_id", "left")
+    zeros = {c: F.coalesce(c, F.lit(0.0)) for c in ("overall_similarity", "mapping_coverage", "model_coverage")}
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("matches", "fields", "missing", "different")}
+    error = F.when(~F.col("success"), F.concat(F.lit("AI extraction failed: "), F.coalesce("model_error", F.lit("no answer"))))
+    return rows.withColumns(zeros | counts | {"recommendations": F.coalesce("recommendations", none), "error": error}).drop("model_error")

@@ -28,8 +28,12 @@ def dealer_name() -> Column:
     return F.coalesce(*[only(t, lambda x: F.length(x) < 100) for t in texts])
 
 
-def images(url: Column) -> Column:
-    """Sources of all images but small ones, absolute where rooted, first ten."""
+def _some(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def images(url: Column, limit: int | None = None) -> Column:
+    """Sources of all images but small ones, absolute where rooted; the first ``limit``, or all."""
 
     def big(n: Column) -> Column:
         width, height = n.attrs["width"], n.attrs["height"]
@@ -39,16 +43,16 @@ def images(url: Column) -> Column:
 
     src = F.transform(F.filter(F.col("nodes"), big), link_value)
     full = F.transform(F.filter(src, lambda s: s != ""), lambda s: web.root_relative(s, url))
-    return F.slice(F.array_distinct(full), 1, 10)
+    return _some(F.array_distinct(full), limit)
 
 
-def features() -> Column:
-    """Items of lists with 3 to 20 entries, 5 to 50 characters long, first fifteen."""
+def features(limit: int | None = None) -> Column:
+    """Items of lists with 3 to 20 entries, 5 to 50 characters long; the first ``limit``, or all."""
 
     items = "filter(slice(nodes, b.id + 1, b.last - b.id), n -> n.tag = 'li')"
     texts = f"if(size(li) BETWEEN 3 AND 20, transform(li, e -> {element_sql('e')}), array())"
     lists = f"transform(filter(nodes, b -> b.tag IN ('ul', 'ol')), b -> get(transform(array({items}), li -> {texts}), 0))"
-    return F.expr(f"slice(filter(flatten({lists}), s -> length(s) BETWEEN 5 AND 50), 1, 15)")
+    return _some(F.expr(f"filter(flatten({lists}), s -> length(s) BETWEEN 5 AND 50)"), limit)
 
 
 @cache
@@ -88,8 +92,11 @@ def generic_vehicle(found: Column) -> Column:
     )
 
 
-def model_input() -> Column:
-    """Page text prepared for a model: side content dropped, short and numeric lines dropped."""
+def model_input(limit: int | None = None) -> Column:
+    """Page text prepared for a model: side content dropped, short and numeric lines dropped.
+
+    ``limit`` keeps the first so many lines.
+    """
     side = F.filter(F.col("nodes"), lambda n: n.tag.isin("nav", "footer", "aside", "header"))
     forms = F.filter(F.col("nodes"), lambda n: n.tag.isin("form", "button", "input"))
 
@@ -102,7 +109,7 @@ def model_input() -> Column:
         pieces = F.filter(F.transform(texts, lambda t: strip(t.text)), lambda p: p != "")
         cut = F.transform(F.split(F.array_join(pieces, "\n"), "\n"), strip)
         kept = F.filter(cut, lambda s: (F.length(s) > 5) & ~s.rlike(r"(?U)^\d+$"))
-        return F.array_join(F.slice(kept, 1, 100), "\n")
+        return F.array_join(_some(kept, limit), "\n")
 
     def focus(texts: Column) -> Column:
         # a main element inside dropped side content is gone as well
@@ -127,7 +134,7 @@ def model_input() -> Column:
 
 def parse_generic(dom: DataFrame) -> DataFrame:
     """One result per page: record, confidence, whether a model is needed and what it would read."""
-    keep = [c for c in dom.columns if c not in ("nodes", "texts")]
+    keep = [c for c in dom.columns if c not in ("nodes", "texts", "parse_errors")]
     scored = dom.select(
         *dom.columns, generic_fields().alias("found")
     ).withColumn("confidence", record.generic_confidence(F.col("found")))

@@ -257,10 +257,16 @@ def _preview_one(r: Column) -> Column:
 
 
 def preview(ruled: DataFrame) -> DataFrame:
-    """Per page: preview results, confidence over fields without metadata, collected errors."""
-    keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules")]
-    rows = ruled.where(F.col("rules").isNotNull()).select(*keep, previewed_rules().alias("fields"))
-    n, total = F.size(F.filter("fields", lambda f: f["success"])), F.size("fields")
+    """Per page: preview results, confidence over fields without metadata, collected errors.
+
+    A page of a site without rules has no fields and one error.
+    """
+    keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules", "parse_errors")]
+    rows = ruled.select(*keep, F.when(F.col("rules").isNotNull(), previewed_rules()).alias("fields"))
+    lost = F.array(F.concat(F.lit("No mapping found for site: "), F.coalesce("site_id", F.lit(""))))
+    n = F.coalesce(F.size(F.filter("fields", lambda f: f["success"])), F.lit(0))
+    total = F.when(F.col("fields").isNull(), 0).otherwise(F.size("fields"))
+    n = F.when(F.col("fields").isNull(), 0).otherwise(n)
     failed = F.filter("fields", lambda f: ~f["success"] & f["error"].isNotNull())
     return rows.select(
         "*",
@@ -268,7 +274,7 @@ def preview(ruled: DataFrame) -> DataFrame:
         total.alias("total_fields"),
         F.when(total > 0, n / total).otherwise(0.0).alias("confidence"),
         (n > 0).alias("success"),
-        F.transform(failed, lambda f: F.concat(f["field"], F.lit(": "), f["error"])).alias("errors"),
+        F.coalesce(F.transform(failed, lambda f: F.concat(f["field"], F.lit(": "), f["error"])), lost).alias("errors"),
     )
 
 
@@ -280,20 +286,17 @@ def preview_rows(previews: DataFrame) -> DataFrame:
 
 
 def test_selector(dom: DataFrame, steps: Column, kind: Column, end: Column) -> DataFrame:
-    """Matches of one selector per page and the first five texts, 100 characters each."""
+    """Matches of one selector per page and their whole texts."""
 
     def texts_of(spans: Column) -> Column:
         css = F.transform(spans, lambda s: element_text(_node(s)))
         return F.when(kind == "xpath", F.transform(xpath_values(spans, end), strip)).otherwise(css)
 
-    def cut(t: Column) -> Column:
-        return F.when(F.length(t) > 100, F.concat(F.substring(t, 1, 100), F.lit("..."))).otherwise(t)
-
     keep = [c for c in dom.columns if c not in ("nodes", "texts")]
     hit = dom.select(*keep, let(match(steps), texts_of).alias("all_texts"))
     n = F.when(F.col("all_texts").isNull(), 0).otherwise(F.size("all_texts"))
     return hit.select(
         *keep, n.alias("matches"), (n > 0).alias("success"),
-        F.transform(F.slice("all_texts", 1, 5), cut).alias("texts"),
+        F.col("all_texts").alias("texts"),
         F.when(n == 0, F.lit("No elements found")).alias("error"),
     )

@@ -11,7 +11,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.constants import ARRAY_FIELDS, INT_FIELDS, MODEL_INPUT_CUT, STRING_FIELDS
+from lotweave.constants import ARRAY_FIELDS, INT_FIELDS, STRING_FIELDS
 from lotweave.functions import record
 from lotweave.operators.selectors import let, only, strip
 
@@ -35,13 +35,13 @@ def prompt(url: Column, content: Column, existing: Column) -> Column:
     )
 
 
-def selector_prompt(html: Column, fields: list[tuple[str, str]]) -> Column:
-    """Question asking for selectors of the given (field, description) pairs."""
+def selector_prompt(html: Column, fields: list[tuple[str, str]], limit: int | None = None) -> Column:
+    """Question asking for selectors of the given (field, description) pairs; ``limit`` is in characters of the page."""
     wanted = "\n".join(f"- {name}: {text}" for name, text in fields)
-    cut = F.when(
-        F.length(html) > MODEL_INPUT_CUT, F.concat(F.substring(html, 1, MODEL_INPUT_CUT), F.lit("..."))
-    ).otherwise(html)
-    return F.concat(F.lit(f"Name a stable selector for each field:\n{wanted}\n\nPage:\n"), cut)
+    shown = html
+    if limit is not None:
+        shown = F.when(F.length(html) > limit, F.concat(F.substring(html, 1, limit), F.lit("..."))).otherwise(html)
+    return F.concat(F.lit(f"Name a stable selector for each field:\n{wanted}\n\nPage:\n"), shown)
 
 
 def answer_json(response: Column) -> Column:

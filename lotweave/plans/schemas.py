@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import selector_ok
+from lotweave.plans import mapping
+from lotweave.sources.pages import fetch_urls
 from lotweave.sources.rules import rule_rows
 
 REQUIRED = ["vin", "goal"]
@@ -201,3 +204,33 @@ def update_schemas(existing: DataFrame, asked: DataFrame, updated_by: str = "lot
         "site_id", "config", F.lit(False).alias("updated")
     )
     return kept.unionByName(changed)
+
+
+def test_schemas(tests: DataFrame, pages: DataFrame, rule_sets: DataFrame) -> DataFrame:
+    """One row per tested (site_id, url): what the site's rules find on the page, or why there is nothing.
+
+    Each URL is looked up once; pages join the slim list of tests, which Spark broadcasts while small.
+    """
+    found = fetch_urls(tests, pages).select("url", "page_id", F.col("error").alias("fetch_error"))
+    placed = tests.select("site_id", "url").distinct().join(found, "url", "left")
+    placed = placed.join(rule_sets.select("site_id", F.lit(True).alias("_known")), "site_id", "left")
+    asked = placed.where("page_id IS NOT NULL AND _known").select("page_id", "site_id")
+    shown = mapping.preview(mapping.with_rules(with_dom(pages.select("page_id", "html").join(asked, "page_id")), rule_sets))
+    results = shown.select("page_id", "site_id", "success", "successful_fields", "total_fields", "confidence", "errors")
+    out = placed.join(results, ["page_id", "site_id"], "left")
+    unknown = F.concat(F.lit("Schema not found: "), F.coalesce("site_id", F.lit("")))
+    return out.select(
+        "site_id", "url", F.coalesce("success", F.lit(False)).alias("success"),
+        F.coalesce("successful_fields", F.lit(0)).alias("fields_extracted"), F.coalesce("total_fields", F.lit(0)).alias("total_fields"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "errors",
+        F.when(F.col("_known").isNull(), unknown)
+        .when(F.col("page_id").isNull(), F.concat(F.lit("Failed to fetch: "), F.coalesce("fetch_error", F.lit("")))).alias("error"),
+    )
+
+
+def success_rates(results: DataFrame) -> DataFrame:
+    """Tests, successes and their share per site, failures to fetch counted."""
+    return results.groupBy("site_id").agg(
+        F.count("*").alias("tests"), F.count_if("success").alias("successes"),
+        F.avg(F.col("success").cast("double")).alias("success_rate"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotweave.constants import SEARCH_MAX_RESULTS, TOP_URLS
+from lotweave.constants import TOP_URLS
 from lotweave.functions import web
 
 
@@ -16,29 +16,27 @@ def _described(hits: DataFrame) -> DataFrame:
     )
 
 
-def capped(hits: DataFrame, cap: int = SEARCH_MAX_RESULTS) -> DataFrame:
-    """What a search returns at most per VIN; ranks are pruned before the shuffle."""
-    order = Window.partitionBy("vin").orderBy("seq")
-    return hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
-
+def rank_hits(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Usable hits in order: supported sites first, then by title, ties as found; the best ``limit``, or all.
 
-def rank_hits(hits: DataFrame, cap: int = SEARCH_MAX_RESULTS) -> DataFrame:
-    """Usable hits in order: supported sites first, then by title, ties as found."""
+    Ranks are taken over all usable hits and cut last; with a limit Spark prunes before the shuffle.
+    """
     order = Window.partitionBy("vin").orderBy(F.desc("is_supported"), F.lower("title"), "seq")
-    return _described(capped(hits, cap)).withColumn("rank", F.row_number().over(order))
+    ranked = _described(hits).withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def top_urls(hits: DataFrame, n: int = TOP_URLS) -> DataFrame:
-    return rank_hits(hits).where(F.col("rank") <= n).select("vin", "rank", F.col("href").alias("url"))
+    return rank_hits(hits, n).select("vin", "rank", F.col("href").alias("url"))
 
 
-def with_fallback(hits: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Ranked hits; VINs without any take the fallback's first few, as found."""
-    main = rank_hits(hits).select("vin", "rank", "href", F.lit("main").alias("source"))
+def with_fallback(hits: DataFrame, fallback: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ranked hits; VINs without any take the fallback's, as found (its first ``limit``, or all)."""
+    main = rank_hits(hits, limit).select("vin", "rank", "href", F.lit("main").alias("source"))
     order = Window.partitionBy("vin").orderBy("seq")
     spare = (
-        _described(capped(fallback, SEARCH_MAX_RESULTS // 2))
+        _described(fallback)
         .join(main.select("vin").distinct(), "vin", "left_anti")
         .select("vin", F.row_number().over(order).alias("rank"), "href", F.lit("fallback").alias("source"))
     )
-    return main.unionByName(spare)
+    return main.unionByName(spare if limit is None else spare.where(F.col("rank") <= limit))

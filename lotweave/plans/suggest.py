@@ -1,12 +1,13 @@
 """Selector suggestions: where on a page the values of known fields seem to live.
 
-Candidates come from text patterns, model answers and attribute keywords, all inside the page row.
-Only candidates (selector, value, score) are exploded; ranking them is one shuffle on ``page_id``.
+Candidates come from text patterns, model answers and attribute keywords, and are ranked inside the
+page row with array functions.  Page bodies and trees stay where they are: a model's answers meet the
+page's strings and their selectors only, joined on ``page_id``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY
@@ -14,17 +15,17 @@ from lotweave.operators.selectors import element_sql, node_selector, only, strip
 from lotweave.plans.compare import entries
 from lotweave.plans.model import as_results
 
-FEW_ANSWERS = 50_000
+TOP = 3  # selectors that a report shows per field
 
 _ITEM = (
-    "array<struct<strategy:int,seq:int,field:string,selector:string,confidence:double,"
+    "array<struct<strategy:int,seq:bigint,field:string,selector:string,confidence:double,"
     "value:string,reasoning:string>>"
 )
 
 
 def _item(strategy: int, seq: Column, field: Column, selector: Column, confidence: float, value: Column, why: Column) -> Column:
     return F.struct(
-        F.lit(strategy).alias("strategy"), seq.cast("int").alias("seq"), field.alias("field"),
+        F.lit(strategy).alias("strategy"), seq.cast("bigint").alias("seq"), field.alias("field"),
         selector.alias("selector"), F.lit(confidence).alias("confidence"), value.alias("value"),
         why.alias("reasoning"),
     )
@@ -40,24 +41,28 @@ def by_pattern(field: str, pattern: str) -> Column:
     ).cast(_ITEM)
 
 
-def by_model(answers: Column) -> Column:
-    """First two strings holding each value a model gave (array of struct field, value)."""
+def located() -> Column:
+    """Strings of the page that say something, with the selectors of their elements."""
+    said = F.filter(F.col("texts"), lambda t: strip(t["text"]) != "")
+    return F.transform(said, lambda t: F.struct(F.lower(t["text"]).alias("text"), node_selector(t["owner"]).alias("selector")))
+
+
+def by_model(answers: Column, strings: Column, limit: int | None = None) -> Column:
+    """Strings (``located``) holding each value a model gave (array of struct field, value); ``limit`` per value."""
 
     def locate(a: Column) -> Column:
-        hits = F.filter(
-            F.col("texts"), lambda t: F.contains(F.lower(t["text"]), F.lower(a["value"]))
-        )
+        hits = F.filter(strings, lambda t: F.contains(t["text"], F.lower(a["value"])))
         return F.transform(
-            F.slice(hits, 1, 2),
-            lambda t, i: _item(2, i, a["field"], node_selector(t["owner"]), 0.9, a["value"],
-                               F.concat(F.lit("AI identified this value: "), F.substring(a["value"], 1, 50))),
+            hits if limit is None else F.slice(hits, 1, limit),
+            lambda t, i: _item(2, i, a["field"], t["selector"], 0.9, a["value"],
+                               F.concat(F.lit("AI identified this value: "), a["value"])),
         )
 
     return F.coalesce(F.flatten(F.transform(answers, locate)), F.array()).cast(_ITEM)
 
 
-def by_keyword(fields: list[tuple[str, list[str]]]) -> Column:
-    """First two elements per keyword whose class, id or data attribute names it.
+def by_keyword(fields: list[tuple[str, list[str]]], limit: int | None = None) -> Column:
+    """Elements per keyword whose class, id or data attribute names it; ``limit`` per keyword and kind.
 
     Marks (lower-cased classes, id and data attributes) are taken once per element that has any;
     every keyword then only searches those short strings.
@@ -71,9 +76,13 @@ def by_keyword(fields: list[tuple[str, list[str]]]) -> Column:
         ("ID", 0.7, "contains(m.name, '{w}')"),
         ("data attribute", 0.8, "exists(m.data, k -> k RLIKE 'data.*{w}')"),
     )
+
+    def cut(found: str) -> str:
+        return found if limit is None else f"slice({found}, 1, {limit})"
+
     hits = ", ".join(
-        f"transform(slice(filter(marks, m -> {test.format(w=w)}), 1, 2), (e, i) -> named_struct("
-        f"'field', '{field}', 'seq', i + {at * 6 + j * 2}, 'id', e.id, 'by_id', {str(kind == 'ID').lower()}, "
+        f"transform({cut(f'filter(marks, m -> {test.format(w=w)})')}, (e, i) -> named_struct("
+        f"'field', '{field}', 'seq', i + {at * 3 + j} * 4294967296L, 'id', e.id, 'by_id', {str(kind == 'ID').lower()}, "
         f"'confidence', double({score}), 'value', {element_sql('e')}, 'why', \"Keyword '{w}' found in {kind}\"))"
         for field, words in fields
         for at, w in enumerate(words)
@@ -86,52 +95,69 @@ def by_keyword(fields: list[tuple[str, list[str]]]) -> Column:
             F.lit(3).alias("strategy"), h["seq"].alias("seq"), h["field"].alias("field"),
             F.when(h["by_id"], by_id).otherwise(node_selector(h["id"])).alias("selector"),
             h["confidence"].alias("confidence"),
-            only(F.substring(h["value"], 1, 100), lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
+            only(h["value"], lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
         )
 
     found = F.expr(f"get(transform(array({marks}), marks -> concat({hits})), 0)")
     return F.transform(found, item).cast(_ITEM)
 
 
-def with_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
-    """Pages with what a model said about them, as array<struct<field, value, ...>> ``given``.
+def candidates(dom: DataFrame, fields: list[str] | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """All candidates of each page: (page_id, found array).
 
-    This is the one join that meets page bodies.  Few answers are broadcast; for many, keep pages
-    and answers in tables bucketed by ``page_id``, which makes the join local.
+    ``answers`` (parsed model answers) are joined to slim rows of candidates and located strings; keep
+    both tables bucketed by ``page_id`` to make that join local.
     """
-    given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
-    few = answers.limit(FEW_ANSWERS + 1).count() <= FEW_ANSWERS
-    return pages.join(F.broadcast(given) if few else given, "page_id", "left")
-
-
-def candidates(dom: DataFrame, fields: list[str] | None = None, answers: str | None = None) -> DataFrame:
-    """All candidate rows of a page (page_id, strategy, seq, field, selector, ...)."""
     wanted = [d for d in FIELD_DICTIONARY if fields is None or d[0] in fields]
     parts = [by_pattern(name, p) for name, _, _, p, _ in wanted if p]
     parts.append(by_keyword([(name, words) for name, _, _, _, words in wanted]))
-    if answers:
-        parts.append(by_model(F.filter(answers, lambda a: a["field"].isin([d[0] for d in wanted]))))
-    return dom.select("page_id", F.explode(F.concat(*parts)).alias("c")).select("page_id", "c.*")
+    if answers is None:
+        return dom.select("page_id", F.concat(*parts).alias("found"))
+    slim = dom.select("page_id", F.concat(*parts).alias("found"), located().alias("strings"))
+    given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
+    asked = F.filter("given", lambda a: a["field"].isin([d[0] for d in wanted]))
+    return slim.join(given, "page_id", "left").select("page_id", F.concat("found", by_model(asked, F.col("strings"))).alias("found"))
+
+
+def candidate_rows(found: DataFrame) -> DataFrame:
+    """One row per candidate (page_id, strategy, seq, field, selector, ...)."""
+    return found.select("page_id", F.inline_outer("found")).where("field IS NOT NULL")
+
 
+def rank(found: DataFrame, top: int | None = None) -> DataFrame:
+    """Selectors per page, best first within each field: (page_id, ranked array), the best ``top`` or all.
 
-def rank(found: DataFrame, top: int = 3) -> DataFrame:
-    """Best selectors per page and field: duplicates keep their first mention, ties their order."""
-    placed = found.repartition("page_id")  # both windows below reuse this one shuffle
-    same = Window.partitionBy("page_id", "field", "selector").orderBy("strategy", "seq")
-    best = Window.partitionBy("page_id", "field").orderBy(F.desc("confidence"), "strategy", "seq")
+    Duplicates keep their first mention, ties their order.  All in the page row: no shuffle.
+    """
+    lean = "x.confidence, x.value, x.reasoning"
+    ordered = F.expr("array_sort(transform(filter(found, x -> x.selector IS NOT NULL), x -> struct(x.field, x.selector, x.strategy, x.seq, "
+                     + lean + ")))")
+    once = F.expr("filter(ordered, (x, i) -> i = 0 OR ordered[i - 1].field != x.field OR ordered[i - 1].selector != x.selector)")
+    best = F.expr(f"array_sort(transform(once, x -> struct(x.field, -x.confidence AS lack, x.strategy, x.seq, x.selector, {lean})))")
+    placed = F.expr(f"""transform(best, (x, i) -> struct(x.field, x.selector, {lean},
+      cast(i + 2 - array_position(fields, x.field) AS int) AS rank))""")
+    kept = F.filter("placed", lambda x: F.lit(True) if top is None else x["rank"] <= top)
     return (
-        placed.where("selector IS NOT NULL")
-        .withColumn("_dup", F.row_number().over(same)).where("_dup = 1").drop("_dup")
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-        .drop("strategy", "seq")
+        found.select("page_id", ordered.alias("ordered"))
+        .select("page_id", once.alias("once"))
+        .select("page_id", best.alias("best"))
+        .select("page_id", "best", F.col("best.field").alias("fields"))
+        .select("page_id", placed.alias("placed"))
+        .select("page_id", kept.alias("ranked"))
     )
 
 
+def ranked_rows(ranked: DataFrame) -> DataFrame:
+    """One row per page, field and selector, with its rank and whether a report of the best few shows it."""
+    # outer: else a test for empty arrays is pushed down, with the whole ranking copied into it
+    rows = ranked.select("page_id", F.inline_outer("ranked")).where("field IS NOT NULL")
+    return rows.withColumn("within_limit", F.col("rank") <= TOP)
+
+
 def suggest_coverage(ranked: DataFrame, n_fields: int = len(FIELD_DICTIONARY)) -> DataFrame:
-    return ranked.groupBy("page_id").agg(
-        (F.count_distinct("field") / float(n_fields)).alias("coverage"),
-        F.count("*").alias("suggestions"),
-    )
+    """Share of the fields with a suggestion, for every page."""
+    fields = F.size(F.array_distinct(F.col("ranked.field")))
+    return ranked.select("page_id", (fields / float(n_fields)).alias("coverage"), F.size("ranked").cast("long").alias("suggestions"))
 
 
 def improvements(ranked: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -143,7 +169,7 @@ def improvements(ranked: DataFrame, comparisons: DataFrame) -> DataFrame:
         "page_id", "field", "rank",
         F.coalesce("suggestion", F.lit("Field needs improvement")).alias("current_issue"),
         F.col("selector").alias("suggested_selector"), F.lit("css").alias("selector_type"),
-        "confidence", "reasoning", F.substring("value", 1, 100).alias("extracted_preview"),
+        "confidence", "reasoning", F.col("value").alias("extracted_preview"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import record, values
 from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import let, page_text
-from lotweave.plans import generic, mapping, model, pipeline, site
+from lotweave.plans import generic, mapping, model, pipeline, schemas, site
 from lotweave.registry import corpus as C
 from lotweave.registry.base import query, truth
 from lotweave.registry.scalars import goal_sql
@@ -312,15 +312,37 @@ _PREVIEW = """SELECT p.page_id, p.site_id, cast(n AS int) AS successful_fields,
 
 @query("preview_summary", truth("""SELECT page_id, site_id, successful_fields, total_fields,
   cast(successful_fields AS double) / total_fields AS confidence, true AS success,
-  cast(total_fields - successful_fields AS int) AS n_errors FROM s""", f=PREVIEW_SQL, pages_=_PAGES, s=_PREVIEW))
+  cast(total_fields - successful_fields AS int) AS n_errors FROM s
+  UNION ALL SELECT listing_id, 'unlisted', 0, 0, 0.0::double, false, 1 FROM listings WHERE listing_id % 4 = 3""", f=PREVIEW_SQL, pages_=_PAGES, s=_PREVIEW))
 def preview_summary(spark, sf):
     return mapping.preview(ruled(spark, sf)).select(
         "page_id", "site_id", "successful_fields", "total_fields", "confidence", "success", F.size("errors").alias("n_errors"))
 
 
-@query("schema_test", truth("""SELECT site_id, cast(count(*) AS bigint) AS tests, cast(count(*) AS bigint) AS successes,
-  cast(1.0 AS double) AS success_rate FROM pages_ WHERE site_id <> 'unlisted' GROUP BY site_id""", pages_=_PAGES))
+_TESTS = f"""SELECT p.*, CASE WHEN listing_id % 5 = 0 THEN 'https://' || host || '/gone/' || listing_id ELSE {C.URL} END AS test_url, listing_id % 5 <> 0 AS there
+  FROM pages_ p"""
+
+
+def schema_results(spark, sf):
+    url = F.expr(f"CASE WHEN listing_id % 5 = 0 THEN concat('https://', host, '/gone/', cast(listing_id AS string)) ELSE {C.URL} END")
+    site_id = F.expr(C.SITE_OF_PAGE.replace("page_id", "listing_id"))
+    tests = C.listings(spark, sf).select(site_id.alias("site_id"), url.alias("url"))
+    return schemas.test_schemas(tests, C.listing_pages(spark, sf), rule_sets(rule_rows(built_in_configs(spark))))
+
+
+@query("schema_results", truth("""SELECT t.site_id, t.test_url AS url, there AND t.site_id <> 'unlisted' AS success,
+  cast(CASE WHEN there AND t.site_id <> 'unlisted' THEN successful_fields ELSE 0 END AS int) AS fields_extracted,
+  cast(CASE WHEN there AND t.site_id <> 'unlisted' THEN total_fields ELSE 0 END AS int) AS total_fields,
+  CASE WHEN there AND t.site_id <> 'unlisted' THEN cast(successful_fields AS double) / total_fields ELSE 0.0 END AS confidence,
+  cast(CASE WHEN there AND t.site_id <> 'unlisted' THEN total_fields - successful_fields END AS int) AS n_errors,
+  CASE WHEN t.site_id = 'unlisted' THEN 'Schema not found: unlisted' WHEN NOT there THEN 'Failed to fetch: not in corpus' END AS error
+  FROM t LEFT JOIN s ON s.page_id = t.page_id""", f=PREVIEW_SQL, pages_=_PAGES, s=_PREVIEW, t=_TESTS))
+def schema_results_query(spark, sf):
+    n = F.when(F.col("errors").isNotNull(), F.size("errors"))
+    return schema_results(spark, sf).withColumn("n_errors", n).drop("errors")
+
+
+@query("schema_test", truth("""SELECT site_id, cast(count(*) AS bigint) AS tests, cast(count(*) FILTER (WHERE there AND site_id <> 'unlisted') AS bigint) AS successes,
+  avg(CASE WHEN there AND site_id <> 'unlisted' THEN 1.0::double ELSE 0.0::double END) AS success_rate FROM t GROUP BY site_id""", pages_=_PAGES, t=_TESTS))
 def schema_test(spark, sf):
-    return mapping.preview(ruled(spark, sf)).groupBy("site_id").agg(
-        F.count("*").alias("tests"), F.count_if("success").alias("successes"),
-        F.avg(F.col("success").cast("double")).alias("success_rate"))
+    return schemas.success_rates(schema_results(spark, sf))

@@ -212,17 +212,23 @@ _KIND = """SELECT *, CASE WHEN mv IS NULL THEN 'missing' WHEN av IS NULL THEN 'e
 _COMPARE = dict(f=PREVIEW_SQL, ans=_ANSWER, b=_BOTH, c=_CMP, k=_KIND)
 
 
+def pairs(spark, sf):
+    return compare.pair_up(mapping.preview(ruled(spark, sf)), answers(spark, sf))
+
+
 def comparisons(spark, sf):
-    return compare.compare_fields(compare.pair_up(mapping.preview(ruled(spark, sf)), answers(spark, sf)))
+    return compare.compare_fields(pairs(spark, sf))
 
 
-@query("compare_fields", truth("""SELECT page_id, field, mv AS mapping_value, av AS model_value, kind = 'match' AS is_match, similarity, kind AS difference_type,
+@query("compare_fields", truth("""SELECT page_id, field,
+  cast(CASE field WHEN 'vin' THEN 0 WHEN 'price' THEN 1 WHEN 'year' THEN 2 WHEN 'make' THEN 3 WHEN 'model' THEN 4 WHEN 'mileage' THEN 5 ELSE 999 END AS int) AS field_order, mv AS mapping_value, av AS model_value, kind = 'match' AS is_match, similarity, kind AS difference_type,
   CASE kind WHEN 'missing' THEN 'Consider adding mapping for ''' || field || ''': ' || av
     WHEN 'extra' THEN 'Mapping found ''' || field || ''' but AI didn''t - verify accuracy'
     WHEN 'different' THEN 'Values differ - Mapping: ''' || mv || ''' vs AI: ''' || av || '''' END AS suggestion FROM k""", **_COMPARE))
 def compare_fields(spark, sf):
     return comparisons(spark, sf).select(
-        "page_id", "field", "mapping_value", "model_value", "is_match", "similarity", "difference_type", "suggestion")
+        "page_id", "field", F.col("field_order").cast("int").alias("field_order"), "mapping_value", "model_value", "is_match", "similarity",
+        "difference_type", "suggestion")
 
 
 @query("field_union", truth("SELECT page_id, field FROM k", **_COMPARE))
@@ -233,11 +239,16 @@ def field_union(spark, sf):
 _WEIGHT = "CASE field WHEN 'vin' THEN 3.0 WHEN 'price' THEN 2.5 WHEN 'year' THEN 2.0 WHEN 'make' THEN 2.0 WHEN 'model' THEN 2.0 WHEN 'mileage' THEN 1.5 ELSE 1.0 END"
 
 
-@query("overall_similarity", truth(f"""SELECT page_id, round(cast(sum(similarity * {_WEIGHT}) / sum({_WEIGHT}) AS double), 9) AS overall_similarity,
-  count(*) FILTER (WHERE kind = 'match') AS matches, count(*) AS fields FROM k GROUP BY page_id""", **_COMPARE))
+@query("overall_similarity", truth(f"""SELECT l.listing_id AS page_id, l.listing_id % 19 <> 0 AS success,
+  coalesce(round(cast(x.similarity AS double), 9), 0.0) AS overall_similarity, coalesce(x.matches, 0) AS matches, coalesce(x.fields, 0) AS fields,
+  CASE WHEN l.listing_id % 19 = 0 THEN 'AI extraction failed: Failed to parse AI response as valid JSON' END AS error
+  FROM listings l LEFT JOIN (SELECT page_id, sum(similarity * {_WEIGHT}) / sum({_WEIGHT}) AS similarity,
+    count(*) FILTER (WHERE kind = 'match') AS matches, count(*) AS fields FROM k GROUP BY page_id) x ON x.page_id = l.listing_id
+  WHERE l.listing_id % 4 < 3""", **_COMPARE))
 def overall_similarity(spark, sf):
-    return compare.page_scores(comparisons(spark, sf)).select(
-        "page_id", F.round("overall_similarity", 9).alias("overall_similarity"), "matches", "fields")
+    both = pairs(spark, sf)
+    return compare.page_results(both, compare.compare_fields(both)).select(
+        "page_id", "success", F.round("overall_similarity", 9).alias("overall_similarity"), "matches", "fields", "error")
 
 
 _EXPECTED = "field IN ('vin', 'year', 'make', 'model', 'price', 'mileage', 'color', 'dealer_name', 'dealer_phone', 'features', 'images', 'description')"
@@ -253,7 +264,7 @@ _RANK = "coalesce(list_position(['vin', 'price', 'year', 'make', 'model', 'milea
 
 
 @query("recommendations", truth(f"""SELECT x.page_id, concat_ws('|',
-    CASE WHEN missing > 0 THEN 'Consider adding mappings for ' || missing || ' missing fields: ' || array_to_string(names[1:5], ', ') END,
+    CASE WHEN missing > 0 THEN 'Consider adding mappings for ' || missing || ' missing fields: ' || array_to_string(names, ', ') END,
     CASE WHEN different > 0 THEN 'Review ' || different || ' fields with different values - selectors may need refinement' END,
     CASE WHEN total_fields > successful_fields THEN 'Fix ' || (total_fields - successful_fields) || ' mapping errors for better accuracy' END,
     CASE WHEN cast(successful_fields AS double) / total_fields < 0.5 THEN 'Low mapping confidence - consider using AI-suggested selectors' END) AS advice
@@ -267,10 +278,6 @@ def recommendations(spark, sf):
 # --- suggestions ---------------------------------------------------------------------------
 
 
-def dom_with_answers(spark, sf):
-    return with_dom(suggest.with_answers(C.listing_pages(spark, sf), answers(spark, sf)))
-
-
 @query("suggest_pattern", truth("""SELECT listing_id AS page_id, CASE listing_id % 4 WHEN 0 THEN '[document] > html > body > span'
     WHEN 1 THEN 'html > body > p > span' WHEN 2 THEN '.vin' ELSE '[document] > html > body > p' END AS selector,
   CASE WHEN listing_id % 4 = 3 THEN 'VIN: ' ELSE '' END || vin AS value FROM listings WHERE vin IS NOT NULL"""))
@@ -292,26 +299,26 @@ def suggest_keyword(spark, sf):
     WHEN 1 THEN 'html > body > div.dealer-info > h3' WHEN 2 THEN '.dealer-name' ELSE '.dealer' END AS selector, dealer_name AS value
   FROM listings WHERE listing_id % 19 <> 0 AND listing_id % 7 <> 0"""))
 def suggest_model(spark, sf):
-    dom = dom_with_answers(spark, sf)
-    rows = dom.select("page_id", F.explode(suggest.by_model(F.col("given"))).alias("c"))
-    return rows.select("page_id", "c.field", "c.selector", "c.value").where("field = 'dealer_name'")
+    rows = suggest.candidate_rows(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf)))
+    return rows.where("strategy = 2 AND field = 'dealer_name'").select("page_id", "field", "selector", "value")
 
 
 def ranked(spark, sf):
-    return suggest.rank(suggest.candidates(dom_with_answers(spark, sf), answers="given"))
+    return suggest.rank(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf)))
 
 
 @query("suggest_rank", truth("""SELECT listing_id AS page_id, 'vin' AS field, cast(1 AS int) AS rank, CASE listing_id % 4 WHEN 0 THEN '[document] > html > body > span'
     WHEN 1 THEN 'html > body > p > span' WHEN 2 THEN '.vin' ELSE '[document] > html > body > p' END AS selector, cast(0.8 AS double) AS confidence FROM listings WHERE vin IS NOT NULL
-  UNION ALL SELECT listing_id, 'color', cast(CASE WHEN listing_id % 19 <> 0 THEN 3 ELSE 1 END AS int), '.color', cast(0.6 AS double) FROM listings WHERE listing_id % 4 = 2"""))
+  UNION ALL SELECT listing_id, 'color', cast(CASE WHEN listing_id % 19 <> 0 THEN 4 ELSE 1 END AS int), '.color',
+    cast(CASE WHEN listing_id % 19 <> 0 THEN 0.9 ELSE 0.6 END AS double) FROM listings WHERE listing_id % 4 = 2"""))
 def suggest_rank(spark, sf):
-    return ranked(spark, sf).where("(field = 'vin' AND confidence = 0.8) OR (field = 'color' AND selector = '.color')").select(
+    return suggest.ranked_rows(ranked(spark, sf)).where("(field = 'vin' AND confidence = 0.8) OR (field = 'color' AND selector = '.color')").select(
         "page_id", "field", "rank", "selector", "confidence")
 
 
 @query("suggest_all")
 def suggest_all(spark, sf):
-    return ranked(spark, sf)
+    return suggest.ranked_rows(ranked(spark, sf))
 
 
 @query("suggest_coverage")
@@ -329,7 +336,7 @@ def suggest_validate(spark, sf):
 
 @query("improvements")
 def improvements(spark, sf):
-    return suggest.improvements(ranked(spark, sf), comparisons(spark, sf))
+    return suggest.improvements(suggest.ranked_rows(ranked(spark, sf)), comparisons(spark, sf))
 
 
 # --- search --------------------------------------------------------------------------------

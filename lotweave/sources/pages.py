@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotweave.constants import PAGE_CUT
 from lotweave.functions import web
 from lotweave.operators.lookup import keep_wanted
 
@@ -60,8 +59,8 @@ def fetch_requests(requests: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def page_report(pages: DataFrame, with_html: bool = False) -> DataFrame:
-    """Size, validity and type of each page, on request with the start of its body."""
+def page_report(pages: DataFrame, with_html: bool = False, limit: int | None = None) -> DataFrame:
+    """Size, validity and type of each page, on request with its body (its first ``limit`` characters)."""
     html = F.col("html")
     cols = [
         F.length(html).alias("html_size"),
@@ -72,5 +71,5 @@ def page_report(pages: DataFrame, with_html: bool = False) -> DataFrame:
         web.domain_marks(html).alias("domain_indicators"),
     ]
     if with_html:
-        cols.append(F.substring(html, 1, PAGE_CUT).alias("html"))
+        cols.append(html if limit is None else F.substring(html, 1, limit).alias("html"))
     return pages.select("page_id", "url", *cols)

@@ -128,10 +128,12 @@ def test_search_cap_ranking_and_fallback(spark):
     rows = [("V", f"t{9 - i}", f"https://h{i}.com/", "", i) for i in range(9)] + [("V", "a", "https://www.cars.com/", "", 9), ("V", "b", "https://carfax.com/", "", 10)]
     hits = spark.createDataFrame([*rows, ("W", "t", "nope", "", 0)], "vin string, title string, href string, snippet string, seq int")
     top = search.rank_hits(hits).where("vin = 'V'").orderBy("rank").collect()
-    assert len(top) == 10 and top[0].href == "https://www.cars.com/"  # the eleventh raw hit never counts
+    assert len(top) == 11 and [t.href for t in top[:2]] == ["https://www.cars.com/", "https://carfax.com/"]  # ranked before any cut
+    assert [t.href for t in search.rank_hits(hits, 3).where("vin = 'V'").orderBy("rank").collect()] == [t.href for t in top[:3]]
     spare = spark.createDataFrame([("W", "t", f"https://s{i}.com/", "", i) for i in range(8)], hits.schema)
+    assert search.with_fallback(hits, spare, 5).where("vin = 'W'").count() == 5
     got = search.with_fallback(hits, spare).where("vin = 'W'").collect()
-    assert len(got) == 5 and {g.source for g in got} == {"fallback"}
+    assert len(got) == 8 and {g.source for g in got} == {"fallback"}
 
 
 def test_first_success_keeps_last_failure(spark):
@@ -155,8 +157,11 @@ def test_requests_end_to_end(spark, pages):
 
 def test_suggestions_dedupe_and_rank(pages):
     html = f"<p class='vin'>{VIN}</p><p class='vin'>{VIN}</p><i id='my-vin'>a</i><b data-vin='1'>b</b>"
-    got = suggest.rank(suggest.candidates(with_dom(pages(html)), ["vin"])).orderBy("rank").collect()
+    got = suggest.ranked_rows(suggest.rank(suggest.candidates(with_dom(pages(html)), ["vin"]))).orderBy("rank").collect()
     assert [(g.selector, g.confidence) for g in got] == [(".vin", 0.8), ("[document] > b", 0.8), ("#my-vin", 0.7)]
+    assert suggest.ranked_rows(suggest.rank(suggest.candidates(with_dom(pages(html)), ["vin"]), top=2)).count() == 2
+    none = suggest.suggest_coverage(suggest.rank(suggest.candidates(with_dom(pages("<p>x</p>"))))).head()
+    assert (none.coverage, none.suggestions) == (0.0, 0)
 
 
 def test_schema_update_keeps_version_and_create_conflicts(spark):
