@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lotweave.operators.dom import with_dom
 from lotweave.plans import generic, mapping, site
 from lotweave.registry import QUERIES, corpus
-from lotweave.session import local_session
+from lotweave.session import checkpoint_dir, local_session
 from lotweave.sources.rules import built_in_configs, rule_rows, rule_sets
 
 HEADLINE = [
@@ -33,7 +33,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "bench")
-    saved = tempfile.mkdtemp(prefix="run-bench-")
+    saved = f"{checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     corpus.listing_pages(spark, sf_dir).write.mode("overwrite").parquet(f"{saved}/pages")
     pages = spark.read.parquet(f"{saved}/pages")
     n_pages = pages.count()

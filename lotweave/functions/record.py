@@ -66,8 +66,8 @@ def goal_text(v: Column) -> Column:
     )
 
 
-def goal_struct(v: Column, metadata: Column | None = None) -> Column:
-    """The goal document; nulls vanish when it is written as JSON."""
+def goal_struct(v: Column, metadata: Column | None = None, image_limit: int | None = None) -> Column:
+    """The goal document, with the first ``image_limit`` images or all; nulls vanish when it is written as JSON."""
     special = {
         "goal": goal_text(v),
         "dealer": F.when(
@@ -78,7 +78,7 @@ def goal_struct(v: Column, metadata: Column | None = None) -> Column:
                 v["dealer_address"].alias("address"),
             ),
         ),
-        "images": v["images"],
+        "images": v["images"] if image_limit is None else F.slice(v["images"], 1, image_limit),
     }
     out = [special.get(k, v[k] if k not in special else None).alias(k) for k in GOAL_KEYS]
     if metadata is not None:
@@ -86,8 +86,8 @@ def goal_struct(v: Column, metadata: Column | None = None) -> Column:
     return F.struct(*out)
 
 
-def goal_json(v: Column, metadata: Column | None = None) -> Column:
-    return F.when(v.isNotNull(), F.to_json(goal_struct(v, metadata)))
+def goal_json(v: Column, metadata: Column | None = None, image_limit: int | None = None) -> Column:
+    return F.when(v.isNotNull(), F.to_json(goal_struct(v, metadata, image_limit)))
 
 
 def _filled(value: Column, name: str) -> Column:

@@ -151,7 +151,7 @@ _DOC = f"""concat_ws(',', '"vin":"' || vin || '"', '"goal":"' || {_GOAL} || '"',
   '"features":["Keyless Entry","Rear Camera"]', '"color":"' || color || '"', '"mileage":' || mileage,
   CASE listing_id % 3 WHEN 0 THEN '"accidents":false' WHEN 1 THEN '"accidents":true' END,
   '"make":"' || make || '"', '"model":"' || model || '"', '"year":' || ({_YEAR}), '"body_style":"' || body_style || '"',
-  '"images":["/img/1","/img/2","/img/3","/img/4","/img/5"]'"""
+  '"images":["/img/1","/img/2","/img/3","/img/4","/img/5","/img/6","/img/7"]'"""
 
 
 @query("goal_json", truth(f"SELECT listing_id, '{{' || {_DOC}) || '}}' AS goal FROM listings"))

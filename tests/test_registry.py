@@ -8,8 +8,10 @@ from lotweave.registry import ORACLES, QUERIES
 from tests.check import compare
 
 SF = os.environ.get("LOTWEAVE_SF", "/root/testdata/sf0.001")
-SOME = ["url_domain", "goal_json", "dom_nodes", "page_text", "select_xpath", "site_extract", "generic_extract", "map_goal",
-        "preview_fields", "compare_fields", "suggest_rank", "search_fallback", "rules_validate", "schema_update", "pipeline_vin"]
+SOME = ["url_domain", "goal_json", "dom_nodes", "page_text", "select_xpath", "site_extract", "generic_extract", "map_goal", "preview_fields",
+        "preview_summary", "compare_fields", "overall_similarity", "recommendations", "suggest_rank", "suggest_model", "suggest_keyword",
+        "search_rank", "search_fallback", "rules_info", "rules_validate", "config_validate", "schema_list", "schema_create", "schema_update",
+        "schema_results", "schema_test", "vin_pages", "vin_unmatched", "pipeline_vin", "response_clean", "case_requests"]
 NAMES = sorted(ORACLES) if os.environ.get("LOTWEAVE_ALL") else SOME
 
 
