@@ -16,7 +16,7 @@ from lotweave.operators.lookup import keep_wanted, lookup_join
 from lotweave.plans import model
 from lotweave.plans.generic import LOW_CONFIDENCE, generic_fields, generic_vehicle
 from lotweave.plans.site import site_vehicle
-from lotweave.session import literal_rows
+from lotweave.session import literal_rows, written
 from lotweave.sources.pages import fetch_urls
 
 NO_RESULTS = "No search results found for VIN"
@@ -154,14 +154,14 @@ def process(
 ) -> DataFrame:
     """One trace per request (request_id, input_value[, input_type]); ``limit`` is the search's, per VIN.
 
-    The choice among a request's candidates moves outcomes only; the vehicle of the one chosen page
-    is joined afterwards.
+    Candidates and parse results are written to the shared folder, since both are read more than
+    once: the corpus is searched once and a page parsed once.  The choice among a request's candidates
+    moves outcomes only; the vehicle of the one chosen page is joined afterwards.
     """
     asked = typed_requests(requests)
-    tries = candidates(asked, pages, limit)
-    parsed = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers).select(
-        "page_id", "success", "parser_used", "confidence", "error", "vehicle"
-    )
+    tries = written(candidates(asked, pages, limit), "candidates")
+    results = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers)
+    parsed = written(results.select("page_id", "success", "parser_used", "confidence", "error", "vehicle"), "parsed")
     outcomes = parsed.select("page_id", "success", "parser_used", "confidence", "error")
     tried = tries.join(outcomes, "page_id", "left").withColumn(
         "success", F.coalesce("success", F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path or tempfile.mkdtemp(prefix="lotweave-ckpt-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table written once under the shared checkpoint folder: computed once, safe from lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = 8, app: str = "lotweave") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
