@@ -15,7 +15,7 @@ back), and around special tokens, which the tokenizer takes out first.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lotweave.llm.common import arrow_map
 
 CHUNK_BITS = 8  # chunks of 2**8 bytes on average
-CHUNK_MEMORY = 48 << 20  # bytes of chunks and their ids kept per worker process, in two generations
-WORD_MEMORY = 160 << 20  # the same for the stretches between two safe breaks, of which chunks are made
+CHUNK_MEMORY = 16 << 20  # bytes of chunks and their ids kept per worker process, in two generations
+WORD_MEMORY = 16 << 20  # the same for the stretches between two safe breaks, of which chunks are made
 _WINDOW_STEPS = 5  # the rolling hash covers 2**5 bytes
 #: The split pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,16 +69,12 @@ class Memo:
             self.new, self.old, self.held = {}, self.new, 0
 
 
-class ChunkCoder:
-    """Encodes and decodes with one tokenizer file; one per worker process."""
+class Vocabulary:
+    """What a tokenizer file says: bytes of every id, ranks and special tokens.  Enough to decode."""
 
-    def __init__(self, path: str, chunk_bits: int = CHUNK_BITS) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        spec = json.loads(self.library.to_str())
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
         if pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("a byte-level tokenizer without prefix space or normalizer is needed")
@@ -86,36 +82,53 @@ class ChunkCoder:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that take in their neighbours are not supported")
         self.special = {t["content"].encode(): int(t["id"]) for t in added}
-        self.special_pattern = regex.compile(b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if added else None
         alphabet = byte_of_symbol()
-        vocabulary = spec["model"]["vocab"]
-        ranks = {bytes(alphabet[c] for c in symbol): i for symbol, i in vocabulary.items() if symbol.encode() not in self.special}
-        self.bytes_of = {i: piece for piece, i in ranks.items()} | {i: s for s, i in self.special.items()}
-        self.ranked = self._ranked(spec["model"]["merges"], vocabulary, ranks)
+        symbols = spec["model"]["vocab"]
+        self.ranks = {bytes(alphabet[c] for c in symbol): i for symbol, i in symbols.items() if symbol.encode() not in self.special}
+        self.bytes_of = {i: piece for piece, i in self.ranks.items()} | {i: s for s, i in self.special.items()}
+        joined = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"])
+        ids = [symbols[j] for j in joined]
+        self.in_order = ids == sorted(set(ids))  # ids rise in the order of merges, so they are ranks
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids, special tokens included; ids out of the vocabulary give nothing."""
+        known = self.bytes_of
+        return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
+class ChunkCoder(Vocabulary):
+    """Encodes with one tokenizer file; one per worker process."""
+
+    def __init__(self, path: str, chunk_bits: int = CHUNK_BITS) -> None:
+        super().__init__(path)
+        self.path = path
+        self.special_pattern = regex.compile(b"|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.ranked = None
+        if self.in_order:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.mask = np.uint32((1 << chunk_bits) - 1) << np.uint32(32 - chunk_bits)
         self.gear = np.random.default_rng(1).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        self.space = space
-        before = np.ones(256, bool)  # bytes that never end a white-space character
-        before[[*range(33), *range(0x80, 0x8B), 0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F]] = False
-        self.before = before
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.before = np.ones(256, bool)  # bytes that never end a white-space character
+        self.before[[*range(33), *range(0x80, 0x8B), 0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F]] = False
         self.latin = regex.compile(rb"(?:[\x21-\x7e]|[\xc3-\xc8][\x80-\xbf])+")
         self.length = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
         self.length[list(self.bytes_of)] = [len(v) for v in self.bytes_of.values()]
         self.chunks = Memo(CHUNK_MEMORY)
         self.words = Memo(WORD_MEMORY)
 
-    @staticmethod
-    def _ranked(merges: list, vocabulary: dict[str, int], ranks: dict[bytes, int]):
-        """An encoder by ranks, where ids rise in the order of merges; else None."""
-        import tiktoken
+    @cached_property
+    def library(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
 
-        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
-        ids = [vocabulary[j] for j in joined]
-        if ids != sorted(ids) or len(set(ids)) != len(ids):
-            return None
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
 
     # -- encoding -------------------------------------------------------------------------------
 
@@ -221,15 +234,9 @@ class ChunkCoder:
         """One space, then no white space at all, and Latin letters at most: no byte from 0xC9 on."""
         return self.ranked is not None and w[0] == 32 and len(w) > 1 and self.latin.fullmatch(w, 1) is not None
 
-    # -- decoding -------------------------------------------------------------------------------
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids, special tokens included; ids out of the vocabulary give nothing."""
-        known = self.bytes_of
-        return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
-
 
 _CODERS: dict[tuple[str, int], ChunkCoder] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
 def coder(path: str, chunk_bits: int = CHUNK_BITS) -> ChunkCoder:
@@ -248,6 +255,11 @@ def flat(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw, limits - limits[0]
 
 
+def _encoded(b: pa.RecordBatch, worker: ChunkCoder) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    ids, limits = worker.encode(*flat(b.column(1)))
+    return ids, limits, pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(ids))
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """doc_id and ids (array of int) of every row's whole text.
 
@@ -256,24 +268,40 @@ def encode(docs: DataFrame, tokenizer: str | None = None, chunk_bits: int = CHUN
     """
 
     def make():
-        path = tokenizer or default_tokenizer()
-        worker = coder(path, chunk_bits)
+        worker = coder(tokenizer or default_tokenizer(), chunk_bits)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, limits = worker.encode(*flat(b.column(1)))
-            lists = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(ids))
-            return pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([b.column(0), _encoded(b, worker)[2]], ["doc_id", "ids"])
 
         return batch
 
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>")
 
 
+def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """decode(encode(docs)) in one pass: a row's ids are decoded by the worker that made them."""
+
+    def make():
+        worker = coder(tokenizer or default_tokenizer(), chunk_bits)
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids, limits, lists = _encoded(b, worker)
+            texts = [worker.decode(ids[i:j].tolist()) for i, j in zip(limits.tolist(), limits[1:].tolist())]
+            return pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+        return batch
+
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, ids and text of every row of ids; a null array gives an empty text."""
 
     def make():
-        worker = coder(tokenizer or default_tokenizer())
+        path = tokenizer or default_tokenizer()
+        if path not in _VOCABULARIES:
+            _VOCABULARIES[path] = Vocabulary(path)
+        worker = _VOCABULARIES[path]
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [worker.decode(ids or []) for ids in b.column(1).to_pylist()]
@@ -296,4 +324,4 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return digests(decode(encode(docs, tokenizer), tokenizer))
+    return digests(encode_and_decode(docs, tokenizer))

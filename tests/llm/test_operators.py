@@ -310,6 +310,13 @@ def test_chunks_and_joins_agree(bits):
             assert worker.decode(mine) == worker.library.decode(mine, skip_special_tokens=False)
 
 
+def test_encode_then_decode_is_the_one_pass(spark, docs):
+    some = docs.limit(40)
+    two = bpe.decode(bpe.encode(some)).collect()
+    assert sorted(map(str, two)) == sorted(map(str, bpe.encode_and_decode(some).collect()))
+    assert {r["doc_id"]: r["text"] for r in two} == {r["doc_id"]: r["text"] or "" for r in some.collect()}
+
+
 def test_shared_chunks_are_encoded_once():
     worker = bpe.ChunkCoder(bpe.default_tokenizer(), 5)
     text = ("a passage that many documents share, word by word, in the same order. " * 3).encode()
