@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lotweave.llm.common import arrow_map, held_out, labelled_sample
 
@@ -82,7 +81,6 @@ def train(bags: list[set[str]], grades: np.ndarray, words: list[str], rounds: in
     share = np.clip(share, 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
     theta = np.concatenate([np.zeros(len(words)), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
-    balance = np.ones(len(grades))
     m = v = np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w = theta[: len(words)]
@@ -91,7 +89,7 @@ def train(bags: list[set[str]], grades: np.ndarray, words: list[str], rounds: in
         upper = np.where(grades < top, _sigmoid(cut[np.minimum(grades, top - 1)] - s), 1.0)
         lower = np.where(grades > 0, _sigmoid(cut[np.maximum(grades - 1, 0)] - s), 0.0)
         p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / p * balance, lower * (1 - lower) / p * balance
+        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         ds = (du - dl) / len(rows)  # of the negative log likelihood
         gcut = np.zeros(top)
         np.add.at(gcut, np.minimum(grades, top - 1), np.where(grades < top, -du, 0) / len(rows))
@@ -153,4 +151,4 @@ def severity(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
 
 def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, severity, grade and toxic of every row of `docs`."""
-    return severity(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "severity", "grade", F.col("toxic"))
+    return severity(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "severity", "grade", "toxic")
