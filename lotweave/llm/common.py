@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lotweave.session import checkpoint_dir, tune
 
+ROWS = 512  # rows that a batch function gets at a time
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,13 +32,17 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a batch function that `make` builds once per task."""
+    """mapInArrow with a batch function that `make` builds once per task.
+
+    The function gets at most ROWS rows at a time, whatever the session's batch size: what it makes
+    of a batch of long texts is many times their size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield fn(batch.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 
