@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ordin
     toxic = np.array([y for _, _, y in rows])
     if len(set(toxic.tolist())) < 2:
         return None
-    bags = [words_of(t) for _, t, _ in rows]
+    one: dict[str, str] = {}  # one string for all texts that hold a word
+    bags = [{one.setdefault(w, w) for w in words_of(t)} for _, t, _ in rows]
     chosen = select_words(bags, toxic)
     telling = {w for w, z in chosen if z > 5}
     return train(bags, grade_texts(toxic.tolist(), bags, telling), [w for w, _ in chosen])
