@@ -23,6 +23,7 @@ GRAMS = 4096  # n-grams told apart: those in most training texts
 LENGTHS = (1, 2, 3)
 SLOTS = 1 << 18  # hashed n-grams
 RIDGE = 1e-3
+SLACK = 0.1  # how far below the least share of known n-grams of labelled texts a text may lie
 UNKNOWN = "und"
 
 
@@ -103,11 +104,16 @@ def train(texts: list[str], languages: list[str]) -> KernelModel:
     return KernelModel(names, slots, tuple(sizes), landmarks, weights, 4.0)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelModel | None:
-    """Learn from about `per_language` texts of each language, held-out documents left out; None without any."""
+def labelled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+    """(text, lang) of about `per_language` texts of each language, held-out documents left out."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     rows = stratified(known, "lang", per_language, "language", "doc_id").collect()
-    rows = sorted({(r["text"], r["lang"]) for r in rows if has_letters(r["text"])}, key=lambda r: hash_of(r[0]))
+    return sorted({(r["text"], r["lang"]) for r in rows if has_letters(r["text"])}, key=lambda r: hash_of(r[0]))
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelModel | None:
+    """Learn from about `per_language` texts of each language, held-out documents left out; None without any."""
+    rows = labelled(docs, per_language)
     return train([r[0] for r in rows], [r[1] for r in rows]) if rows else None
 
 
@@ -157,31 +163,52 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def known_share(model: KernelModel, text: str) -> float:
+    """Share of the text's n-grams, repeats counted, that the model's kernel knows."""
+    found = np.concatenate(grams(text))
+    return float((model.slots[found] < sum(model.sizes)).mean()) if len(found) else 0.0
+
+
+def least_share(texts: list[str], languages: list[str]) -> float:
+    """Share of known n-grams below which a text is in none of the learned languages.
+
+    Each half of the texts is judged by a model of the other half, as new texts are; the limit lies
+    SLACK below the least of their shares, so that texts like them stay.
+    """
+    shares = []
+    for k in (0, 1):
+        if texts[k::2] and texts[1 - k :: 2]:
+            model = train(texts[k::2], languages[k::2])
+            shares += [known_share(model, t) for t in texts[1 - k :: 2]]
+    return (1 - SLACK) * min(shares, default=0.0)
+
+
 def with_language(docs: DataFrame, rejected: tuple[str, ...] = (UNKNOWN,)) -> DataFrame:
     """The rows of `docs`, all columns, without those whose predicted language is rejected.
 
-    The model sees doc_id, text and lang only.  `und` (no letters) is rejected by default.
+    `lang` becomes the predicted language.  It is `und` for texts without letters, where nothing could
+    be learnt, and where fewer of a text's n-grams are known than `least_share` of the rows that are
+    not held out.  `und` is rejected by default.  The model sees doc_id, text and lang only.
     """
-    model = fit(docs)
+    rows = labelled(docs)
+    model = train([t for t, _ in rows], [x for _, x in rows]) if rows else None
+    limit = least_share([t for t, _ in rows], [x for _, x in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kept(texts):
+    def language(texts):
         import pandas as pd
 
         m = shared.value
-        out = np.zeros(len(texts), bool)
-        real = [i for i, t in enumerate(texts) if has_letters(t)]
+        out = [UNKNOWN] * len(texts)
+        real = [i for i, t in enumerate(texts) if m is not None and has_letters(t) and known_share(m, t) >= limit]
         for at in range(0, len(real), 256):
             part = real[at : at + 256]
-            if m is None:
-                out[part] = UNKNOWN not in rejected
-            else:
-                best = scores(m, [texts.iloc[i] for i in part]).argmax(axis=1)
-                out[part] = [m.languages[k] not in rejected for k in best.tolist()]
-        if UNKNOWN not in rejected:
-            out[[i for i, t in enumerate(texts) if not has_letters(t)]] = True
-        return pd.Series(out)
+            for i, k in zip(part, scores(m, [texts.iloc[i] for i in part]).argmax(axis=1).tolist()):
+                out[i] = m.languages[k]
+        return pd.Series(out, dtype=object)
 
     from pyspark.sql.functions import pandas_udf
 
-    return docs.filter(pandas_udf(kept, "boolean")("text"))
+    # not deterministic to the planner, so that it is not computed again for the filter
+    named = docs.withColumn("lang", pandas_udf(language, "string").asNondeterministic()("text"))
+    return named.filter(~F.col("lang").isin(*rejected))
