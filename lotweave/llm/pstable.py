@@ -9,7 +9,9 @@ moves are taken by their summed cost.  Candidates met in any table are ranked by
 
 Equal vectors are one class and are hashed once, with the least ids that a result can need.  Buckets
 are dealt to tasks by a hash; a large bucket's candidates are cut in blocks, each of which meets the
-queries that probe it.  A task holds one cell's queries and goes through the candidates in batches.
+queries that probe it.  Queries are cut in blocks too: a cell is a share of the buckets and a block of
+the queries, with its own copy of the candidates.  A task holds one cell's queries at a time and goes
+through the candidates in batches.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ HASHES = 4
 WIDTH = 1.0
 PROBES = 60
 BLOCK = 4096  # classes of one bucket that one cell holds
+QUERIES = 8192  # queries that one cell holds, about
 BATCH = 8192  # candidates scored together
 SEED = 11
 
@@ -110,6 +113,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(
     vectors: DataFrame, queries: DataFrame, neighbours: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
     tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK,
+    queries_held: int = QUERIES,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's nearest found rows of `vectors`.
 
@@ -139,11 +143,11 @@ def search(
     asked = stored(usable(queries, id_col, vector_col).filter(F.size("v") == dim).distinct(), "asked")
     asks = stored(asked.groupBy("v").agg(F.min("id").alias("rep")).select("rep", "v"), "query-classes")
 
-    near = stored(_ranked(_meet(*_buckets(classes, asks, dim, top, tables, hashes, width, probes, block), keep), members, keep), "near")
+    near = stored(_ranked(_meet(*_buckets(classes, asks, dim, top, tables, hashes, width, probes, block, queries_held), keep), members, keep), "near")
     total = members.count()
     short = asks.join(near.filter(F.size("near") >= min(keep, total)), "rep", "left_anti")
     if not short.isEmpty():
-        rest = _ranked(_meet(*_everything(classes, short, block), keep), members, keep)
+        rest = _ranked(_meet(*_everything(classes, short, queries_held), keep), members, keep)
         near = near.join(short, "rep", "left_anti").union(rest)
     names = asked.join(asks.withColumnRenamed("rep", "query"), "v").select("id", "query")
     answered = names.join(near.withColumnRenamed("rep", "query"), "query").select(
@@ -154,7 +158,7 @@ def search(
     )
 
 
-def _buckets(classes: DataFrame, asks: DataFrame, dim: int, top: float, tables: int, hashes: int, width: float, probes: int, block: int):
+def _buckets(classes: DataFrame, asks: DataFrame, dim: int, top: float, tables: int, hashes: int, width: float, probes: int, block: int, queries_held: int):
     """Classes by bucket, and query classes by the buckets that they visit, dealt to cells."""
     directions, shifts = projections(dim, tables, hashes)
     sets = perturbations(hashes, probes)
@@ -183,30 +187,45 @@ def _buckets(classes: DataFrame, asks: DataFrame, dim: int, top: float, tables:
 
     of = classes.schema["v"].dataType.simpleString()
     laid = classes.mapInArrow(index, f"rep long, v {of}, bucket long")
-    blocks = stored(
-        laid.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")),
-        "large-buckets",
-    )
-    held = laid.join(blocks, "bucket", "left").withColumn("slice", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    blocks = stored(laid.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "bucket-blocks")
+    large = blocks.filter("blocks > 1")
+    held = laid.join(large, "bucket", "left").withColumn("slice", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
     visits = asks.mapInArrow(visit, f"rep long, v {of}, buckets array<long>")
-    exploded = visits.select("rep", F.explode("buckets").alias("bucket")).join(blocks, "bucket", "left")
-    sliced = exploded.select("rep", "bucket", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("slice"))
+    # buckets without candidates are not visited
+    exploded = visits.select("rep", F.explode("buckets").alias("bucket")).join(blocks, "bucket")
+    sliced = exploded.select("rep", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slice"))
     # a query's vector goes to a cell once, with the buckets that it visits there
     parts = _parts(classes)
     cell = F.pmod(F.xxhash64("bucket", "slice"), F.lit(parts)).cast("int")
     lists = sliced.groupBy("rep", cell.alias("cell")).agg(F.collect_set("bucket").alias("buckets"))
     wanted = lists.join(asks, "rep").select("cell", F.lit(0).alias("kind"), "rep", "v", "buckets")
-    return held.select(cell.alias("cell"), F.lit(1).alias("kind"), "rep", "v", F.array("bucket").alias("buckets")), wanted, parts
+    held = held.select(cell.alias("cell"), F.lit(1).alias("kind"), "rep", "v", F.array("bucket").alias("buckets"))
+    return *_cut(held, wanted, parts, _query_blocks(asks, queries_held)), parts
 
 
-def _everything(classes: DataFrame, asks: DataFrame, block: int):
+def _everything(classes: DataFrame, asks: DataFrame, queries_held: int):
     """All classes in cells by a hash, and the given query classes in every cell."""
     parts = _parts(classes)
     own = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")
     one = F.array(F.lit(0).cast("long"))
     held = classes.select(own.alias("cell"), F.lit(1).alias("kind"), "rep", "v", one.alias("buckets"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell")
-    return held, asks.select(every, F.lit(0).alias("kind"), "rep", "v", one.alias("buckets")), parts
+    wanted = asks.select(every, F.lit(0).alias("kind"), "rep", "v", one.alias("buckets"))
+    return *_cut(held, wanted, parts, _query_blocks(asks, queries_held)), parts
+
+
+def _query_blocks(asks: DataFrame, queries_held: int) -> int:
+    return max(1, -(-asks.count() // queries_held))
+
+
+def _cut(held: DataFrame, wanted: DataFrame, parts: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Cells cut by a hash of the query in `blocks`, each of which gets the cell's candidates."""
+    if blocks == 1:
+        return held, wanted
+    within = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(blocks)).cast("int")
+    every = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("within"))
+    cell = (F.col("cell") + F.col("within").cast("long") * parts).alias("cell")
+    return tuple(df.select(cell, "kind", "rep", "v", "buckets") for df in (every, wanted.withColumn("within", within)))
 
 
 def _parts(df: DataFrame) -> int:
@@ -240,7 +259,9 @@ def _meet(held: DataFrame, wanted: DataFrame, parts: int, keep: int) -> DataFram
         if state is not None:
             yield from state.close(waiting)
 
-    dealt = wanted.union(held).repartitionById(parts, F.col("cell")).sortWithinPartitions("cell", "kind")
+    # the blocks of one cell go to different tasks
+    task = F.pmod(F.col("cell") + F.floor(F.col("cell") / parts) * 7919, F.lit(parts)).cast("int")
+    dealt = wanted.union(held).repartitionById(parts, task).sortWithinPartitions("cell", "kind")
     return dealt.mapInArrow(run, "query long, class long, score double")
 
 
