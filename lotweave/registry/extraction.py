@@ -161,8 +161,8 @@ def generic_confidence(spark, sf):
     'Price: $' || format('{:,}', price), format('{:,}', mileage) || ' miles', 'Keyless Entry', 'Heated Seats', 'Rear Camera',
     accident_text, CASE WHEN is_error_page THEN '404 Not Found' END) AS lines FROM listings WHERE host LIKE 'dealer%'"""))
 def model_input(spark, sf):
-    pages = C.listing_pages(spark, sf, "host").where("host LIKE 'dealer%'")
-    return with_dom(pages).select("page_id", generic.model_input().alias("lines"))
+    # all four layouts; the SQL beside it describes one of them
+    return with_dom(C.listing_pages(spark, sf)).select("page_id", generic.model_input().alias("lines"))
 
 
 # --- declarative mappings ------------------------------------------------------------------
