@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotweave.llm import bpe, language, mixing, near, surrogates
+from lotweave.llm import bpe, language, mixing, simhash, surrogates
 from lotweave.llm.common import DOCUMENT_COLUMNS, stored, table
 from lotweave.session import tune
 
@@ -28,8 +28,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word similarity 0.8 or more), that of the least doc_id."""
-    return near.one_of_each(_documents(docs))
+    """One document of each group whose fingerprints link at few differing bits, that of the least doc_id."""
+    return simhash.one_of_each(_documents(docs))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
