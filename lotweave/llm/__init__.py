@@ -1,4 +1,4 @@
-"""Training-data operators: ten methods over document, page and embedding tables.
+"""Training-data operators: methods over document, page and embedding tables.
 
 `queries` registers one query per operator; each operator module has its own general interface.
 """

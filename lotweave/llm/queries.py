@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotweave.llm import bpe, language, minhash, mixing, pstable, quality, simhash, surrogates, toxicity, urls
+from lotweave.llm import bpe, language, minhash, mixing, negatives, orchard, pieces, pstable, quality, simhash, surrogates, toxicity, urls
 from lotweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.cluster(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 _ALL = (
     op1_pstable, op2_simhash, op3_mixing, op4_toxicity, op5_language, op6_surrogates, op7_bpe, op8_urls, op9_minhash, op10_quality,
+    op11_orchard, op12_pieces, op13_negatives,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op11_orchard": orchard.ORACLE, "op13_negatives": negatives.ORACLE}
