@@ -119,6 +119,34 @@ _LAYOUT_D = f"""concat({_HEAD}, '<nav>', {_tag('a href="/"', "'All our offers'")
   {_tag('p', f"concat({_MILES}, ' miles')")}, '<ul>', {_FEATURES}, '</ul>', {_IMAGES}, {_TAIL})"""
 
 
+def _pieces_sql() -> str:
+    """SQL for the visible text pieces of a listing's page, in order; null for pieces that it has not."""
+    title = "year || ' ' || make || ' ' || model"
+    cost, miles = "'$' || format('{:,}', price)", "format('{:,}', mileage)"
+    features = ["'Keyless Entry'", "'Heated Seats'", "'Rear Camera'"]
+    tail = [*features, "accident_text", "CASE WHEN is_error_page THEN '404 Not Found' END"]
+    marked = ["CASE WHEN vin IS NOT NULL THEN 'VIN:' END", "vin", "CASE WHEN price IS NOT NULL THEN 'Price:' END", cost]
+    facts = ["cast(year AS varchar)", "make", "model"]
+    extras = ["CASE WHEN listing_id % 8 = 0 THEN 'noted' END"] * len(_EXTRAS)
+    plain = "cast(mileage AS varchar)"
+    a = [title, title, *facts, plain, "color", cost, "'Exterior color:'", "color", "'Body style:'", "body_style", f"{miles} || ' mi.'",
+         "dealer_name", "dealer_phone", "(listing_id % 100) || ' Main St, Springfield, TX'", "vin", *features, *extras, *tail[3:]]
+    b = [title, title, *facts, "dealer_name", "dealer_phone", *marked, f"CASE WHEN listing_id % 8 = 1 THEN {plain} ELSE {miles} || ' miles' END",
+         "CASE WHEN listing_id % 8 = 1 THEN 'miles' END", *tail]
+    c = [title, title, *facts, "color", "dealer_name", "dealer_phone", *marked, plain, "'miles'", *tail]
+    d = [title, "CASE WHEN {nav} THEN 'All our offers' END", title, "dealer_name", "'Call ' || dealer_phone", "'VIN: ' || vin", f"'Price: ' || {cost}", f"{miles} || ' miles'", *tail]
+    return "CASE listing_id % 4 " + " ".join(f"WHEN {k} THEN [{', '.join(x)}]" for k, x in enumerate((a, b, c, d))) + " END"
+
+
+_PIECES = _pieces_sql()
+
+
+def lines_sql(keep: str, nav: bool) -> str:
+    """SQL for a page's lines: the pieces `x` that `keep` keeps, with or without those of its navigation."""
+    pieces = _PIECES.replace("{nav}", str(nav).lower())
+    return f"array_to_string(list_filter({pieces}, lambda x: x IS NOT NULL AND ({keep})), chr(10))"
+
+
 def listing_pages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """(page_id, url, html) of all listings in four site layouts."""
     html = f"""CASE listing_id % 4 WHEN 0 THEN {_LAYOUT_A} WHEN 1 THEN {_LAYOUT_B}

@@ -156,12 +156,11 @@ def generic_confidence(spark, sf):
                         record.sufficient(F.col("f")).alias("sufficient"))
 
 
-@query("model_input", truth(r"""SELECT listing_id AS page_id, concat_ws(chr(10), year || ' ' || make || ' ' || model,
-    year || ' ' || make || ' ' || model, dealer_name, 'Call ' || dealer_phone, 'VIN: ' || vin,
-    'Price: $' || format('{:,}', price), format('{:,}', mileage) || ' miles', 'Keyless Entry', 'Heated Seats', 'Rear Camera',
-    accident_text, CASE WHEN is_error_page THEN '404 Not Found' END) AS lines FROM listings WHERE host LIKE 'dealer%'"""))
+_LONG = r"len(x) > 5 AND NOT regexp_full_match(x, '\d+')"
+
+
+@query("model_input", truth(f"SELECT listing_id AS page_id, {C.lines_sql(_LONG, nav=False)} AS lines FROM listings"))
 def model_input(spark, sf):
-    # all four layouts; the SQL beside it describes one of them
     return with_dom(C.listing_pages(spark, sf)).select("page_id", generic.model_input().alias("lines"))
 
 

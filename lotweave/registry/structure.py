@@ -43,12 +43,8 @@ def page_text_query(spark, sf):
     return with_dom(C.driver_pages(spark, sf)).select("page_id", page_text().alias("text"))
 
 
-@query("page_lines", truth(r"""SELECT listing_id AS page_id, concat_ws(chr(10), year || ' ' || make || ' ' || model, 'All our offers',
-    year || ' ' || make || ' ' || model, dealer_name, 'Call ' || dealer_phone, 'VIN: ' || vin,
-    'Price: $' || format('{:,}', price), format('{:,}', mileage) || ' miles', 'Keyless Entry', 'Heated Seats', 'Rear Camera',
-    accident_text, CASE WHEN is_error_page THEN '404 Not Found' END) AS lines FROM listings WHERE host LIKE 'dealer%'"""))
+@query("page_lines", truth(f"SELECT listing_id AS page_id, {C.lines_sql('true', nav=True)} AS lines FROM listings"))
 def page_lines_query(spark, sf):
-    # all four layouts; the SQL beside it describes one of them
     return with_dom(C.listing_pages(spark, sf)).select("page_id", page_lines().alias("lines"))
 
 

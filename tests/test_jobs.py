@@ -48,12 +48,13 @@ def test_generic_quirks(pages):
     assert r.confidence == 0.75 and r.success
 
 
-def test_model_input_prefers_main_and_caps_lines(pages):
+def test_model_input_prefers_main_and_caps_lines_if_asked(pages):
     body = "".join(f"<p>line number {i}</p>" for i in range(150))
     r = with_dom(pages(f"<nav>navigation</nav><main>{body}<p>123456789</p></main><p>outside main</p>",
-                       "<form>form text</form><p>short</p><p>long enough</p>")).select("page_id", generic.model_input().alias("t")).collect()
+                       "<form>form text</form><p>short</p><p>long enough</p>")).select("page_id", generic.model_input().alias("t"), generic.model_input(100).alias("some")).collect()
     got = {x.page_id: x.t.split("\n") for x in r}
-    assert len(got[0]) == 100 and got[0][0] == "line number 0" and got[1] == ["long enough"]
+    assert got[0] == [f"line number {i}" for i in range(150)] and got[1] == ["long enough"]
+    assert r[0].some.split("\n") == got[0][:100]
 
 
 def test_mapping_single_feature_voids_record_and_list_rules_find_nothing(spark, pages):
