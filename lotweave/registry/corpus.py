@@ -43,12 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        LISTINGS,
-        part=spread(table(spark, sf_dir, "part")),
-        supplier=table(spark, sf_dir, "supplier"),
-        nation=table(spark, sf_dir, "nation"),
-    )
+    joined = spark.sql(LISTINGS, **{name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")})
+    return spread(joined, "listing_id")  # the join itself: its slim rows may all come out of one task
 
 
 def _tag(markup: str, value: str) -> str:
@@ -157,7 +153,7 @@ def listing_pages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def driver_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 SITE_OF_PAGE = "CASE page_id % 4 WHEN 0 THEN 'cars_com' WHEN 1 THEN 'carfax' WHEN 2 THEN 'default' ELSE 'unlisted' END"

@@ -25,14 +25,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than cores.
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of rows that come from fewer files than there are cores.
 
     Page work is heavy per row, so a table in one small file would keep a single task busy.  A
-    large table already has more splits than cores and is left as it is: no shuffle.
+    large table has more files than cores and is left as it is: no shuffle.  With keys, rows are
+    dealt by their hash, the same way in every run.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
@@ -42,9 +43,14 @@ def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a local one only where none is set (tests)."""
+    """Shared checkpoint folder named by the cluster; a folder of this machine only on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or tempfile.mkdtemp(prefix="lotweave-ckpt-")
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lotweave-ckpt-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
