@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from lotweave.llm.common import arrow_map
 SPACE = "▁"  # stands for a space in pieces
 WORD_MEMORY = 32 << 20  # bytes of words and their ids kept per worker process
 LONG_WORD = 64  # longer words are merged one by one
-WORDS_MERGED = 1 << 16  # words merged at once
-TEXT_HELD = 1 << 20  # characters whose words are merged together
+CELLS = 1 << 18  # characters of padded words that are merged at once
+TEXT_HELD = 1 << 20  # characters that are encoded together; a longer text is encoded alone, in stretches
 
 # -- the model file ---------------------------------------------------------------------------------
 
@@ -350,8 +351,8 @@ class Words(dict):
         start = 0
         for wide in (8, 16, 32, LONG_WORD):
             stop = bisect.bisect_right(fresh, wide, lo=start, key=len)
-            for at in range(start, stop, WORDS_MERGED):
-                part = fresh[at : min(stop, at + WORDS_MERGED)]
+            for at in range(start, stop, CELLS // wide):
+                part = fresh[at : min(stop, at + CELLS // wide)]
                 for word, packed in zip(part, self.merger.merge(part)):
                     self._keep(word, packed)
             start = stop
@@ -384,15 +385,8 @@ class Coder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """encode() of many texts, whose new words are merged together."""
-        out, waiting, held = [], [], 0
-        for text in texts:
-            waiting.append(normalize(self.model, text))
-            held += len(text)
-            if held > TEXT_HELD:
-                out += self._spelt(waiting)
-                waiting, held = [], 0
-        return out + self._spelt(waiting)
+        """encode() of texts whose new words are merged together."""
+        return self._spelt([normalize(self.model, text) for text in texts])
 
     def _spelt(self, normal: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ids: list[np.ndarray] = [np.frombuffer(b"".join(self._ids(plain)), np.int32) if len(plain) > TEXT_HELD else None for plain, _ in normal]
@@ -495,24 +489,38 @@ def _packed(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(limits), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids, starts and ends of every row's whole text: ids of pieces and their source bytes.
+def _sized(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about TEXT_HELD bytes of text, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_HELD, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
-    A null text is empty and has no pieces; null and repeated doc_ids are treated like others, other
-    columns are left out.  Spans follow each other without gaps in a text whose model does not drop spaces.
-    """
 
-    def make():
+def _encoded(docs: DataFrame, model: str | None, with_text: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = coder(model or default_model())
+        for b in batches:
+            for part in _sized(b):
+                found = worker.encode_all([t or "" for t in part.column(1).to_pylist()])
+                columns = {"doc_id": part.column(0)} | {name: _packed([f[k] for f in found]) for k, name in enumerate(("ids", "starts", "ends"))}
+                if with_text:
+                    columns["text"] = pa.array([worker.decode(f[0].tolist()) for f in found], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = worker.encode_all([t or "" for t in b.column(1).to_pylist()])
-            lists = [_packed([f[k] for f in found]) for k in range(3)]
-            return pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "ids", "starts", "ends"])
+    schema = "doc_id long, ids array<int>, starts array<int>, ends array<int>" + ", text string" * with_text
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-        return batch
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, ids, starts and ends of every row's whole text: ids of pieces and their source bytes.
+
+    A null text is empty and has no pieces; null and repeated doc_ids are treated like others, other
+    columns are left out.  Spans follow each other without gaps in a text whose model does not drop spaces.
+    """
+    return _encoded(docs, model, with_text=False)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -532,19 +540,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """encode() with the decoded text beside it, decoded from the ids by the worker that made them."""
-
-    def make():
-        worker = coder(model or default_model())
-
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = worker.encode_all([t or "" for t in b.column(1).to_pylist()])
-            lists = [_packed([f[k] for f in found]) for k in range(3)]
-            texts = [worker.decode(f[0].tolist()) for f in found]
-            return pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(texts, pa.string())], ["doc_id", "ids", "starts", "ends", "text"])
-
-        return batch
-
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>, starts array<int>, ends array<int>, text string")
+    return _encoded(docs, model, with_text=True)
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
