@@ -7,11 +7,11 @@ of WIDTH.  A query visits its own bucket and then perturbed ones, in order of th
 moving a hash to the next slot up or down costs the squared distance to that slot's edge, and sets of
 moves are taken by their summed cost.  Candidates met in any table are ranked by exact inner products.
 
-Equal vectors are one class and are hashed once, with the least ids that a result can need.  Buckets
-are dealt to tasks by a hash; a large bucket's candidates are cut in blocks, each of which meets the
-queries that probe it.  Queries are cut in blocks too: a cell is a share of the buckets and a block of
-the queries, with its own copy of the candidates.  A task holds one cell's queries at a time and goes
-through the candidates in batches.
+Equal vectors are one class and are hashed once, with the least ids that a result can need.  A bucket's
+candidates are cut in blocks, and so are the queries that probe it: each candidate block meets each
+query block of the same bucket, and nothing else is copied.  Such pairs of blocks are dealt by a hash
+to cells, as many as keep a cell's queries bounded; a task holds one cell's queries at a time and goes
+through the candidates in batches.  Queries with too few candidates pass by slices of all rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotweave.llm.common import stored
@@ -31,7 +31,9 @@ HASHES = 4
 WIDTH = 1.0
 PROBES = 60
 BLOCK = 4096  # classes of one bucket that one cell holds
-QUERIES = 8192  # queries that one cell holds, about
+QUERIES = 8192  # queries of one bucket, and of one cell, that are held together, about
+SLICE = 32768  # classes of a slice that passing queries meet
+PASSING = 512  # queries that pass by together
 BATCH = 8192  # candidates scored together
 SEED = 11
 
@@ -132,13 +134,11 @@ def search(
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, top, keep = usual["n"], float(np.sqrt(usual["top"])), neighbours + 1  # one more: a query's own row
-    # a class is a vector; of its ids no result needs more than the least `keep`
+    # a class is a vector; of its ids no result needs more than the least `keep`.  Every task keeps so
+    # many before rows move, so that one vector may be a large part of the table
     by_vector = Window.partitionBy("v").orderBy("id")
-    members = stored(
-        rows.filter(F.size("v") == dim).distinct()
-        .select("id", "v", F.row_number().over(by_vector).alias("k"), F.first("id").over(by_vector).alias("class"))
-        .filter(F.col("k") <= keep), "members",
-    )
+    least = rows.filter(F.size("v") == dim).distinct().withColumn("k", F.row_number().over(by_vector)).filter(F.col("k") <= keep)
+    members = stored(least.withColumn("class", F.min("id").over(Window.partitionBy("v"))), "members")
     classes = members.filter("k = 1").select(F.col("id").alias("rep"), "v")
     asked = stored(usable(queries, id_col, vector_col).filter(F.size("v") == dim).distinct(), "asked")
     asks = stored(asked.groupBy("v").agg(F.min("id").alias("rep")).select("rep", "v"), "query-classes")
@@ -147,7 +147,7 @@ def search(
     total = members.count()
     short = asks.join(near.filter(F.size("near") >= min(keep, total)), "rep", "left_anti")
     if not short.isEmpty():
-        rest = _ranked(_meet(*_everything(classes, short, queries_held), keep), members, keep)
+        rest = _ranked(_against_all(classes, short, dim, keep), members, keep)
         near = near.join(short, "rep", "left_anti").union(rest)
     names = asked.join(asks.withColumnRenamed("rep", "query"), "v").select("id", "query")
     answered = names.join(near.withColumnRenamed("rep", "query"), "query").select(
@@ -187,45 +187,33 @@ def _buckets(classes: DataFrame, asks: DataFrame, dim: int, top: float, tables:
 
     of = classes.schema["v"].dataType.simpleString()
     laid = classes.mapInArrow(index, f"rep long, v {of}, bucket long")
-    blocks = stored(laid.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "bucket-blocks")
-    large = blocks.filter("blocks > 1")
-    held = laid.join(large, "bucket", "left").withColumn("slice", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    visits = asks.mapInArrow(visit, f"rep long, v {of}, buckets array<long>")
-    # buckets without candidates are not visited
-    exploded = visits.select("rep", F.explode("buckets").alias("bucket")).join(blocks, "bucket")
-    sliced = exploded.select("rep", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slice"))
-    # a query's vector goes to a cell once, with the buckets that it visits there
-    parts = _parts(classes)
-    cell = F.pmod(F.xxhash64("bucket", "slice"), F.lit(parts)).cast("int")
-    lists = sliced.groupBy("rep", cell.alias("cell")).agg(F.collect_set("bucket").alias("buckets"))
-    wanted = lists.join(asks, "rep").select("cell", F.lit(0).alias("kind"), "rep", "v", "buckets")
-    held = held.select(cell.alias("cell"), F.lit(1).alias("kind"), "rep", "v", F.array("bucket").alias("buckets"))
-    return *_cut(held, wanted, parts, _query_blocks(asks, queries_held)), parts
-
-
-def _everything(classes: DataFrame, asks: DataFrame, queries_held: int):
-    """All classes in cells by a hash, and the given query classes in every cell."""
+    visits = asks.mapInArrow(visit, f"rep long, v {of}, buckets array<long>").select("rep", F.explode("buckets").alias("bucket"))
+    # blocks of the buckets that hold candidates and are visited
+    held_by = laid.groupBy("bucket").agg(F.count("*").alias("held"))
+    blocks = held_by.join(visits.groupBy("bucket").agg(F.count("*").alias("asked")), "bucket").select(
+        "bucket", F.ceil(F.col("held") / block).cast("int").alias("blocks"), F.ceil(F.col("asked") / queries_held).cast("int").alias("query_blocks"), "asked"
+    )
+    blocks = stored(blocks, "bucket-blocks")
+    meetings = blocks.agg(F.coalesce(F.sum(F.col("asked") * F.col("blocks")), F.lit(0))).first()[0]
     parts = _parts(classes)
-    own = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")
-    one = F.array(F.lit(0).cast("long"))
-    held = classes.select(own.alias("cell"), F.lit(1).alias("kind"), "rep", "v", one.alias("buckets"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell")
-    wanted = asks.select(every, F.lit(0).alias("kind"), "rep", "v", one.alias("buckets"))
-    return *_cut(held, wanted, parts, _query_blocks(asks, queries_held)), parts
+    cells = parts * max(1, -(-meetings // (queries_held * parts)))
+    cell = F.pmod(F.xxhash64("bucket", "slice", "query_slice"), F.lit(cells)).cast("int")
 
+    def own(limit: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(limit)).cast("int")
 
-def _query_blocks(asks: DataFrame, queries_held: int) -> int:
-    return max(1, -(-asks.count() // queries_held))
+    def every(limit: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(limit) - 1))
 
-
-def _cut(held: DataFrame, wanted: DataFrame, parts: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Cells cut by a hash of the query in `blocks`, each of which gets the cell's candidates."""
-    if blocks == 1:
-        return held, wanted
-    within = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(blocks)).cast("int")
-    every = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("within"))
-    cell = (F.col("cell") + F.col("within").cast("long") * parts).alias("cell")
-    return tuple(df.select(cell, "kind", "rep", "v", "buckets") for df in (every, wanted.withColumn("within", within)))
+    plain = blocks.drop("asked")
+    sliced = visits.join(plain, "bucket").withColumn("slice", every("blocks")).withColumn("query_slice", own("query_blocks", 5))
+    # a query's vector goes to a cell once, with the meetings that it has there
+    met = F.xxhash64("bucket", "slice", "query_slice")
+    lists = sliced.groupBy("rep", cell.alias("cell")).agg(F.collect_set(met).alias("buckets"))
+    wanted = lists.join(asks, "rep").select("cell", F.lit(0).alias("kind"), "rep", "v", "buckets")
+    held = laid.join(plain, "bucket").withColumn("slice", own("blocks", 0)).withColumn("query_slice", every("query_blocks"))
+    held = held.select(cell.alias("cell"), F.lit(1).alias("kind"), "rep", "v", F.array(met).alias("buckets"))
+    return held, wanted, parts
 
 
 def _parts(df: DataFrame) -> int:
@@ -259,12 +247,51 @@ def _meet(held: DataFrame, wanted: DataFrame, parts: int, keep: int) -> DataFram
         if state is not None:
             yield from state.close(waiting)
 
-    # the blocks of one cell go to different tasks
-    task = F.pmod(F.col("cell") + F.floor(F.col("cell") / parts) * 7919, F.lit(parts)).cast("int")
-    dealt = wanted.union(held).repartitionById(parts, task).sortWithinPartitions("cell", "kind")
+    dealt = wanted.union(held).repartitionById(parts, F.pmod(F.col("cell"), F.lit(parts)).cast("int")).sortWithinPartitions("cell", "kind")
     return dealt.mapInArrow(run, "query long, class long, score double")
 
 
+def _against_all(classes: DataFrame, asks: DataFrame, dim: int, keep: int, slice_rows: int = SLICE) -> DataFrame:
+    """(query, class, score): each query's `keep` nearest classes of every slice of all classes.
+
+    A task holds a slice of bounded size and lets the queries pass by, a few at a time.
+    """
+    slices = max(_parts(classes), -(-classes.count() // slice_rows))
+    own = F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int")
+    held = classes.select(own.alias("slice"), F.lit(0).alias("kind"), "rep", "v")
+    passing = asks.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("kind"), "rep", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reps, vectors = None, [], []
+        for b in batches:
+            slices_, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            turns = (np.flatnonzero((np.diff(slices_) != 0) | (np.diff(kinds) != 0)) + 1).tolist()
+            for i, j in zip([0, *turns], [*turns, b.num_rows]):
+                if i == j:
+                    continue
+                if slices_[i] != now:
+                    now, reps, vectors = slices_[i], [], []
+                part = b.slice(i, j - i)
+                if kinds[i] == 0:
+                    reps.append(part.column(2).to_numpy())
+                    vectors.append(matrix(part.column(3)))
+                elif reps:
+                    reps, vectors = [np.concatenate(reps)], [np.concatenate(vectors)]
+                    for at in range(0, len(part), PASSING):
+                        yield from _passed(part.slice(at, PASSING), reps[0], vectors[0], keep)
+
+    dealt = held.union(passing).repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "kind")
+    return dealt.mapInArrow(run, "query long, class long, score double")
+
+
+def _passed(queries: pa.RecordBatch, reps: np.ndarray, vectors: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
+    cell = Cell(keep)
+    cell.hold(queries.column(2).to_numpy(), matrix(queries.column(3)))
+    for at in range(0, len(reps), BATCH):
+        cell.take(np.arange(len(cell.reps)), reps[at : at + BATCH], vectors[at : at + BATCH])
+    yield from cell.close([])
+
+
 class Cell:
     """The queries of one cell and their nearest classes so far."""
 
@@ -272,22 +299,24 @@ class Cell:
         self.keep, self.asked = keep, []
         self.reps = None
 
+    def hold(self, reps: np.ndarray, vectors: np.ndarray) -> None:
+        self.reps, self.v = reps, vectors
+        self.scores = np.full((len(reps), self.keep), -np.inf)
+        self.near = np.full((len(reps), self.keep), np.iinfo(np.int64).max)
+
     def ask(self, rows: pa.RecordBatch) -> None:
         self.asked.append(rows)
 
     def _ready(self) -> None:
         if self.reps is None:
             table = pa.Table.from_batches(self.asked).combine_chunks()
-            self.reps = table["rep"].to_numpy()
-            self.v = matrix(table["v"].combine_chunks())
+            self.hold(table["rep"].to_numpy(), matrix(table["v"].combine_chunks()))
             lists = table["buckets"].combine_chunks()
             owner = np.repeat(np.arange(len(self.reps)), np.diff(lists.offsets.to_numpy()))
             bucket = lists.flatten().to_numpy()
             order = np.argsort(bucket, kind="stable")
             names, first = np.unique(bucket[order], return_index=True)
             self.of = dict(zip(names.tolist(), np.split(owner[order], first[1:])))
-            self.scores = np.full((len(self.reps), self.keep), -np.inf)
-            self.near = np.full((len(self.reps), self.keep), np.iinfo(np.int64).max)
             self.asked = []
 
     def score(self, rows: list[pa.RecordBatch]) -> None:
@@ -302,9 +331,9 @@ class Cell:
         for name, mine in zip(names.tolist(), np.split(order, first[1:])):
             who = self.of.get(name)
             for at in range(0, 0 if who is None else len(who), 1024):
-                self._take(who[at : at + 1024], reps[mine], v[mine])
+                self.take(who[at : at + 1024], reps[mine], v[mine])
 
-    def _take(self, who: np.ndarray, reps: np.ndarray, v: np.ndarray) -> None:
+    def take(self, who: np.ndarray, reps: np.ndarray, v: np.ndarray) -> None:
         fresh = self.v[who] @ v.T
         worth = fresh >= self.scores[who, -1:]  # the least score kept so far
         some = np.flatnonzero(worth.any(axis=1))
@@ -313,13 +342,20 @@ class Cell:
         who, fresh = who[some], fresh[some]
         both = np.concatenate([self.scores[who], fresh], axis=1)
         ids = np.concatenate([self.near[who], np.broadcast_to(reps, fresh.shape)], axis=1)
-        bar = np.partition(both, -self.keep, axis=1)[:, [-self.keep]]
-        # all at least as good as the keep-th, so that ties are settled by the least id
+        # twice as many, as a class may come again out of another table's bucket; and all that are as
+        # good as the last, so that ties are settled by the least id
+        twice = min(2 * self.keep, both.shape[1])
+        bar = np.partition(both, -twice, axis=1)[:, [-twice]]
         most = int((both >= bar).sum(axis=1).max())
         at = np.argpartition(-both, most - 1, axis=1)[:, :most]
         both, ids = np.take_along_axis(both, at, 1), np.take_along_axis(ids, at, 1)
         order = np.lexsort((ids, -both), axis=1)
         both, ids = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+        again = np.zeros(both.shape, bool)
+        again[:, 1:] = ids[:, 1:] == ids[:, :-1]
+        both[again], ids[again] = -np.inf, np.iinfo(np.int64).max
+        order = np.argsort(again, axis=1, kind="stable")
+        both, ids = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
         self.scores[who], self.near[who] = both[:, : self.keep], ids[:, : self.keep]
 
     def close(self, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
