@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -128,12 +129,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # -- documents beside their successors --------------------------------------------------------------
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Limits that deal the non-null ids in about as many even ranges as shuffles have partitions."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@dataclass(frozen=True)
+class Ring:
+    """How rows are dealt: limits of the parts, and the head of each part with the part that looks at it.
+
+    Rows are placed by ~doc_id, which rises as ids fall; null ids follow, by a hash of their text.
+    """
+
+    known: np.ndarray  # limits between the parts of known ids
+    unknown: np.ndarray  # limits between the parts of null ids
+    heads: np.ndarray  # place of each part's first row
+    there: np.ndarray  # parts that have rows
+    before: np.ndarray  # the part whose last row each part's first row follows
+
+    def part(self, ids: pa.Array, hashes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Part and place of every row."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        place = np.where(null, hashes.to_numpy(), ~ids.fill_null(0).to_numpy())
+        known = np.searchsorted(self.known, place, "right")
+        return np.where(null, len(self.known) + 1 + np.searchsorted(self.unknown, place, "right"), known), place
+
+
+def _limits(places: DataFrame, parts: int) -> np.ndarray:
+    """Limits that deal places in about as many even ranges."""
     wanted = [i / parts for i in range(1, parts)]
-    found = docs.select("doc_id").approxQuantile("doc_id", wanted, 0.2 / parts) if wanted else []
-    return sorted({int(x) for x in found})
+    found = places.approxQuantile("place", wanted, 0.2 / parts) if wanted else []
+    return np.array(sorted({int(x) for x in found}), np.int64)
+
+
+def _ring(docs: DataFrame) -> tuple[Ring, Column]:
+    """The ring of a table and the hash column that its null ids are placed by.  The driver sees one place per part."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, n_null = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    hashes = F.xxhash64("text") if n_null else F.lit(0).cast("long")
+    share = min(parts, -(-parts * n_null // n)) if n else 0
+    known = _limits(docs.filter("doc_id is not null").select(F.bitwise_not("doc_id").alias("place")), max(1, parts - share))
+    unknown = _limits(docs.filter("doc_id is null").select(hashes.alias("place")), max(1, share)) if n_null else np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    ring = Ring(known, unknown, none, none.astype(bool), none)
+    size = len(known) + len(unknown) + 2
+
+    def first(ids: pa.Array, hashes_: pa.Array) -> pa.Array:
+        part, place = ring.part(ids, hashes_)
+        return pa.StructArray.from_arrays([pa.array(part.astype(np.int32)), pa.array(place)], ["part", "place"])
+
+    placed = docs.select(F.arrow_udf(first, "struct<part:int,place:long>")("doc_id", hashes).alias("p")).select("p.*")
+    heads, there = np.zeros(size, np.int64), np.zeros(size, bool)
+    for r in placed.groupBy("part").agg(F.min("place").alias("place")).collect():
+        heads[r["part"]], there[r["part"]] = r["place"], True
+    order = np.flatnonzero(there)
+    before = np.zeros(size, np.int64)
+    before[order] = np.roll(order, 1)  # the first part's head ends the ring
+    return Ring(known, unknown, heads, there, before), hashes
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -141,31 +188,22 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
     Columns doc_id, text, part and extra (1: a row of the range after, there only to be looked at).
     Rows of one part stand together, in descending doc_id, nulls last, ties by a hash of the text.
-    The order is a ring: after its last row comes its first.  Texts move once; the driver sees one id
-    per range.
+    The order is a ring: after its last row comes its first.  Texts move once.
     """
-    limits = _ranges(docs)
-    id_ = F.col("doc_id")
-    above = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= id_)) if limits else F.lit(0)
-    # parts count up as ids go down; null ids end the last part
-    slim = docs.select("doc_id").withColumn("part", F.coalesce(F.lit(len(limits)) - above, F.lit(len(limits))))
-    heads = {r[0]: r[1] for r in slim.groupBy("part").agg(F.max("doc_id")).collect()}
-    order = sorted(heads)
-    if not order:
-        return docs.select("doc_id", "text", F.lit(0).alias("part"), F.lit(0).alias("extra")).limit(0)
-    looked_at = [(heads[p], order[i - 1]) for i, p in enumerate(order)]  # the first part's head ends the ring
-    extra = F.lit(None).cast("int")
-    for head, part in looked_at:
-        same = F.col("doc_id").isNull() if head is None else F.col("doc_id") == F.lit(head)
-        extra = F.when(same, F.lit(part)).otherwise(extra)
-    part = F.coalesce(F.lit(len(limits)) - above, F.lit(len(limits)))
-    own = F.struct(part.cast("int").alias("part"), F.lit(0).alias("extra"))
-    dealt = docs.select(
-        "doc_id", "text",
-        F.explode(F.filter(F.array(own, F.struct(extra.alias("part"), F.lit(1).alias("extra"))), lambda x: x["part"].isNotNull())).alias("deal"),
-    )
+    ring, hashes = _ring(docs.select("doc_id", "text"))
+
+    def deal(ids: pa.Array, hashes_: pa.Array) -> pa.Array:
+        part, place = ring.part(ids, hashes_)
+        head = ring.there[part] & (ring.heads[part] == place)
+        rows = np.arange(len(part)).repeat(1 + head)
+        extra = np.r_[False, rows[1:] == rows[:-1]]
+        to = np.where(extra, ring.before[part[rows]], part[rows]).astype(np.int32)
+        limits = np.concatenate([[0], np.cumsum(1 + head)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(limits), pa.StructArray.from_arrays([pa.array(to), pa.array(extra.astype(np.int32))], ["part", "extra"]))
+
+    dealt = docs.select("doc_id", "text", F.explode(F.arrow_udf(deal, "array<struct<part:int,extra:int>>")("doc_id", hashes)).alias("deal"))
     rows = dealt.select("doc_id", "text", "deal.part", "deal.extra")
-    return rows.repartitionById(len(limits) + 1, F.col("part")).sortWithinPartitions(
+    return rows.repartitionById(len(ring.heads), F.col("part")).sortWithinPartitions(
         "part", "extra", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text"
     )
 
