@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lotweave.session import checkpoint_dir, tune
 
 ROWS = 512  # rows that a batch function gets at a time
+LONGEST = 50_000  # characters of a text that a model may be fitted on: bounds what a sample brings to the driver
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -61,15 +62,11 @@ def uniform(seed: str, *cols: Column) -> Column:
 def stratified(rows: DataFrame, label: str, per_class: int, seed: str, *key: str) -> DataFrame:
     """About `per_class` rows of each label (all, where there are fewer), chosen by a hash of `key`.
 
-    One counting pass; the driver gets a count per label, nothing else.
+    One counting pass; a table of a rate per label is joined, broadcast by its size.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
-    if not counts:
-        return rows.limit(0)
-    rate = F.lit(0.0)
-    for value, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
-        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(rate)
-    return rows.filter(uniform(seed, *[F.col(k) for k in key]) < rate)
+    rates = stored(rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.least(F.lit(1.0), per_class / F.count("*")).alias("rate")), "rates")
+    chosen = uniform(seed, *[F.col(k) for k in key])
+    return rows.join(rates, label).filter(chosen < F.col("rate")).select(rows.columns)
 
 
 def one_label(labels: DataFrame, column: str) -> DataFrame:
@@ -82,13 +79,14 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, seed: str) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of about `per_class` labelled documents per class that are not held out.
 
-    Ids and labels are joined first; whole texts are read for the chosen ids only.
+    Ids and labels are joined first; whole texts are read for the chosen ids only, and of these the
+    texts of at most LONGEST characters come to the driver.
     """
     ids = docs.filter(~held_out()).select("doc_id")
     chosen = stratified(one_label(labels, column).join(ids, "doc_id", "left_semi"), "label", per_class, seed, "doc_id")
     label = {r[0]: r[1] for r in chosen.collect()}
     if not label:
         return []
-    texts = docs.filter(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull()).select("doc_id", "text")
+    texts = docs.filter(F.col("doc_id").isin(list(label)) & (F.length("text") <= LONGEST)).select("doc_id", "text")
     rows = {(r[0], r[1]): label[r[0]] for r in texts.collect()}
     return sorted((i, t, y) for (i, t), y in rows.items())

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import arrow_map, held_out, stratified
+from lotweave.llm.common import LONGEST, arrow_map, held_out, stratified
 
 PER_LANGUAGE = 600  # labelled texts read per language
+LANGUAGES = 256  # languages learned: those with most labelled texts
+TEXTS = 20_000  # labelled texts read of all languages together
 LANDMARKS = 256  # of those texts span the kernel map, as many of each language
 GRAMS = 4096  # n-grams told apart: those in most training texts
 LENGTHS = (1, 2, 3)
@@ -105,9 +107,17 @@ def train(texts: list[str], languages: list[str]) -> KernelModel:
 
 
 def labelled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of about `per_language` texts of each language, held-out documents left out."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rows = stratified(known, "lang", per_language, "language", "doc_id").collect()
+    """(text, lang) of about `per_language` texts of each language, held-out documents left out.
+
+    The LANGUAGES values with most texts are learned (ties: the first in the alphabet), from TEXTS texts
+    at most, of LONGEST characters at most, so that a column of free text for a language, or very long
+    texts, can't bring the table to the driver.
+    """
+    short = F.length("text") <= LONGEST
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & short).select("doc_id", "text", "lang")
+    most = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    each = min(per_language, max(1, TEXTS // max(1, len(most))))
+    rows = stratified(known.filter(F.col("lang").isin(most)), "lang", each, "language", "doc_id").collect()
     return sorted({(r["text"], r["lang"]) for r in rows if has_letters(r["text"])}, key=lambda r: hash_of(r[0]))
 
 
