@@ -1,8 +1,8 @@
 """Selectors as Column expressions over the ``nodes`` / ``texts`` arrays of a page row.
 
-Two ways in, one meaning: ``Step`` objects for selectors fixed in code, and ``compile_rules`` for
-selectors that arrive as data (one row per rule, any number of sites).  Matching folds the steps
-over candidate intervals, so cost is per page and no rows are produced before a value is known.
+Two ways in, one meaning: ``Step`` objects for selectors fixed in code, folded over candidate
+intervals, and ``compile_steps`` for selectors that arrive as data (any number of sites), which
+``sweep`` evaluates.  Cost is per page and no rows are produced before a value is known.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lotweave.constants import WHITESPACE
 
-SPAN_TYPE = "array<struct<id:int,last:int>>"
 STEP_TYPE = (
     "array<struct<child:boolean,tag:string,id:string,classes:array<string>,"
     "attrs:array<struct<name:string,op:string,value:string>>>>"
@@ -115,22 +114,6 @@ def cascade_sql(cascade: list[list[Step]]) -> str:
     return f"coalesce({', '.join(tries)})"
 
 
-def below(spans: Column, n: Column) -> Column:
-    """Is ``n`` inside one of the candidate intervals?"""
-    return F.exists(spans, lambda c: (c.id < n.id) & (n.id <= c.last))
-
-
-def _compare(got: Column, op: Column, value: Column) -> Column:
-    return (
-        F.when(op == "exists", got.isNotNull())
-        .when(op == "=", got == value)
-        .when(op == "*=", (value != "") & F.contains(got, value))
-        .when(op == "^=", (value != "") & F.startswith(got, value))
-        .when(op == "$=", (value != "") & F.endswith(got, value))
-        .when(op == "~=", F.array_contains(F.split(got, r"\s+"), value))
-    )
-
-
 # --- text of elements --------------------------------------------------------------------------
 
 
@@ -316,57 +299,3 @@ def terminal(rule: Column, kind: Column) -> Column:
         .when(rule.rlike(rf"/@{_NAME}$"), F.regexp_extract(rule, rf"(@{_NAME})$", 1))
         .otherwise(F.lit("element"))
     )
-
-
-def _attribute(n: Column, name: Column) -> Column:
-    """An attribute's value; classes are joined by one space each, as the fixed selectors see them."""
-    joined = F.when(n.attrs["class"].isNotNull(), F.array_join(n.classes, " "))
-    return F.when(name == "class", joined).otherwise(n.attrs[name])
-
-
-def _step_test(n: Column, s: Column) -> Column:
-    return (
-        (s.tag.isNull() | (n.tag == s.tag))
-        & F.forall(s.classes, lambda c: F.array_contains(n.classes, c))
-        & (s.id.isNull() | F.coalesce(n.attrs["id"] == s.id, F.lit(False)))
-        & F.forall(
-            s.attrs, lambda a: F.coalesce(_compare(_attribute(n, a["name"]), a.op, a.value), F.lit(False))
-        )
-    )
-
-
-def match(steps: Column) -> Column:
-    """Spans (id, last) of the nodes a compiled selector finds, in document order."""
-
-    def advance(spans: Column, s: Column) -> Column:
-        placed = lambda n: (
-            F.when(spans.isNull(), ~s.child | (n.parent == 0))
-            .when(s.child, F.exists(spans, lambda c: c.id == n.parent))
-            .otherwise(below(spans, n))
-        )
-        return F.transform(
-            F.filter(F.col("nodes"), lambda n: _step_test(n, s) & placed(n)),
-            lambda n: F.struct(n.id.alias("id"), n["last"].alias("last")),
-        )
-
-    return F.aggregate(steps, F.lit(None).cast(SPAN_TYPE), advance)
-
-
-def xpath_values(spans: Column, end: Column) -> Column:
-    """Raw string results of a matched XPath."""
-    own = F.filter(F.col("texts"), lambda t: (t.kind.isin("text", "hidden")) & F.exists(spans, lambda s: s.id == t.owner))
-    deep = F.filter(
-        F.col("texts"),
-        lambda t: t.kind.isin("text", "hidden")
-        & F.exists(spans, lambda s: (s.id <= t.owner) & (t.owner <= s["last"])),
-    )
-    attr = F.filter(
-        F.transform(spans, lambda s: F.get(F.col("nodes"), s.id - 1).attrs[F.regexp_replace(end, "^@", "")]),
-        lambda v: v.isNotNull(),
-    )
-    return (
-        F.when(end == "text()", F.transform(own, lambda t: t.text))
-        .when(end == "//text()", F.transform(deep, lambda t: t.text))
-        .when(F.startswith(end, F.lit("@")), attr)
-        .otherwise(F.transform(spans, lambda s: F.lit("")))
-    )

@@ -1,7 +1,8 @@
 """Declarative extraction: every rule of a page's site against the page, without a shuffle.
 
 The rule sets join the pages on the site (``lookup_join``: broadcast while small, with salts for many
-rule sets, since one site may own a third of all pages).  Evaluation then stays inside the page row.
+rule sets, since one site may own a third of all pages).  All selectors of a page are found in one sweep
+over its elements; evaluation then stays inside the page row.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 from lotweave.constants import MIN_CONFIDENCE
 from lotweave.functions import record, values
 from lotweave.operators.lookup import lookup_join
-from lotweave.operators.selectors import (
-    element_text, let, link_value, match, raw_text, strip, xpath_values,
-)
+from lotweave.operators.selectors import element_text, let, link_value, raw_text, strip
+from lotweave.operators.sweep import found_values, sweep
 
 NO_STRINGS = "array<string>"
 
@@ -30,12 +30,17 @@ def _node(span: Column) -> Column:
     return F.get(F.col("nodes"), span.id - 1)
 
 
-def _map_one(r: Column) -> Column:
+def with_swept(ruled: DataFrame) -> DataFrame:
+    """What each rule of the page's site finds, in order of the rules."""
+    return ruled.withColumn("swept", sweep(F.col("rules.steps"), F.col("rules.end")))
+
+
+def _map_one(r: Column, place: Column) -> Column:
     """Mapping route: every match counts; one match is a value, several are a list."""
 
-    def found(spans: Column) -> Column:
-        css = F.transform(spans, lambda s: raw_text(_node(s)))
-        raw = F.when(r["kind"] == "xpath", xpath_values(spans, r["end"])).otherwise(css)
+    def found(hit: Column) -> Column:
+        css = F.transform(hit["spans"], lambda s: raw_text(_node(s)))
+        raw = F.when(r["kind"] == "xpath", found_values(hit, r["end"])).otherwise(css)
         return F.transform(raw, values.clean_any)
 
     def pack(cleaned: Column) -> Column:
@@ -62,7 +67,7 @@ def _map_one(r: Column) -> Column:
         F.lit(False).alias("has_number"), F.lit(False).alias("is_list"), F.lit(True).alias("success"),
     )
     return F.when(r["kind"] == "static", static).otherwise(
-        let(let(F.when(r["kind"].isin("css", "xpath"), match(r["steps"])), found), pack)
+        let(let(F.when(r["kind"].isin("css", "xpath"), F.get(F.col("swept"), place)), found), pack)
     )
 
 
@@ -75,8 +80,9 @@ def mapped_rules() -> Column:
 @cache
 def previewed_rules() -> Column:
     """Preview results of all rules but metadata.  Built once per process."""
-    shown = F.filter("rules", lambda r: ~F.startswith(r["field"], F.lit("_")))
-    return F.transform(shown, _preview_one)
+    both = F.transform("rules", lambda r, i: F.struct(r.alias("rule"), F.get(F.col("swept"), i).alias("hit")))
+    shown = F.filter(both, lambda b: ~F.startswith(b["rule"]["field"], F.lit("_")))
+    return F.transform(shown, lambda b: _preview_one(b["rule"], b["hit"]))
 
 
 def map_fields(ruled: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def map_fields(ruled: DataFrame) -> DataFrame:
     ``fields_total`` counts every key of the mapping, metadata included.
     """
     keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules")]
-    mapped = ruled.select(*keep, mapped_rules().alias("fields"))
+    mapped = with_swept(ruled).select(*keep, mapped_rules().alias("fields"))
     n = F.size(F.filter("fields", lambda f: f["success"]))
     counted = mapped.select(
         "*",
@@ -209,7 +215,7 @@ def nested(fields: Column) -> Column:
 # --- preview -------------------------------------------------------------------------------
 
 
-def _preview_one(r: Column) -> Column:
+def _preview_one(r: Column, hit: Column) -> Column:
     """Preview route: first element for CSS, all results for XPath, cleaned by field name."""
     field = r["field"]
     is_xpath = r["selector_type"] == "xpath"
@@ -242,9 +248,9 @@ def _preview_one(r: Column) -> Column:
             ),
         )
 
-    def found(spans: Column) -> Column:
-        first_css = F.transform(F.slice(spans, 1, 1), lambda s: link_value(_node(s)))
-        raw = F.when(is_xpath, xpath_values(spans, r["end"])).otherwise(first_css)
+    def found(hit: Column) -> Column:
+        first_css = F.transform(F.slice(hit["spans"], 1, 1), lambda s: link_value(_node(s)))
+        raw = F.when(is_xpath, found_values(hit, r["end"])).otherwise(first_css)
         return let(F.coalesce(raw, F.array().cast(NO_STRINGS)), lambda x: fill(x, F.size(x)))
 
     static = F.struct(
@@ -253,7 +259,7 @@ def _preview_one(r: Column) -> Column:
         F.lit(False).alias("is_list"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("string").alias("selector"), F.lit("static").alias("selector_type"),
     )
-    return F.when(kind == "static", static).otherwise(let(match(r["steps"]), found))
+    return F.when(kind == "static", static).otherwise(let(hit, found))
 
 
 def preview(ruled: DataFrame) -> DataFrame:
@@ -262,7 +268,7 @@ def preview(ruled: DataFrame) -> DataFrame:
     A page of a site without rules has no fields and one error.
     """
     keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules", "parse_errors")]
-    rows = ruled.select(*keep, F.when(F.col("rules").isNotNull(), previewed_rules()).alias("fields"))
+    rows = with_swept(ruled).select(*keep, F.when(F.col("rules").isNotNull(), previewed_rules()).alias("fields"))
     lost = F.array(F.concat(F.lit("No mapping found for site: "), F.coalesce("site_id", F.lit(""))))
     n = F.coalesce(F.size(F.filter("fields", lambda f: f["success"])), F.lit(0))
     total = F.when(F.col("fields").isNull(), 0).otherwise(F.size("fields"))
@@ -288,12 +294,13 @@ def preview_rows(previews: DataFrame) -> DataFrame:
 def test_selector(dom: DataFrame, steps: Column, kind: Column, end: Column) -> DataFrame:
     """Matches of one selector per page and their whole texts."""
 
-    def texts_of(spans: Column) -> Column:
-        css = F.transform(spans, lambda s: element_text(_node(s)))
-        return F.when(kind == "xpath", F.transform(xpath_values(spans, end), strip)).otherwise(css)
+    def texts_of(hit: Column) -> Column:
+        css = F.transform(hit["spans"], lambda s: element_text(_node(s)))
+        return F.when(kind == "xpath", F.transform(found_values(hit, end), strip)).otherwise(css)
 
     keep = [c for c in dom.columns if c not in ("nodes", "texts")]
-    hit = dom.select(*keep, let(match(steps), texts_of).alias("all_texts"))
+    swept = dom.withColumn("swept", F.get(sweep(F.array(steps), F.array(end)), F.lit(0)))
+    hit = swept.select(*keep, let(F.col("swept"), texts_of).alias("all_texts"))
     n = F.when(F.col("all_texts").isNull(), 0).otherwise(F.size("all_texts"))
     return hit.select(
         *keep, n.alias("matches"), (n > 0).alias("success"),

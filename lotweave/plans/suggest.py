@@ -7,11 +7,14 @@ page's strings and their selectors only, joined on ``page_id``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY
-from lotweave.operators.selectors import element_sql, node_selector, only, strip
+from lotweave.operators.selectors import compile_steps, element_text, literal, node_selector, only, strip
+from lotweave.operators.sweep import sweep
 from lotweave.plans.compare import entries
 from lotweave.plans.model import as_results
 
@@ -61,33 +64,51 @@ def by_model(answers: Column, strings: Column, limit: int | None = None) -> Colu
     return F.coalesce(F.flatten(F.transform(answers, locate)), F.array()).cast(_ITEM)
 
 
+def trie_pattern(words: list[str]) -> str:
+    """A pattern that matches, at a place, the longest of the words that stands there: common starts are read once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        tails = [re.escape(c) + written(rest) for c, rest in sorted(at.items()) if c]
+        if not tails:
+            return ""
+        return (tails[0] if len(tails) == 1 and "" not in at else f"(?:{'|'.join(tails)})") + ("?" if "" in at else "")
+
+    return written(tree)
+
+
 def by_keyword(fields: list[tuple[str, list[str]]], limit: int | None = None) -> Column:
     """Elements per keyword whose class, id or data attribute names it; ``limit`` per keyword and kind.
 
-    Marks (lower-cased classes, id and data attributes) are taken once per element that has any;
-    every keyword then only searches those short strings.
+    Marks (lower-cased classes, id and data attributes) are taken once per element that has any, and one
+    pattern over all keywords reads each mark once.  A data attribute counts for what follows ``data``.
     """
+    entries_ = [(w, field, at) for field, words in fields for at, w in enumerate(words)]
+    every = sorted({w for w, _, _ in entries_})
+    # at each place the longest keyword is read; keywords that it starts with stand there too
+    pattern = literal(f"(?=({trie_pattern(every)}))")
+    listed = ", ".join(f"named_struct('word', '{w}', 'field', '{f}', 'at', {at})" for w, f, at in entries_)
     marks = """filter(transform(nodes, n -> named_struct('id', n.id, 't0', n.t0, 't1', n.t1,
       'cls', lower(array_join(n.classes, ' ')), 'name', coalesce(lower(n.attrs['id']), ''),
-      'data', filter(transform(map_keys(n.attrs), k -> lower(k)), k -> contains(k, 'data')))),
-      m -> m.cls <> '' OR m.name <> '' OR size(m.data) > 0)"""
-    near = (
-        ("class name", 0.6, "contains(m.cls, '{w}')"),
-        ("ID", 0.7, "contains(m.name, '{w}')"),
-        ("data attribute", 0.8, "exists(m.data, k -> k RLIKE 'data.*{w}')"),
-    )
-
-    def cut(found: str) -> str:
-        return found if limit is None else f"slice({found}, 1, {limit})"
-
-    hits = ", ".join(
-        f"transform({cut(f'filter(marks, m -> {test.format(w=w)})')}, (e, i) -> named_struct("
-        f"'field', '{field}', 'seq', i + {at * 3 + j} * 4294967296L, 'id', e.id, 'by_id', {str(kind == 'ID').lower()}, "
-        f"'confidence', double({score}), 'value', {element_sql('e')}, 'why', \"Keyword '{w}' found in {kind}\"))"
-        for field, words in fields
-        for at, w in enumerate(words)
-        for j, (kind, score, test) in enumerate(near)
+      'data', array_join(transform(filter(transform(map_keys(n.attrs), k -> lower(k)), k -> contains(k, 'data')),
+        k -> substr(k, locate('data', k) + 4)), ' '))),
+      m -> m.cls <> '' OR m.name <> '' OR m.data <> '')"""
+    kinds = (("class name", 0.6, "cls"), ("ID", 0.7, "name"), ("data attribute", 0.8, "data"))
+    read = ", ".join(
+        f"transform(filter(dictionary, d -> exists(regexp_extract_all(m.{col}, {pattern}, 1), w -> startswith(w, d.word))), d -> named_struct("
+        f"'field', d.field, 'seq', i + (d.at * 3 + {j}) * 4294967296L, 'id', m.id, 't0', m.t0, 't1', m.t1, 'by_id', {str(kind == 'ID').lower()}, "
+        f"'confidence', double({score}), 'why', concat(\"Keyword '\", d.word, \"' found in {kind}\")))"
+        for j, (kind, score, col) in enumerate(kinds)
     )
+    hits = f"flatten(transform(marks, (m, i) -> concat({read})))"
+    if limit is not None:  # the first of each field, keyword and kind: places rise with the elements
+        same = "g.field = h.field AND g.seq < h.seq AND shiftright(g.seq, 32) = shiftright(h.seq, 32)"
+        hits = f"get(transform(array({hits}), a -> filter(a, h -> size(filter(a, g -> {same})) < {limit})), 0)"
 
     def item(h: Column) -> Column:
         by_id = F.concat(F.lit("#"), F.get("nodes", h["id"] - 1).attrs["id"])
@@ -95,15 +116,33 @@ def by_keyword(fields: list[tuple[str, list[str]]], limit: int | None = None) ->
             F.lit(3).alias("strategy"), h["seq"].alias("seq"), h["field"].alias("field"),
             F.when(h["by_id"], by_id).otherwise(node_selector(h["id"])).alias("selector"),
             h["confidence"].alias("confidence"),
-            only(h["value"], lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
+            only(element_text(h), lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
         )
 
-    found = F.expr(f"get(transform(array({marks}), marks -> concat({hits})), 0)")
+    found = F.expr(f"get(transform(array({marks}), marks -> get(transform(array(array({listed})), dictionary -> {hits}), 0)), 0)")
     return F.transform(found, item).cast(_ITEM)
 
 
-def candidates(dom: DataFrame, fields: list[str] | None = None, answers: DataFrame | None = None) -> DataFrame:
-    """All candidates of each page: (page_id, found array).
+def with_tested(dom: DataFrame, selectors: str) -> DataFrame:
+    """Column ``tested``: what each of the page's selectors finds on it, a map of selector to (matches, text).
+
+    All selectors of a page are found in one sweep; text is that of the first match.  A selector that no
+    grammar fits has null matches.
+    """
+    steps = F.transform(selectors, lambda s: compile_steps(s, F.lit("css")))
+
+    def result(hit: Column) -> Column:
+        first = F.get(F.col("nodes"), F.get(hit["spans"], F.lit(0)).id - 1)
+        return F.struct(F.when(hit["spans"].isNotNull(), F.size(hit["spans"])).alias("matches"), element_text(first).alias("text"))
+
+    # a generated column: the planner leaves nested lambdas inside a Python function's argument unevaluated
+    ready = dom.select("*", F.explode(F.array(steps)).alias("steps"))
+    swept = ready.withColumn("swept", sweep(F.col("steps"), F.transform(selectors, lambda s: F.lit("element"))))
+    return swept.withColumn("tested", F.map_from_arrays(selectors, F.transform("swept", result))).drop("swept", "steps")
+
+
+def candidates(dom: DataFrame, fields: list[str] | None = None, answers: DataFrame | None = None, check: bool = False) -> DataFrame:
+    """All candidates of each page: (page_id, found array), with ``check`` a map of what their selectors find.
 
     ``answers`` (parsed model answers) are joined to slim rows of candidates and located strings; keep
     both tables bucketed by ``page_id`` to make that join local.
@@ -111,12 +150,19 @@ def candidates(dom: DataFrame, fields: list[str] | None = None, answers: DataFra
     wanted = [d for d in FIELD_DICTIONARY if fields is None or d[0] in fields]
     parts = [by_pattern(name, p) for name, _, _, p, _ in wanted if p]
     parts.append(by_keyword([(name, words) for name, _, _, _, words in wanted]))
+    slim = dom.select("page_id", "nodes", "texts", F.concat(*parts).alias("found"))
+    if answers is not None:
+        slim = slim.withColumn("strings", located())
+    if check:
+        selectors = F.col("found.selector") if answers is None else F.concat("found.selector", "strings.selector")
+        slim = with_tested(slim.withColumn("selectors", F.array_distinct(F.array_compact(selectors))), "selectors").drop("selectors")
+    slim = slim.drop("nodes", "texts")
     if answers is None:
-        return dom.select("page_id", F.concat(*parts).alias("found"))
-    slim = dom.select("page_id", F.concat(*parts).alias("found"), located().alias("strings"))
+        return slim
     given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
     asked = F.filter("given", lambda a: a["field"].isin([d[0] for d in wanted]))
-    return slim.join(given, "page_id", "left").select("page_id", F.concat("found", by_model(asked, F.col("strings"))).alias("found"))
+    joined = slim.join(given, "page_id", "left").withColumn("found", F.concat("found", by_model(asked, F.col("strings"))))
+    return joined.drop("strings", "given")
 
 
 def candidate_rows(found: DataFrame) -> DataFrame:
@@ -137,14 +183,25 @@ def rank(found: DataFrame, top: int | None = None) -> DataFrame:
     placed = F.expr(f"""transform(best, (x, i) -> struct(x.field, x.selector, {lean},
       cast(i + 2 - array_position(fields, x.field) AS int) AS rank))""")
     kept = F.filter("placed", lambda x: F.lit(True) if top is None else x["rank"] <= top)
-    return (
-        found.select("page_id", ordered.alias("ordered"))
-        .select("page_id", once.alias("once"))
-        .select("page_id", best.alias("best"))
-        .select("page_id", "best", F.col("best.field").alias("fields"))
-        .select("page_id", placed.alias("placed"))
-        .select("page_id", kept.alias("ranked"))
+    key = [c for c in found.columns if c != "found"]
+    ranked = (
+        found.select(*key, ordered.alias("ordered"))
+        .select(*key, once.alias("once"))
+        .select(*key, best.alias("best"))
+        .select(*key, "best", F.col("best.field").alias("fields"))
+        .select(*key, placed.alias("placed"))
+        .select(*key, kept.alias("ranked"))
     )
+    if "tested" not in key:
+        return ranked
+    # a selector's own test beside it
+    seen = F.transform("ranked", lambda x: F.struct(
+        *[x[c].alias(c) for c in ("field", "selector", "confidence", "value", "reasoning", "rank")],
+        (F.coalesce(F.element_at("tested", x["selector"])["matches"], F.lit(0)) > 0).alias("hit"),
+        F.element_at("tested", x["selector"])["matches"].alias("matches"),
+        F.element_at("tested", x["selector"])["text"].alias("extracted"),
+    ))
+    return ranked.withColumn("ranked", seen).drop("tested")
 
 
 def ranked_rows(ranked: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lotweave.constants import FIELD_DICTIONARY, SEARCH_MAX_RESULTS
 from lotweave.functions import record
 from lotweave.operators.dom import with_dom
-from lotweave.operators.selectors import compile_steps, match
 from lotweave.plans import compare, generic, mapping, model, pipeline, schemas, search, suggest
 from lotweave.registry import corpus as C
 from lotweave.registry.base import query, truth
@@ -303,8 +302,8 @@ def suggest_model(spark, sf):
     return rows.where("strategy = 2 AND field = 'dealer_name'").select("page_id", "field", "selector", "value")
 
 
-def ranked(spark, sf):
-    return suggest.rank(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf)))
+def ranked(spark, sf, check=False):
+    return suggest.rank(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf), check=check))
 
 
 @query("suggest_rank", truth("""SELECT listing_id AS page_id, 'vin' AS field, cast(1 AS int) AS rank, CASE listing_id % 4 WHEN 0 THEN '[document] > html > body > span'
@@ -318,7 +317,7 @@ def suggest_rank(spark, sf):
 
 @query("suggest_all")
 def suggest_all(spark, sf):
-    return suggest.ranked_rows(ranked(spark, sf))
+    return suggest.ranked_rows(ranked(spark, sf, check=True))
 
 
 @query("suggest_coverage")
@@ -329,9 +328,9 @@ def suggest_coverage(spark, sf):
 @query("suggest_validate", truth("""SELECT listing_id AS page_id, host <> 'carfax.com' AND host NOT LIKE 'dealer%' AS hit,
   CASE WHEN host = 'www.cars.com' OR host = 'm.cars.com' THEN dealer_name END AS value FROM listings"""))
 def suggest_validate(spark, sf):
-    dom = with_dom(C.listing_pages(spark, sf)).withColumn("steps", compile_steps(F.lit(".dealer-name"), F.lit("css")))
-    out = mapping.test_selector(dom, F.col("steps"), F.lit("css"), F.lit("element"))
-    return out.select("page_id", F.col("success").alias("hit"), F.get("texts", F.lit(0)).alias("value"))
+    dom = with_dom(C.listing_pages(spark, sf)).withColumn("wanted", F.array(F.lit(".dealer-name")))
+    seen = suggest.with_tested(dom, "wanted").select("page_id", F.element_at("tested", ".dealer-name").alias("t"))
+    return seen.select("page_id", (F.col("t.matches") > 0).alias("hit"), F.col("t.text").alias("value"))
 
 
 @query("improvements")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lotweave.operators.dom import node_rows, text_rows, with_dom
 from lotweave.operators.selectors import (
-    Step, compile_steps, element_text, first, first_text, let, link_value, match, node_selector,
-    page_lines, page_text, select, terminal, text_of, xpath_values,
+    Step, compile_steps, element_text, first, first_text, let, link_value, node_selector,
+    page_lines, page_text, select, terminal, text_of,
 )
+from lotweave.operators.sweep import found_values, sweep
 from lotweave.plans import mapping, site
 from lotweave.registry import corpus as C
 from lotweave.registry.base import query, truth
@@ -92,8 +93,10 @@ def _with_rule(dom, rule: str, kind: str):
 def select_xpath(spark, sf):
     dom = with_dom(C.driver_pages(spark, sf))
     rules = {"h1": "//article/h1/text()", "links": "//nav//a/@href"}
-    cols = [xpath_values(match(compile_steps(F.lit(r), F.lit("xpath"))), terminal(F.lit(r), F.lit("xpath"))).alias(n) for n, r in rules.items()]
-    return dom.select("page_id", *cols).select(
+    steps, ends = (F.array(*[f(F.lit(r), F.lit("xpath")) for r in rules.values()]) for f in (compile_steps, terminal))
+    swept = dom.withColumn("swept", sweep(steps, ends))
+    cols = [found_values(F.get("swept", F.lit(i)), terminal(F.lit(r), F.lit("xpath"))).alias(n) for i, (n, r) in enumerate(rules.items())]
+    return swept.select("page_id", *cols).select(
         "page_id", F.get("h1", F.lit(0)).alias("h1"), F.get("links", F.lit(0)).alias("first_href"), F.size("links").alias("n_links"))
 
 
