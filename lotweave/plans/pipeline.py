@@ -6,7 +6,7 @@ the parse only slim result rows move: to model answers, then to the requests tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.constants import SITE_CONFIDENCE
@@ -17,6 +17,7 @@ from lotweave.plans import model
 from lotweave.plans.generic import LOW_CONFIDENCE, generic_fields, generic_vehicle
 from lotweave.plans.site import site_vehicle
 from lotweave.session import literal_rows, written
+from lotweave.sources.index import PageIndex, vin_pages
 from lotweave.sources.pages import fetch_urls
 
 NO_RESULTS = "No search results found for VIN"
@@ -82,27 +83,6 @@ def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None
     )
 
 
-def vin_index(pages: DataFrame, wanted: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Pages naming each (wanted) VIN with a usable URL, ranked: supported sites, then title, then page.
-
-    ``limit`` keeps the best so many per VIN; Spark then cuts by rank inside each task before the
-    shuffle.  Without it all are kept.
-    """
-    rows = pages.select(
-        F.explode(F.array_distinct(web.vins_in(F.col("html")))).alias("vin"), "page_id", "url",
-        F.regexp_extract("html", r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1).alias("title"),
-    ).where(web.is_url(F.col("url")))
-    if wanted is not None:
-        rows = keep_wanted(rows, wanted, "vin")
-    best = Window.partitionBy("vin").orderBy(F.desc("is_supported"), F.lower("title"), "page_id")
-    ranked = (
-        rows.withColumn("domain", web.domain(F.col("url")))
-        .withColumn("is_supported", web.is_supported(F.col("domain")))
-        .withColumn("rank", F.row_number().over(best))
-    )
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
-
-
 def typed_requests(requests: DataFrame) -> DataFrame:
     """Requests with their kind and the reason why none can be served, if so."""
     given = F.col("input_type") if "input_type" in requests.columns else F.lit(None).cast("string")
@@ -118,13 +98,13 @@ def typed_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def candidates(requests: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+def candidates(requests: DataFrame, pages: PageIndex | DataFrame, limit: int | None = None) -> DataFrame:
     """Pages to try per request (the best ``limit`` of a VIN, or all): (request_id, rank, url, page_id, fetch_error)."""
     ok = requests.where(F.col("request_error").isNull())
     vins = ok.where(F.col("input_type") == "vin").select(
         "request_id", web.clean_vin(F.col("input_value")).alias("vin")
     )
-    hits = vins.join(vin_index(pages, vins, limit), "vin").select(
+    hits = vins.join(vin_pages(pages, vins, limit), "vin").select(
         "request_id", "rank", "url", "page_id", F.lit(None).cast("string").alias("fetch_error"),
         "title", "domain", "is_supported",
     )
@@ -150,16 +130,19 @@ def first_success(tries: DataFrame, *result: str) -> DataFrame:
 
 
 def process(
-    requests: DataFrame, pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None, limit: int | None = None
-) -> DataFrame:
+    requests: DataFrame, pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None, limit: int | None = None,
+    index: PageIndex | None = None,
+) -> DataFrame:
     """One trace per request (request_id, input_value[, input_type]); ``limit`` is the search's, per VIN.
 
+    With an ``index`` of the pages no body is read to find them.
+
     Candidates and parse results are written to the shared folder, since both are read more than
     once: the corpus is searched once and a page parsed once.  The choice among a request's candidates
     moves outcomes only; the vehicle of the one chosen page is joined afterwards.
     """
     asked = typed_requests(requests)
-    tries = written(candidates(asked, pages, limit), "candidates")
+    tries = written(candidates(asked, index or pages, limit), "candidates")
     results = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers)
     parsed = written(results.select("page_id", "success", "parser_used", "confidence", "error", "vehicle"), "parsed")
     outcomes = parsed.select("page_id", "success", "parser_used", "confidence", "error")

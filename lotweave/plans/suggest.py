@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY
+from lotweave.operators.dom import with_dom
+from lotweave.operators.lookup import keep_wanted
 from lotweave.operators.selectors import compile_steps, element_text, literal, node_selector, only, strip
 from lotweave.operators.sweep import sweep
 from lotweave.plans.compare import entries
 from lotweave.plans.model import as_results
+from lotweave.sources.index import PageIndex
+from lotweave.sources.pages import fetch_urls
 
 TOP = 3  # selectors that a report shows per field
 
@@ -217,6 +221,24 @@ def suggest_coverage(ranked: DataFrame, n_fields: int = len(FIELD_DICTIONARY)) -
     return ranked.select("page_id", (fields / float(n_fields)).alias("coverage"), F.size("ranked").cast("long").alias("suggestions"))
 
 
+def for_urls(urls: DataFrame, pages: DataFrame, source: PageIndex | DataFrame, answers: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Suggestions per distinct requested URL: (url, page_id, success, ranked, coverage, error).
+
+    URLs are looked up in ``source`` (the pages' index, or the pages); only bodies of pages that are
+    found are read.  A URL without a page fails with the reason and has no suggestions.
+    """
+    found = fetch_urls(urls, source).select("url", "page_id", F.col("error").alias("fetch_error"))
+    dom = with_dom(keep_wanted(pages, found, "page_id"))
+    ranked = rank(candidates(dom, fields, answers, check=True))
+    share = suggest_coverage(ranked, len(FIELD_DICTIONARY if fields is None else fields)).select("page_id", "coverage")
+    rows = found.join(ranked, "page_id", "left").join(share, "page_id", "left")
+    return rows.select(
+        "url", "page_id", F.col("fetch_error").isNull().alias("success"),
+        F.coalesce("ranked", F.array().cast(ranked.schema["ranked"].dataType)).alias("ranked"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
+        F.concat(F.lit("Failed to fetch URL: "), F.col("fetch_error")).alias("error"),
+    )
+
+
 def improvements(ranked: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Suggestions for fields that are missing or clearly different, with what is wrong now."""
     weak = comparisons.where(

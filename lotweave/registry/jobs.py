@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY, SEARCH_MAX_RESULTS
@@ -15,8 +17,17 @@ from lotweave.registry.extraction import (
 )
 from lotweave.registry.scalars import _REQUESTS, goal_sql
 from lotweave.sources import cases, pages as P
+from lotweave.session import checkpoint_dir
+from lotweave.sources.index import PageIndex, vin_pages as vin_pages_of
 from lotweave.sources.rules import rule_rows
 
+def indexed(spark, sf) -> PageIndex:
+    """The listing pages' index, built for the query: lookups read it instead of bodies."""
+    index = PageIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/page-index-{uuid.uuid4().hex}")
+    index.add(C.listing_pages(spark, sf), 0)
+    return index
+
+
 # --- mapping configs -----------------------------------------------------------------------
 
 
@@ -338,6 +349,18 @@ def improvements(spark, sf):
     return suggest.improvements(suggest.ranked_rows(ranked(spark, sf)), comparisons(spark, sf))
 
 
+@query("suggest_url", truth(f"""SELECT DISTINCT v AS url, CASE WHEN ok THEN listing_id END AS page_id, ok AS success,
+  CASE WHEN ok THEN 'dealer_name|dealer_phone|features|images|make|mileage|model|price|' || CASE WHEN vin IS NOT NULL THEN 'vin|' ELSE '' END || 'year' ELSE '' END AS fields,
+  CASE WHEN ok THEN (CASE WHEN vin IS NOT NULL THEN 10 ELSE 9 END) / cast(13 AS double) ELSE cast(0 AS double) END AS coverage,
+  CASE WHEN NOT ok THEN 'Failed to fetch URL: ' || CASE WHEN listing_id % 8 = 7 THEN 'not in corpus' ELSE 'Invalid URL format' END END AS error
+  FROM (SELECT *, {C.REQUEST_VALUE} AS v, listing_id % 8 = 1 AS ok FROM listings WHERE listing_id % 8 IN (1, 3, 7))"""))
+def suggest_url(spark, sf):
+    urls = C.requests(spark, sf).where("request_id % 8 IN (1, 3, 7)").select(F.col("input_value").alias("url"))
+    found = suggest.for_urls(urls, C.listing_pages(spark, sf), indexed(spark, sf))
+    fields = F.array_join(F.array_sort(F.array_distinct(F.col("ranked.field"))), "|")
+    return found.select("url", "page_id", "success", fields.alias("fields"), "coverage", "error")
+
+
 # --- search --------------------------------------------------------------------------------
 
 
@@ -372,14 +395,14 @@ _FETCH = """CASE WHEN listing_id % 8 = 1 THEN NULL WHEN listing_id % 8 = 7 THEN
   listing_id % 8 = 1 AS success, {_FETCH} AS error FROM u""", u=_URLS))
 def fetch_lookup(spark, sf):
     asked = C.requests(spark, sf).withColumnRenamed("input_value", "url")
-    return P.fetch_requests(asked, C.listing_pages(spark, sf)).select("request_id", "page_id", "success", "error")
+    return P.fetch_requests(asked, indexed(spark, sf)).select("request_id", "page_id", "success", "error")
 
 
 @query("fetch_multiple", truth(f"""SELECT v AS url, max(CASE WHEN listing_id % 8 = 1 THEN listing_id END) AS page_id, bool_or(listing_id % 8 = 1) AS success,
   max({_FETCH}) AS error FROM u WHERE v IS NOT NULL GROUP BY v""", u=_URLS))
 def fetch_multiple(spark, sf):
     asked = C.requests(spark, sf).select(F.col("input_value").alias("url"))
-    return P.fetch_urls(asked.unionByName(asked), C.listing_pages(spark, sf))
+    return P.fetch_urls(asked.unionByName(asked), indexed(spark, sf))
 
 
 @query("route", truth("""SELECT listing_id AS page_id, regexp_replace(host, '^www[.]', '') AS domain,
@@ -399,7 +422,7 @@ def route_auto(spark, sf):
 @query("vin_pages", truth(f"""SELECT vin, listing_id AS page_id, {C.URL} AS url, year || ' ' || make || ' ' || model AS title,
   cast(1 AS int) AS rank, host IN ('www.cars.com', 'carfax.com') AS is_supported, true AS within_limit FROM listings WHERE vin IS NOT NULL"""))
 def vin_pages(spark, sf):
-    return pipeline.vin_index(C.listing_pages(spark, sf)).select(
+    return vin_pages_of(indexed(spark, sf)).select(
         "vin", "page_id", "url", "title", "rank", "is_supported", (F.col("rank") <= SEARCH_MAX_RESULTS).alias("within_limit"))
 
 
@@ -408,7 +431,7 @@ def vin_pages(spark, sf):
 def vin_unmatched(spark, sf):
     asked = C.listings(spark, sf).where("vin IS NOT NULL").select(
         F.col("listing_id").alias("request_id"), F.expr("if(listing_id % 5 = 0, reverse(vin), vin)").alias("vin"))
-    seen = pipeline.vin_index(C.listing_pages(spark, sf), asked).select("vin")
+    seen = vin_pages_of(indexed(spark, sf), asked).select("vin")
     return asked.join(seen, "vin", "left_anti").select("request_id", F.lit(pipeline.NO_RESULTS).alias("error"))
 
 
@@ -464,7 +487,8 @@ _SERVED = "(listing_id % 8 = 1 OR (listing_id % 8 IN (0, 2) AND vin IS NOT NULL)
 
 
 def traces(spark, sf):
-    return pipeline.process(C.requests(spark, sf), C.listing_pages(spark, sf), pipeline.parser_registry(spark), answers(spark, sf))
+    pages, registry = C.listing_pages(spark, sf), pipeline.parser_registry(spark)
+    return pipeline.process(C.requests(spark, sf), pages, registry, answers(spark, sf), index=indexed(spark, sf))
 
 
 @query("pipeline_vin", truth(f"""SELECT listing_id AS request_id, {_TRACE_KIND} AS input_type,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.functions import web
-from lotweave.operators.lookup import keep_wanted
+from lotweave.sources.index import PageIndex, url_pages
 
 INVALID_URL = "Invalid URL format"
 NOT_FOUND = "not in corpus"
@@ -20,17 +20,10 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def one_page_per_url(pages: DataFrame) -> DataFrame:
-    """URL to its first page.  Copies of a URL collapse map-side and bodies stay out of the shuffle."""
-    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-
-
-def fetch_urls(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per distinct URL: the page it names, or why there is none."""
+def fetch_urls(urls: DataFrame, pages: PageIndex | DataFrame) -> DataFrame:
+    """One row per distinct URL: the first page it names, in a table of pages or its index, or why there is none."""
     wanted = urls.select("url").where(F.col("url").isNotNull()).distinct()
-    asked = keep_wanted(pages.select("url", "page_id"), wanted, "url")
-    found = wanted.join(one_page_per_url(asked), "url", "left")
-    return with_fetch_error(found)
+    return with_fetch_error(wanted.join(url_pages(pages, wanted), "url", "left"))
 
 
 def with_fetch_error(found: DataFrame) -> DataFrame:
@@ -45,7 +38,7 @@ def with_fetch_error(found: DataFrame) -> DataFrame:
     )
 
 
-def fetch_requests(requests: DataFrame, pages: DataFrame) -> DataFrame:
+def fetch_requests(requests: DataFrame, pages: PageIndex | DataFrame) -> DataFrame:
     """One row per request (request_id, url).
 
     Each URL is looked up once; a URL asked for by a third of all requests meets a slim one-row

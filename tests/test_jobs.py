@@ -8,6 +8,7 @@ from lotweave.operators.dom import with_dom
 from lotweave.operators.lookup import lookup_join
 from lotweave.session import literal_rows
 from lotweave.plans import generic, mapping, model, pipeline, schemas, search, site, suggest
+from lotweave.sources.index import vin_pages
 from lotweave.sources import cases
 from lotweave.sources import pages as P
 from lotweave.sources.rules import built_in_configs, read_rule_files, rule_rows, rule_sets
@@ -194,9 +195,9 @@ def test_empty_and_unreadable_configs_are_reported(spark):
 def test_best_page_of_a_vin_comes_first_whatever_its_id(spark):
     rows = [(i, f"https://h{i}.com/", f"<title>t{i}</title> {VIN}") for i in range(14)] + [(90, "bad", f"{VIN}"), (99, "https://www.cars.com/d/1/", f"<title>z</title>{VIN} {VIN}")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = pipeline.vin_index(table).orderBy("rank").collect()
+    got = vin_pages(table).orderBy("rank").collect()
     assert len(got) == 15 and got[0].page_id == 99 and got[0].is_supported
-    assert [r.page_id for r in pipeline.vin_index(table, limit=3).orderBy("rank").collect()] == [r.page_id for r in got[:3]]
+    assert [r.page_id for r in vin_pages(table, limit=3).orderBy("rank").collect()] == [r.page_id for r in got[:3]]
 
 
 def test_a_third_of_requests_for_one_vin(spark):
