@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotweave.functions.xpath import valid_xpaths
 from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import selector_ok
 from lotweave.plans import mapping
@@ -36,27 +37,31 @@ def _missing(field: str) -> Column:
 def validate_mapping(configs: DataFrame) -> DataFrame:
     """Per site: errors, warnings and number of keys, metadata included.
 
+    An XPath rule is an error if it is no XPath at all, and a warning if extraction can't evaluate it.
     Unreadable configs come back invalid with no count instead of failing the whole report; an empty
     one misses its required fields.
     """
     rules = rule_rows(configs)
-    bad = (F.col("kind") == "xpath") & ~selector_ok(F.col("selector"), F.col("selector_type"))
-    bad = bad & ~F.startswith("field", F.lit("_"))
+    listed = F.from_json("rule", "array<string>")
+    written = F.when(F.col("kind") == "xpath", F.array("selector")).when(F.col("kind") == "list", listed)
+    rules = rules.withColumn("paths", F.when(~F.startswith("field", F.lit("_")), F.filter(written, lambda t: F.startswith(t, F.lit("/")))))
+    rules = rules.withColumn("path_ok", valid_xpaths(F.col("paths")))
+    invalid = F.filter("paths", lambda t, i: ~F.get(F.col("path_ok"), i))
+    apart = F.filter("paths", lambda t, i: F.get(F.col("path_ok"), i) & ~selector_ok(t, F.lit("xpath")))
     named = F.lower(F.col("rule")).rlike("|".join(PRICE_WORDS)) & F.col("kind").isin("css", "xpath", "static", "list")
+    off_price = (F.count_if(F.col("field") == "price") > 0) & (F.count_if((F.col("field") == "price") & named) == 0)
+
+    def told(texts: Column, start: str, middle: str) -> Column:
+        lines = F.transform(texts, lambda t: F.concat(F.lit(start), F.col("field"), F.lit(middle), t))
+        return F.array_sort(F.flatten(F.collect_list(F.coalesce(lines, F.array().cast("array<string>")))))
+
     report = rules.groupBy("site_id").agg(
         F.count("*").cast("int").alias("fields_count"),
+        F.array_compact(F.concat(F.array(*[_missing(f) for f in REQUIRED]), told(invalid, "Invalid selector for ", ": "))).alias("errors"),
         F.array_compact(
             F.concat(
-                F.array(*[_missing(f) for f in REQUIRED]),
-                _messages(F.when(bad, F.concat(F.lit("Invalid selector for "), F.col("field"), F.lit(": "), F.col("rule")))),
-            )
-        ).alias("errors"),
-        F.array_compact(
-            F.array(
-                F.when(
-                    (F.count_if(F.col("field") == "price") > 0) & (F.count_if((F.col("field") == "price") & named) == 0),
-                    F.lit("Price selector might not target price element"),
-                )
+                F.array(F.when(off_price, F.lit("Price selector might not target price element"))),
+                told(apart, "Selector for ", " is valid but not evaluated: "),
             )
         ).alias("warnings"),
     )
@@ -74,20 +79,20 @@ def validate_mapping(configs: DataFrame) -> DataFrame:
     )
 
 
-def validate_config(configs: DataFrame) -> DataFrame:
-    """Per site: structural errors and warnings, counting fields without metadata.
+def validate_config(configs: DataFrame, key: str = "site_id") -> DataFrame:
+    """Per site (or other key): structural errors and warnings, counting fields without metadata.
 
     Every config has a row: an empty one misses its required fields, one that is no JSON object is
     unreadable.
     """
-    rules = rule_rows(configs)
+    rules = rule_rows(configs, key)
     shown = ~F.startswith("field", F.lit("_"))
     quoted = F.concat(F.lit("Field '"), F.col("field"), F.lit("'"))
     no_selector = shown & (F.col("kind") == "dict") & ~F.col("has_selector")
     bad_type = shown & (F.col("kind") == "dict") & ~F.col("given_type").isin("css", "xpath")
     bad_kind = shown & F.col("kind").isin("list", "other")
     empty = shown & (F.col("rule") == "") & (F.col("field") != "goal") & (F.col("kind") == "static")
-    report = rules.groupBy("site_id").agg(
+    report = rules.groupBy(key).agg(
         F.array_compact(
             F.concat(
                 F.array(*[_missing(f) for f in REQUIRED]),
@@ -99,9 +104,9 @@ def validate_config(configs: DataFrame) -> DataFrame:
         _messages(F.when(empty, F.concat(quoted, F.lit(" has empty selector")))).alias("warnings"),
         F.count_if(shown).cast("int").alias("field_count"),
     )
-    whole = configs.select("site_id", readable(F.col("config")).alias("_readable")).join(report, "site_id", "left")
+    whole = configs.select(key, readable(F.col("config")).alias("_readable")).join(report, key, "left")
     return whole.select(
-        "site_id",
+        key,
         F.coalesce("errors", F.when(F.col("_readable"), _all_missing()).otherwise(F.array(F.lit("unreadable")))).alias("errors"),
         F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
         F.coalesce("field_count", F.when(F.col("_readable"), F.lit(0))).alias("field_count"),
@@ -159,51 +164,90 @@ def _stamped(config: Column, meta: dict[str, Column]) -> Column:
     return F.to_json(full)
 
 
-def create_schemas(existing: DataFrame, asked: DataFrame, created_by: str = "lotweave") -> DataFrame:
-    """Outcome of creating each requested (site_id, config): created, conflict or invalid."""
-    checks = validate_config(asked).select("site_id", "valid", "errors")
-    taken = existing.select("site_id", F.lit(True).alias("_taken"))
-    rows = asked.join(taken, "site_id", "left").join(checks, "site_id", "left")
-    ok = F.coalesce("valid", F.lit(False))
-    meta = {
-        "site_id": F.col("site_id"), "created_by": F.lit(created_by),
-        "created_at": F.unix_timestamp().cast("string"), "version": F.lit("1.0.0"),
-    }
-    status = F.when(F.col("_taken"), F.lit("conflict")).when(ok, F.lit("created")).otherwise(F.lit("invalid"))
-    return rows.select(
-        "site_id", status.alias("status"),
-        F.when(F.col("_taken"), F.concat(F.lit("Schema already exists: "), F.col("site_id")))
-        .when(~ok, F.concat(F.lit("Invalid schema: "), F.array_join(F.coalesce("errors", F.array(F.lit("unreadable"))), ", ")))
-        .alias("error"),
-        F.when((status == "created"), _stamped(F.col("config"), meta)).alias("config"),
+def _judged(existing: DataFrame, asked: DataFrame) -> DataFrame:
+    """Requests with their validity and what stands against them, each judged on its own.
+
+    ``asked`` has op (create or update; create where there is no such column), site_id, config and
+    request_no, the order in which a site's requests apply; without numbers they go by their config's
+    text.  A site is there from its first valid creation on, so one number per site says which requests
+    find it: no site's requests are brought together.
+    """
+    rows = asked if "op" in asked.columns else asked.withColumn("op", F.lit("create"))
+    if "request_no" not in asked.columns:
+        rows = rows.withColumn("request_no", F.row_number().over(Window.partitionBy("site_id").orderBy("config")).cast("long"))
+    rows = rows.select("request_no", "op", "site_id", "config").distinct()
+    keyed = rows.withColumn("request", F.struct("site_id", "request_no", F.xxhash64("config").alias("text")))
+    checks = validate_config(keyed.select("request", "config").dropDuplicates(["request"]), "request").select("request", "valid", "errors")
+    judged = keyed.join(checks, "request", "left").withColumn("ok", F.coalesce("valid", F.lit(False)))
+    first = judged.where("op = 'create' AND ok").groupBy("site_id").agg(F.min("request_no").alias("first"))
+    there = existing.select("site_id", F.lit(True).alias("there")).distinct()
+    judged = judged.join(there, "site_id", "left").join(first, "site_id", "left")
+    found = F.coalesce(F.col("there"), F.lit(False)) | F.coalesce(F.col("request_no") > F.col("first"), F.lit(False))
+    made = F.col("op") == "create"
+    status = (
+        F.when(made & found, F.lit("conflict")).when(~made & ~found, F.lit("missing"))
+        .when(~F.col("ok"), F.lit("invalid")).when(made, F.lit("created")).otherwise(F.lit("updated"))
     )
+    return judged.withColumn("status", status).drop("request", "there", "first", "valid", "ok")
 
 
-def update_schemas(existing: DataFrame, asked: DataFrame, updated_by: str = "lotweave") -> DataFrame:
-    """The whole table after updates: replaced where valid and present, otherwise as before.
+def schema_outcomes(existing: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row per request: (request_no, op, site_id, status, error); equal rows are one request."""
+    site = F.col("site_id")
+    told = {
+        "conflict": F.concat(F.lit("Schema already exists: "), site), "missing": F.concat(F.lit("Schema not found: "), site),
+        "invalid": F.concat(F.lit("Invalid schema: "), F.array_join(F.coalesce("errors", F.array(F.lit("unreadable"))), ", ")),
+    }
+    error = F.coalesce(*[F.when(F.col("status") == k, text) for k, text in told.items()])
+    return _judged(existing, asked).select("request_no", "op", "site_id", "status", error.alias("error"))
 
-    Metadata is kept when the request brings none; the version never changes.
+
+def _stamps(by: str, word: str, version: Column) -> dict[str, Column]:
+    return {"site_id": F.col("site_id"), f"{word}_by": F.lit(by), f"{word}_at": F.unix_timestamp().cast("string"), "version": version}
+
+
+def create_schemas(existing: DataFrame, asked: DataFrame, created_by: str = "lotweave") -> DataFrame:
+    """Outcome of each request to create (site_id, config): created, conflict or invalid, with the stamped config."""
+    rows = _judged(existing, asked.drop("op"))
+    told = schema_outcomes(existing, asked.drop("op")).select("request_no", "site_id", "status", "error").distinct()
+    stamped = F.when(F.col("status") == "created", _stamped(F.col("config"), _stamps(created_by, "created", F.lit("1.0.0"))))
+    made = rows.select("request_no", "site_id", "status", stamped.alias("config"))
+    return made.join(told, ["request_no", "site_id", "status"]).select("request_no", "site_id", "status", "error", "config")
+
+
+def applied_schemas(existing: DataFrame, asked: DataFrame, by: str = "lotweave") -> DataFrame:
+    """The whole table (site_id, config, changed) after all requests, each against what the one before left.
+
+    An update replaces the rules; it keeps the metadata that it brings none of, and never the version.
+    So a site's last valid update gives its rules, and the last one with metadata, or what was there
+    first, its metadata.
     """
-    checks = validate_config(asked).select("site_id", "valid")
-    old = existing.select("site_id", F.col("config").alias("_old"))
-    good = asked.join(checks.where("valid"), "site_id", "left_semi").join(old, "site_id")
-    version = F.coalesce(F.get_json_object("_old", "$._metadata.version"), F.lit("1.0.0"))
-    meta_text = F.get_json_object("_old", "$._metadata")
-    merged = F.when(
-        F.get_json_object("config", "$._metadata").isNull() & meta_text.isNotNull(),
-        F.concat(F.lit('{"_metadata": '), meta_text, F.lit(", "), F.regexp_replace("config", r"^\s*\{", "")),
-    ).otherwise(F.col("config"))
-    meta = {
-        "site_id": F.col("site_id"), "updated_by": F.lit(updated_by),
-        "updated_at": F.unix_timestamp().cast("string"), "version": version,
-    }
-    changed = good.withColumn("_merged", merged).select(
-        "site_id", _stamped(F.col("_merged"), meta).alias("config"), F.lit(True).alias("updated")
+    rows = _judged(existing, asked)
+    created = rows.where("status = 'created'").select(
+        "site_id", _stamped(F.col("config"), _stamps(by, "created", F.lit("1.0.0"))).alias("config"), F.lit(True).alias("changed")
+    )
+    base = existing.select("site_id", "config", F.lit(False).alias("changed")).unionByName(created)
+    own = F.get_json_object("config", "$._metadata")
+    last = rows.where("status = 'updated'").groupBy("site_id").agg(
+        F.max_by("config", "request_no").alias("rules"),
+        F.max_by(own, F.when(own.isNotNull(), F.col("request_no"))).alias("meta"),
+    )
+    both = base.join(last, "site_id", "left")
+    version = F.coalesce(F.get_json_object("config", "$._metadata.version"), F.lit("1.0.0"))
+    meta = F.coalesce("meta", own)
+    body = F.when(F.get_json_object("rules", "$._metadata").isNotNull() | meta.isNull(), F.col("rules")).otherwise(
+        F.concat(F.lit('{"_metadata": '), meta, F.lit(", "), F.regexp_replace("rules", r"^\s*\{", ""))
     )
-    kept = existing.join(changed.select("site_id"), "site_id", "left_anti").select(
-        "site_id", "config", F.lit(False).alias("updated")
+    merged = both.withColumn("version", version).withColumn("merged", body)
+    new = _stamped(F.col("merged"), _stamps(by, "updated", F.col("version")))
+    return merged.select(
+        "site_id", F.when(F.col("rules").isNotNull(), new).otherwise(F.col("config")).alias("config"), (F.col("changed") | F.col("rules").isNotNull()).alias("changed")
     )
-    return kept.unionByName(changed)
+
+
+def update_schemas(existing: DataFrame, asked: DataFrame, updated_by: str = "lotweave") -> DataFrame:
+    """The whole table (site_id, config, updated) after updates: replaced where valid and present, otherwise as before."""
+    return applied_schemas(existing, asked.withColumn("op", F.lit("update")), updated_by).withColumnRenamed("changed", "updated")
 
 
 def test_schemas(tests: DataFrame, pages: DataFrame, rule_sets: DataFrame) -> DataFrame:

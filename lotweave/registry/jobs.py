@@ -121,6 +121,21 @@ def schema_create(spark, sf):
     return out.select("site_id", "status", "error", F.get_json_object("config", "$._metadata.version").alias("version"), _metadata_keys())
 
 
+@query("schema_requests", f"""WITH s AS (SELECT *, 'site' || s_suppkey AS site_id, s_acctbal < 5000 AS there, s_suppkey % 11 <> 5 AND {_CONFIG_OK} AS ok,
+    CASE WHEN s_suppkey % 11 = 5 THEN 'Invalid schema: unreadable' ELSE 'Invalid schema: ' || replace({_CONFIG_ERRORS}, '|', ', ') END AS bad FROM supplier),
+  r AS (SELECT *, cast(n AS bigint) AS request_no, CASE WHEN n = 2 THEN 'update' ELSE 'create' END AS op,
+    CASE WHEN n = 2 THEN CASE WHEN NOT there AND NOT ok THEN 'missing' WHEN ok THEN 'updated' ELSE 'invalid' END
+      WHEN there OR (n = 3 AND ok) THEN 'conflict' WHEN ok THEN 'created' ELSE 'invalid' END AS status FROM s, (SELECT unnest([1, 2, 3]) AS n))
+  SELECT request_no, op, site_id, status, CASE status WHEN 'conflict' THEN 'Schema already exists: ' || site_id WHEN 'missing' THEN 'Schema not found: ' || site_id
+    WHEN 'invalid' THEN bad END AS error FROM r""")
+def schema_requests(spark, sf):
+    configs = C.site_configs(spark, sf)
+    taken = C.table(spark, sf, "supplier").where("s_acctbal < 5000").select(F.concat(F.lit("site"), F.col("s_suppkey")).alias("site_id"))
+    asked = configs.select("site_id", "config", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 3)])).alias("request_no"))
+    asked = asked.withColumn("op", F.when(F.col("request_no") == 2, "update").otherwise("create"))
+    return schemas.schema_outcomes(configs.join(taken, "site_id", "left_semi"), asked)
+
+
 @query("schema_update", f"""SELECT 'site' || s_suppkey AS site_id, s_acctbal < 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} AS updated,
   CASE WHEN s_suppkey % 4 = 1 AND s_suppkey % 11 <> 5 THEN '1.2.0'
     WHEN s_acctbal < 5000 AND s_suppkey % 11 <> 5 AND {_CONFIG_OK} THEN '1.0.0' END AS version,

@@ -35,17 +35,17 @@ def _typed(value: Column) -> Column:
     )
 
 
-def rule_rows(configs: DataFrame) -> DataFrame:
-    """One row per (site, field) in file order; a config that is not JSON yields none.
+def rule_rows(configs: DataFrame, key: str = "site_id") -> DataFrame:
+    """One row per (site, or other key, and field) in file order; a config that is not JSON yields none.
 
     ``kind``: static, css, xpath, dict (selector and type inside), list or other.
     """
     entries = F.map_entries(F.from_json("config", "map<string,variant>"))
     valid = configs.where(F.try_parse_json("config").isNotNull())
-    rows = valid.select("site_id", F.posexplode(entries).alias("pos", "e"))
+    rows = valid.select(key, F.posexplode(entries).alias("pos", "e"))
     text = F.try_variant_get("e.value", "$", "string")
     rows = rows.select(
-        "site_id",
+        key,
         F.col("e.key").alias("field"),
         (F.col("pos") + 1).alias("ordinal"),
         text.alias("rule"),
@@ -55,7 +55,7 @@ def rule_rows(configs: DataFrame) -> DataFrame:
     ).withColumn("kind", rule_kind(F.col("rule"), F.col("shape")))
     is_dict = F.col("kind") == "dict"
     return rows.select(
-        "site_id", "field", "ordinal", "rule", "kind",
+        key, "field", "ordinal", "rule", "kind",
         F.when(is_dict, F.coalesce("inner", F.lit("")))
         .when(F.col("kind").isin("css", "xpath"), F.col("rule")).alias("selector"),
         F.when(is_dict, F.when(F.col("inner_type") == "xpath", F.lit("xpath")).otherwise(F.lit("css")))
