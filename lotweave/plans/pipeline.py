@@ -43,36 +43,39 @@ def route_by_text(url: Column, parser: Column) -> Column:
     return F.when(parser == "auto", auto).when(parser == "cars.com", parser).otherwise(F.lit("generic"))
 
 
-def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Parse result per page: (page_id, url, domain, success, parser_used, confidence, error, vehicle)."""
+def first_parse(pages: DataFrame, registry: DataFrame, *keep: str) -> DataFrame:
+    """What a page's own route finds, and whether it is too weak to go without a model's answer."""
     dom = with_dom(route(pages, registry))
     on_site = F.col("parser") == "site"
     found = dom.select(
-        "page_id", "url", "domain", "parser",
+        "page_id", "url", "domain", "parser", *keep,
         F.when(on_site, site_vehicle()).alias("site"),
         F.when(~on_site, generic_fields()).alias("found"),
     )
-    first = found.select(
-        "page_id", "url", "domain", "parser", "site",
+    return found.select(
+        "page_id", "url", "domain", "parser", *keep, "site",
         generic_vehicle(F.col("found")).alias("generic"),
         F.when(F.col("parser") == "site", SITE_CONFIDENCE)
         .otherwise(record.generic_confidence(F.col("found"))).alias("confidence"),
     ).withColumn("weak", record.needs_model(F.col("confidence")))
-    if answers is None:
-        given = first.select("*", F.lit(None).cast("double").alias("ai_confidence"),
-                             F.lit(None).cast(first.schema["generic"].dataType).alias("ai"), F.lit(False).alias("has_ai"))
-    else:
-        # failed answers stay as nulls: a filter would be pushed below their parsing and parse twice
-        ok = answers.select(
-            F.col("page_id").alias("_page"), model.vehicle_of(F.col("fields")).alias("ai"),
-            F.col("success").alias("_ok"), F.col("confidence").alias("ai_confidence"),
-        )
-        # the weak flag is part of the join condition: only those rows look up an answer
-        given = first.join(ok, F.col("weak") & (F.col("page_id") == F.col("_page")), "left")
-        given = given.withColumn("has_ai", F.coalesce("_ok", F.lit(False)))
+
+
+def answered_vehicles(answers: DataFrame, *keep: str) -> DataFrame:
+    """Parsed answers as vehicles.
+
+    Failed answers stay as nulls: a filter would be pushed below their parsing and parse twice.
+    """
+    return answers.select(
+        F.col("page_id").alias("_page"), model.vehicle_of(F.col("fields")).alias("ai"),
+        F.col("success").alias("_ok"), F.col("confidence").alias("ai_confidence"), *keep,
+    )
+
+
+def settled(given: DataFrame, *keep: str) -> DataFrame:
+    """The result of a first parse beside the answer that it got, if any (ai, ai_confidence, has_ai)."""
     good = ~F.col("weak") | F.col("has_ai")
     return given.select(
-        "page_id", "url", "domain",
+        "page_id", "url", "domain", *keep,
         good.alias("success"),
         F.when(F.col("parser") == "site", F.concat(F.lit("domain-"), F.col("domain")))
         .when(F.col("has_ai"), F.lit("ai-assisted")).otherwise(F.lit("generic")).alias("parser_used"),
@@ -83,6 +86,19 @@ def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None
     )
 
 
+def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Parse result per page: (page_id, url, domain, success, parser_used, confidence, error, vehicle)."""
+    first = first_parse(pages, registry)
+    if answers is None:
+        given = first.select("*", F.lit(None).cast("double").alias("ai_confidence"),
+                             F.lit(None).cast(first.schema["generic"].dataType).alias("ai"), F.lit(False).alias("has_ai"))
+    else:
+        # the weak flag is part of the join condition: only those rows look up an answer
+        given = first.join(answered_vehicles(answers), F.col("weak") & (F.col("page_id") == F.col("_page")), "left")
+        given = given.withColumn("has_ai", F.coalesce("_ok", F.lit(False)))
+    return settled(given)
+
+
 def typed_requests(requests: DataFrame) -> DataFrame:
     """Requests with their kind and the reason why none can be served, if so."""
     given = F.col("input_type") if "input_type" in requests.columns else F.lit(None).cast("string")
