@@ -98,10 +98,11 @@ def coverage(found: Column) -> Column:
 def pair_up(previews: DataFrame, answers: DataFrame) -> DataFrame:
     """One row per previewed page with both sides' entries; ``model`` is null where the answer failed or is missing.
 
-    Pages of sites without rules have no mapping side and are left out.
+    Pages of sites without rules have no mapping side, but the preview's error.
     """
-    left = previews.where(F.col("fields").isNotNull()).select(
-        "page_id", entries(F.col("fields")).alias("mapping"),
+    known = F.col("fields").isNotNull()
+    left = previews.select(
+        "page_id", F.when(known, entries(F.col("fields"))).alias("mapping"), F.when(~known, F.array_join("errors", ", ")).alias("mapping_error"),
         F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["success"].alias("success"))).alias("tried"),
         F.col("confidence").alias("mapping_confidence"), F.size("errors").alias("mapping_errors"),
     )
@@ -203,11 +204,13 @@ def page_scores(comparisons: DataFrame) -> DataFrame:
 
 
 def page_results(pairs: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """One row per page with an answer or none: its scores, or why it could not be compared."""
+    """One row per page: its scores, or why it could not be compared (no rules for its site, no answer)."""
     scores = page_scores(comparisons).drop("mapping_confidence", "mapping_errors")
     none = F.array().cast("array<string>")
-    rows = pairs.select("page_id", F.col("model").isNotNull().alias("success"), "model_error").join(scores, "page_id", "left")
+    both = F.col("mapping").isNotNull() & F.col("model").isNotNull()
+    rows = pairs.select("page_id", both.alias("success"), "mapping_error", "model_error").join(scores, "page_id", "left")
     zeros = {c: F.coalesce(c, F.lit(0.0)) for c in ("overall_similarity", "mapping_coverage", "model_coverage")}
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("matches", "fields", "missing", "different")}
-    error = F.when(~F.col("success"), F.concat(F.lit("AI extraction failed: "), F.coalesce("model_error", F.lit("no answer"))))
-    return rows.withColumns(zeros | counts | {"recommendations": F.coalesce("recommendations", none), "error": error}).drop("model_error")
+    lost = F.concat(F.lit("AI extraction failed: "), F.coalesce("model_error", F.lit("no answer")))
+    error = F.when(~F.col("success"), F.coalesce("mapping_error", lost))
+    return rows.withColumns(zeros | counts | {"recommendations": F.coalesce("recommendations", none), "error": error}).drop("mapping_error", "model_error")

@@ -31,6 +31,11 @@ def indexed(spark, sf) -> PageIndex:
 # --- mapping configs -----------------------------------------------------------------------
 
 
+@query("sites_list", f"SELECT DISTINCT site_id FROM ({C.CONFIG_RULES})")
+def sites_list(spark, sf):
+    return schemas.available_sites(C.site_configs(spark, sf))
+
+
 @query("rules_load", f"SELECT site_id, field, cast(ordinal AS int) AS ordinal, CASE kind WHEN 'meta' THEN 'dict' ELSE CASE WHEN field IN ('year', 'model') THEN 'dict' ELSE kind END END AS kind FROM ({C.CONFIG_RULES})")
 def rules_load(spark, sf):
     return rule_rows(C.site_configs(spark, sf)).select("site_id", "field", "ordinal", "kind")
@@ -264,12 +269,12 @@ def field_union(spark, sf):
 _WEIGHT = "CASE field WHEN 'vin' THEN 3.0 WHEN 'price' THEN 2.5 WHEN 'year' THEN 2.0 WHEN 'make' THEN 2.0 WHEN 'model' THEN 2.0 WHEN 'mileage' THEN 1.5 ELSE 1.0 END"
 
 
-@query("overall_similarity", truth(f"""SELECT l.listing_id AS page_id, l.listing_id % 19 <> 0 AS success,
+@query("overall_similarity", truth(f"""SELECT l.listing_id AS page_id, l.listing_id % 19 <> 0 AND l.listing_id % 4 < 3 AS success,
   coalesce(round(cast(x.similarity AS double), 9), 0.0) AS overall_similarity, coalesce(x.matches, 0) AS matches, coalesce(x.fields, 0) AS fields,
-  CASE WHEN l.listing_id % 19 = 0 THEN 'AI extraction failed: Failed to parse AI response as valid JSON' END AS error
+  CASE WHEN l.listing_id % 4 = 3 THEN 'No mapping found for site: unlisted'
+    WHEN l.listing_id % 19 = 0 THEN 'AI extraction failed: Failed to parse AI response as valid JSON' END AS error
   FROM listings l LEFT JOIN (SELECT page_id, sum(similarity * {_WEIGHT}) / sum({_WEIGHT}) AS similarity,
-    count(*) FILTER (WHERE kind = 'match') AS matches, count(*) AS fields FROM k GROUP BY page_id) x ON x.page_id = l.listing_id
-  WHERE l.listing_id % 4 < 3""", **_COMPARE))
+    count(*) FILTER (WHERE kind = 'match') AS matches, count(*) AS fields FROM k GROUP BY page_id) x ON x.page_id = l.listing_id""", **_COMPARE))
 def overall_similarity(spark, sf):
     both = pairs(spark, sf)
     return compare.page_results(both, compare.compare_fields(both)).select(
@@ -521,15 +526,28 @@ def pipeline_vin(spark, sf):
         F.col("parse_result.confidence_score").alias("confidence"), F.get_json_object("final_goal", "$.goal").alias("goal"))
 
 
-@query("case_requests", truth(f"""SELECT listing_id AS request_id, {_P_GOAL} AS goal, 'lotweave' AS created_by
-  FROM p WHERE {_SERVED} AND good""", **_ROUTE_CTES))
+@query("case_requests", truth(f"""SELECT listing_id AS request_id, {_P_GOAL} AS goal, 'lotweave' AS created_by, cast(listing_id AS varchar) AS trace_request,
+    trim(v) AS input_value, {_TRACE_KIND} AS input_type, {C.URL} AS selected_url, 'true' AS fetched, 'true' AS parsed, parser_used, conf AS confidence,
+    cast(CASE WHEN {_TRACE_KIND} = 'vin' THEN 1 ELSE 0 END AS int) AS results
+  FROM (SELECT p.*, q.v FROM p JOIN q ON p.listing_id = q.request_id) WHERE {_SERVED} AND good""", **_ROUTE_CTES, q=_REQUESTS))
 def case_requests(spark, sf):
+    get = lambda path: F.get_json_object("body", path)
+    trace = "$.source_trace."
     return cases.case_requests(traces(spark, sf)).select(
-        "request_id", F.get_json_object("body", "$.goal_data.goal").alias("goal"), F.get_json_object("body", "$.created_by").alias("created_by"))
+        "request_id", get("$.goal_data.goal").alias("goal"), get("$.created_by").alias("created_by"), get(trace + "request_id").alias("trace_request"),
+        F.trim(get(trace + "input_value")).alias("input_value"), get(trace + "input_type").alias("input_type"), get(trace + "selected_url").alias("selected_url"),
+        get(trace + "fetch_success").alias("fetched"), get(trace + "parse_result.success").alias("parsed"),
+        get(trace + "parse_result.parser_used").alias("parser_used"), get(trace + "parse_result.confidence_score").cast("double").alias("confidence"),
+        F.size(F.from_json(get(trace + "search_results"), "array<string>")).alias("results"))
 
 
-@query("trace_output", truth(f"""SELECT listing_id AS request_id, {_TRACE_KIND} AS input_type, NOT ({_SERVED} AND good) AS skipped,
-  CASE WHEN NOT ({_SERVED} AND good) THEN 'No valid goal data extracted from input' END AS error FROM p""", **_ROUTE_CTES))
+@query("trace_output", truth(f"""SELECT listing_id AS request_id, v AS input_value, {_TRACE_KIND} AS input_type, NOT ({_SERVED} AND good) AS skipped,
+  CASE WHEN NOT ({_SERVED} AND good) THEN 'No valid goal data extracted from input' END AS error,
+  CASE WHEN {_SERVED} THEN {C.URL} WHEN listing_id % 8 IN (3, 7) THEN v END AS selected_url, {_SERVED} AS fetched, {_SERVED} AND good AS parsed,
+  CASE WHEN {_SERVED} AND good THEN {_P_GOAL} END AS goal, cast(CASE WHEN {_SERVED} AND {_TRACE_KIND} = 'vin' THEN 1 ELSE 0 END AS int) AS results
+  FROM (SELECT p.*, q.v FROM p JOIN q ON p.listing_id = q.request_id)""", **_ROUTE_CTES, q=_REQUESTS))
 def trace_output(spark, sf):
     return cases.trace_output(traces(spark, sf)).select(
-        "request_id", "input_type", "case_creation.skipped", "case_creation.error")
+        "request_id", "input_value", "input_type", "case_creation.skipped", "case_creation.error", "trace.selected_url",
+        F.col("trace.fetch_success").alias("fetched"), F.col("trace.parse_result.success").alias("parsed"),
+        F.get_json_object("trace.final_goal", "$.goal").alias("goal"), F.size("trace.search_results").alias("results"))
