@@ -102,3 +102,18 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+
+# --- fixed values: patterns of facts in free text, in the order in which they are tried --------------
+VIN_PATTERNS = [
+    rf"(?iU)VIN:?\s*({VIN_CLASS}{{17}})",
+    rf"(?iU)Vehicle\s*ID:?\s*({VIN_CLASS}{{17}})",
+    rf"(?iU)Stock:?\s*({VIN_CLASS}{{17}})",
+    rf"(?iU)\b({VIN_CLASS}{{17}})\b",
+]
+PRICE_PATTERNS = [
+    r"(?U)\$\s*([\d,]+)(?:\.\d{2})?",
+    r"(?iU)Price:?\s*\$?\s*([\d,]+)",
+    r"(?iU)MSRP:?\s*\$?\s*([\d,]+)",
+    r"(?iU)Sale:?\s*\$?\s*([\d,]+)",
+]
+MILEAGE_PATTERNS = [r"(?iU)([\d,]+)\s*miles?", r"(?iU)Mileage:?\s*([\d,]+)", r"(?iU)Miles:?\s*([\d,]+)"]

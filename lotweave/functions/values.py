@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lotweave.constants import VIN_CLASS
+from lotweave.constants import MILEAGE_PATTERNS, PRICE_PATTERNS, VIN_CLASS, VIN_PATTERNS
 from lotweave.operators.selectors import blank_to_null, let, only, strip
 
 
@@ -68,21 +68,7 @@ def any_vin(text: Column) -> Column:
 
 def text_vin(text: Column) -> Column:
     """Labelled VIN first, then a bare 17-character word."""
-    patterns = [
-        rf"(?iU)VIN:?\s*({VIN_CLASS}{{17}})",
-        rf"(?iU)Vehicle\s*ID:?\s*({VIN_CLASS}{{17}})",
-        rf"(?iU)Stock:?\s*({VIN_CLASS}{{17}})",
-        rf"(?iU)\b({VIN_CLASS}{{17}})\b",
-    ]
-    return F.upper(F.coalesce(*[pick(text, p) for p in patterns]))
-
-
-PRICE_PATTERNS = [
-    r"\$(?U)\s*([\d,]+)(?:\.\d{2})?",
-    r"(?iU)Price:?\s*\$?\s*([\d,]+)",
-    r"(?iU)MSRP:?\s*\$?\s*([\d,]+)",
-    r"(?iU)Sale:?\s*\$?\s*([\d,]+)",
-]
+    return F.upper(F.coalesce(*[pick(text, p) for p in VIN_PATTERNS]))
 
 
 def text_prices(text: Column) -> Column:
@@ -93,26 +79,34 @@ def text_prices(text: Column) -> Column:
 
 
 def modal_price(prices: Column) -> Column:
-    """Most frequent price; the earliest wins a tie."""
-
-    def best(all_prices: Column) -> Column:
-        ranked = F.transform(
-            F.array_distinct(all_prices),
-            lambda p, i: F.struct(
-                (F.size(all_prices) - F.size(F.array_remove(all_prices, p))).alias("n"),
-                (-i).alias("at"),
-                p.alias("price"),
-            ),
+    """Most frequent price; the earliest wins a tie.  Equal prices are counted as runs of the sorted list."""
+
+    def best(placed: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(placed) - 1),
+            lambda k: (k == 0) | (F.get(placed, k)["price"] != F.get(placed, k - 1)["price"]),
         )
-        return F.array_max(ranked)["price"]
 
-    return let(prices, best)
+        def counted(begin: Column) -> Column:
+            runs = F.transform(
+                begin,
+                lambda k, j: F.struct(
+                    (F.coalesce(F.get(begin, j + 1), F.size(placed)) - k).alias("n"),
+                    (-F.get(placed, k)["at"]).alias("at"),
+                    F.get(placed, k)["price"].alias("price"),
+                ),
+            )
+            return F.array_max(runs)["price"]
+
+        return F.when(F.size(placed) > 0, let(starts, counted))
+
+    return let(F.array_sort(F.transform(prices, lambda p, i: F.struct(p.alias("price"), i.alias("at")))), best)
 
 
 def text_mileage(text: Column) -> Column:
     """First of three patterns whose first match is within range."""
     tries = []
-    for p in [r"(?iU)([\d,]+)\s*miles?", r"(?iU)Mileage:?\s*([\d,]+)", r"(?iU)Miles:?\s*([\d,]+)"]:
+    for p in MILEAGE_PATTERNS:
         n = to_int(F.replace(pick(text, p), F.lit(","), F.lit("")))
         tries.append(only(n, lambda m: m.between(0, 500_000)))
     return F.coalesce(*tries)

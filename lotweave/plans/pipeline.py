@@ -13,7 +13,7 @@ from lotweave.constants import SITE_CONFIDENCE
 from lotweave.functions import record, web
 from lotweave.operators.dom import with_dom
 from lotweave.operators.lookup import keep_wanted, lookup_join
-from lotweave.plans import model
+from lotweave.plans import model, rollup
 from lotweave.plans.generic import LOW_CONFIDENCE, generic_fields, generic_vehicle
 from lotweave.plans.site import site_vehicle
 from lotweave.session import literal_rows, written
@@ -198,13 +198,4 @@ def process(
 
 def corpus_yield(parsed: DataFrame) -> DataFrame:
     """Pages and mean share of filled fields per domain and parser."""
-    names = ["vin", "year", "make", "model", "price", "mileage", "color", "dealer_name", "dealer_phone"]
-    filled = [F.coalesce(F.col("vehicle")[f].isNotNull(), F.lit(False)).cast("int") for f in names]
-    lists = [F.coalesce(F.size(F.col("vehicle")[f]) > 0, F.lit(False)).cast("int") for f in ("features", "images")]
-    share = sum((filled + lists)[1:], (filled + lists)[0])
-    return parsed.withColumn("_n", share).groupBy("domain", "parser_used").agg(
-        F.count("*").alias("pages"),
-        F.sum("_n").alias("fields_found"),
-        (F.sum("_n") / (F.count("*") * 11)).alias("coverage"),
-        F.count_if("success").alias("successes"),
-    )
+    return rollup.merged_yield(rollup.yield_state(parsed))

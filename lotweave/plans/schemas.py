@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotweave.functions.xpath import valid_xpaths
 from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import selector_ok
-from lotweave.plans import mapping
+from lotweave.plans import mapping, rollup
 from lotweave.sources.pages import fetch_urls
 from lotweave.sources.rules import rule_rows
 
@@ -274,7 +274,4 @@ def test_schemas(tests: DataFrame, pages: DataFrame, rule_sets: DataFrame) -> Da
 
 def success_rates(results: DataFrame) -> DataFrame:
     """Tests, successes and their share per site, failures to fetch counted."""
-    return results.groupBy("site_id").agg(
-        F.count("*").alias("tests"), F.count_if("success").alias("successes"),
-        F.avg(F.col("success").cast("double")).alias("success_rate"),
-    )
+    return rollup.merged_rates(rollup.rate_state(results))
