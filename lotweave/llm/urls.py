@@ -2,7 +2,8 @@
 
 Rules block or allow a host with its subdomains, from a path prefix on; the longest that fits wins.
 URLs that a rule fits are the labelled ones.  The trees learn from their length, depth, digit ratio,
-entropy, parameter counts and the blocked share of their host suffixes, and judge the rest.
+entropy, parameter counts and the blocked share of their host suffixes, and judge the rest.  A training
+URL's shares come from the other half of the labelled URLs, which its own label is not in.
 """
 
 from __future__ import annotations
@@ -90,17 +91,36 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
+def fold_of(url: Column) -> Column:
+    """The half of the labelled URLs that a URL is in."""
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit("")), F.lit(3)), F.lit(2)).cast("int")
+
+
 def suffix_shares(labelled: DataFrame, key: str, share: float) -> DataFrame:
-    """Blocked share of each host suffix among labelled URLs, drawn to the overall share where there are few."""
-    return stored(
-        labelled.groupBy(key).agg(((F.sum("blocked") + PRIOR * share) / (F.count("*") + PRIOR)).alias(f"{key}_share")), f"{key}-shares"
-    )
+    """Blocked share of each host suffix, drawn to the overall share where there are few URLs.
+
+    Column all: among all labelled URLs; half0 and half1: among those of the other half than 0 and 1, so
+    that no URL's own label is in what it is judged by.
+    """
 
+    def rate(rows: Column) -> Column:
+        n, blocked = F.count_if(rows), F.sum(F.when(rows, F.col("blocked")).otherwise(0.0))
+        return (blocked + PRIOR * share) / (n + PRIOR)
 
-def _with_shares(rows: DataFrame, shares: dict[str, DataFrame], share: float) -> DataFrame:
-    """Suffix statistics beside each URL: broadcast by their size, or else joined by AQE's skew-proof shuffle."""
-    for key, of in shares.items():
-        rows = rows.join(of, key, "left").withColumn(f"{key}_share", F.coalesce(f"{key}_share", F.lit(share)))
+    fold = fold_of(F.col("url"))
+    shares = [rate(F.lit(True)).alias("all"), rate(fold == 1).alias("half0"), rate(fold == 0).alias("half1")]
+    return stored(labelled.groupBy(key).agg(*shares), f"{key}-shares")
+
+
+def _with_shares(rows: DataFrame, shares: dict[str, DataFrame], share: float, of: Column) -> DataFrame:
+    """Suffix statistics beside each URL: broadcast by their size, or else joined by AQE's skew-proof shuffle.
+
+    `of` says which of their columns a URL gets: all, half0 or half1.
+    """
+    for key, table_ in shares.items():
+        rows = rows.join(table_, key, "left")
+        picked = F.when(of == "half0", F.col("half0")).when(of == "half1", F.col("half1")).otherwise(F.col("all"))
+        rows = rows.withColumn(f"{key}_share", F.coalesce(picked, F.lit(share))).drop("all", "half0", "half1")
     return rows
 
 
@@ -127,8 +147,9 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     shares = {key: suffix_shares(labelled, key, share) for key in ("suffix", "domain")}
     features = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     chosen = labelled.filter(uniform("urls", F.col("page_id"), F.col("url")) < training / n)
-    model = boosted(features.transform(_with_shares(chosen, shares, share)).select("features", F.col("blocked").alias("label")))
-    judged = model.transform(features.transform(_with_shares(rows, shares, share)))
+    half = F.concat(F.lit("half"), fold_of(F.col("url")).cast("string"))
+    model = boosted(features.transform(_with_shares(chosen, shares, share, half)).select("features", F.col("blocked").alias("label")))
+    judged = model.transform(features.transform(_with_shares(rows, shares, share, F.lit("all"))))
     p = vector_to_array("probability")[1]
     free = F.col("fit").isNull()
     verdict = F.when(free, F.when(p > 0.5, "block").otherwise("allow")).otherwise(F.col("fit.verdict")).alias("verdict")
