@@ -284,6 +284,33 @@ def preview(ruled: DataFrame) -> DataFrame:
     )
 
 
+def extracted_data(fields: Column) -> Column:
+    """What was found, as a JSON document: numbers, texts, lists, and dotted fields under their head."""
+    hits = F.filter(fields, lambda f: f["success"])
+
+    def value(f: Column) -> Column:
+        one = F.when(f["number"].isNotNull(), f["number"].cast("variant")).otherwise(f["value"].cast("variant"))
+        return F.when(f["is_list"], F.to_variant_object(f["values"])).otherwise(one)
+
+    flat = F.filter(hits, lambda f: ~F.contains(f["field"], F.lit(".")))
+    plain = F.map_from_entries(F.transform(flat, lambda f: F.struct(f["field"], value(f))))
+    heads = F.transform_values(nested(fields), lambda _, inner: F.to_variant_object(inner))
+    return F.to_json(F.map_concat(F.map_filter(plain, lambda k, _: ~F.array_contains(F.map_keys(heads), k)), heads))
+
+
+def preview_documents(previews: DataFrame) -> DataFrame:
+    """Per page: what a preview found as a document, and the goal document it makes, if it makes one.
+
+    A field of the wrong shape voids the goal, as it voids the record; a page of a site without rules
+    has an empty document.
+    """
+    built = previews.select("page_id", "site_id", "success", "fields", to_vehicle().alias("r"))
+    return built.select(
+        "page_id", "site_id", "success", F.coalesce(extracted_data(F.col("fields")), F.lit("{}")).alias("extracted_data"),
+        F.when(F.col("r.record_valid"), record.goal_json(F.col("r.vehicle"))).alias("goal"),
+    )
+
+
 def preview_rows(previews: DataFrame) -> DataFrame:
     return previews.select("page_id", "site_id", F.explode("fields").alias("f")).select(
         "page_id", "site_id", "f.field", "f.success", "f.value", "f.values",

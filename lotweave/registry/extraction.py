@@ -12,6 +12,7 @@ from lotweave.registry import corpus as C
 from lotweave.registry.base import query, truth
 from lotweave.registry.scalars import goal_sql
 from lotweave.sources.rules import built_in_configs, rule_rows, rule_sets
+from lotweave.sources.site_rules import SITE_RULES
 
 _OK = "year <= 2030"
 _TITLE = "year || ' ' || make || ' ' || model"
@@ -298,10 +299,30 @@ def merge_override(spark, sf):
     return merged.select("page_id", F.explode(picked).alias("p")).select("page_id", "p.*").where("value IS NOT NULL")
 
 
-@query("preview_fields", truth("SELECT page_id, site_id, field, value, value_int FROM f", f=PREVIEW_SQL))
+_RULED = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{site}', '{field}', '{'XPath' if rule.startswith('/') else 'selector'}')"
+    for site, rules in SITE_RULES.items() for field, rule in rules.items() if isinstance(rule, str)
+) + ") AS t(site_id, field, kind)"
+
+
+@query("preview_fields", truth("""SELECT p.page_id, p.site_id, r.field, f.field IS NOT NULL AS success, f.value, f.value_int,
+  CASE WHEN f.field IS NULL THEN 'No elements found with ' || r.kind END AS error
+  FROM pages_ p JOIN r ON p.site_id = r.site_id LEFT JOIN f ON f.page_id = p.page_id AND f.field = r.field""", f=PREVIEW_SQL, pages_=_PAGES, r=_RULED))
 def preview_fields(spark, sf):
-    return mapping.preview_rows(mapping.preview(ruled(spark, sf))).where("success").select(
-        "page_id", "site_id", "field", "value", "value_int")
+    return mapping.preview_rows(mapping.preview(ruled(spark, sf))).select(
+        "page_id", "site_id", "field", "success", "value", "value_int", "error")
+
+
+@query("preview_documents", truth("""SELECT p.page_id, p.site_id, coalesce(n, 0) > 0 AS success, coalesce(n, 0) AS found, vin, make, year, price, dealer, cast(NULL AS varchar) AS goal
+  FROM (SELECT page_id, site_id FROM pages_) p LEFT JOIN (SELECT page_id, count(DISTINCT split_part(field, '.', 1)) AS n, max(CASE WHEN field = 'vin' THEN value END) AS vin,
+    max(CASE WHEN field = 'make' THEN value END) AS make, max(CASE WHEN field = 'year' THEN value_int END) AS year, max(CASE WHEN field = 'price' THEN value_int END) AS price,
+    max(CASE WHEN field = 'dealer.name' THEN value END) AS dealer FROM f GROUP BY page_id) c ON c.page_id = p.page_id""", f=PREVIEW_SQL, pages_=_PAGES))
+def preview_documents(spark, sf):
+    # a single feature is no list, so these sites' previews make no goal
+    get = lambda path: F.get_json_object("extracted_data", path)
+    return mapping.preview_documents(mapping.preview(ruled(spark, sf))).select(
+        "page_id", "site_id", "success", F.size(F.json_object_keys("extracted_data")).cast("long").alias("found"), get("$.vin").alias("vin"), get("$.make").alias("make"),
+        get("$.year").cast("int").alias("year"), get("$.price").cast("int").alias("price"), get("$.dealer.name").alias("dealer"), "goal")
 
 
 _PREVIEW = """SELECT p.page_id, p.site_id, cast(n AS int) AS successful_fields,

@@ -220,3 +220,14 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert len(got) == 2
     want = intake.goals(df.where("page_id = 3").drop("fetched_at"), registry).head().goal
     assert {r.goal for r in got if r.url == "https://x.com/2"} == {want}
+
+
+def test_preview_documents(spark, pages):
+    config = {"goal": "Buy", "vin": ".v", "price": ".p", "features": "//li/text()", "dealer.name": ".d", "dealer.phone": ".t", "make": ".m", "trim": ".none"}
+    html = f"<b class='v'>{VIN}</b><i class='p'>$9,500</i><ul><li>a</li><li>b</li></ul><b class='d'>Al</b><b class='t'>555</b><b class='m'>Kia</b>"
+    rows = mapping.preview_documents(mapping.preview(ruled(spark, pages, config, html, html.replace("<li>b</li>", ""), "<p></p>"))).orderBy("page_id").collect()
+    assert json.loads(rows[0].extracted_data) == {
+        "goal": "Buy", "vin": VIN, "price": 9500, "features": ["a", "b"], "dealer": {"name": "Al", "phone": "555"}, "make": "Kia"}
+    assert json.loads(rows[0].goal)["dealer"] == {"name": "Al", "phone": "555"} and json.loads(rows[0].goal)["price"] == 9500
+    assert rows[1].goal is None and json.loads(rows[1].extracted_data)["features"] == "a"  # one string is no list: the goal is void
+    assert json.loads(rows[2].extracted_data) == {"goal": "Buy"}
