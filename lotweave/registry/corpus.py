@@ -115,32 +115,83 @@ _LAYOUT_D = f"""concat({_HEAD}, '<nav>', {_tag('a href="/"', "'All our offers'")
   {_tag('p', f"concat({_MILES}, ' miles')")}, '<ul>', {_FEATURES}, '</ul>', {_IMAGES}, {_TAIL})"""
 
 
-def _pieces_sql() -> str:
-    """SQL for the visible text pieces of a listing's page, in order; null for pieces that it has not."""
-    title = "year || ' ' || make || ' ' || model"
-    cost, miles = "'$' || format('{:,}', price)", "format('{:,}', mileage)"
-    features = ["'Keyless Entry'", "'Heated Seats'", "'Rear Camera'"]
-    tail = [*features, "accident_text", "CASE WHEN is_error_page THEN '404 Not Found' END"]
-    marked = ["CASE WHEN vin IS NOT NULL THEN 'VIN:' END", "vin", "CASE WHEN price IS NOT NULL THEN 'Price:' END", cost]
-    facts = ["cast(year AS varchar)", "make", "model"]
-    extras = ["CASE WHEN listing_id % 8 = 0 THEN 'noted' END"] * len(_EXTRAS)
-    plain = "cast(mileage AS varchar)"
-    a = [title, title, *facts, plain, "color", cost, "'Exterior color:'", "color", "'Body style:'", "body_style", f"{miles} || ' mi.'",
-         "dealer_name", "dealer_phone", "(listing_id % 100) || ' Main St, Springfield, TX'", "vin", *features, *extras, *tail[3:]]
-    b = [title, title, *facts, "dealer_name", "dealer_phone", *marked, f"CASE WHEN listing_id % 8 = 1 THEN {plain} ELSE {miles} || ' miles' END",
-         "CASE WHEN listing_id % 8 = 1 THEN 'miles' END", *tail]
-    c = [title, title, *facts, "color", "dealer_name", "dealer_phone", *marked, plain, "'miles'", *tail]
-    d = [title, "CASE WHEN {nav} THEN 'All our offers' END", title, "dealer_name", "'Call ' || dealer_phone", "'VIN: ' || vin", f"'Price: ' || {cost}", f"{miles} || ' miles'", *tail]
-    return "CASE listing_id % 4 " + " ".join(f"WHEN {k} THEN [{', '.join(x)}]" for k, x in enumerate((a, b, c, d))) + " END"
+_COST_SQL, _MILES_SQL, _TITLE_SQL = "'$' || format('{:,}', price)", "format('{:,}', mileage)", "year || ' ' || make || ' ' || model"
+_LIST = ["'Keyless Entry'", "'Heated Seats'", "'Rear Camera'"]
+_BODY = "[document] > html > body > "
+
 
+def _layouts() -> tuple[list[list[tuple[str, str]]], list[list[tuple[str, str]]]]:
+    """What is on each layout's page, in order, as SQL over a listing; null is not there.
 
-_PIECES = _pieces_sql()
+    Strings as (text, selector of their element), and elements with a class as (class, text).
+    """
+    title = (_TITLE_SQL, "[document] > html > head > title")
+    facts = ["cast(year AS varchar)", "make", "model"]
+    plain, phone, address = "cast(mileage AS varchar)", "dealer_phone", "(listing_id % 100) || ' Main St, Springfield, TX'"
+    error = "CASE WHEN is_error_page THEN '404 Not Found' END"
+    tail = [("accident_text", ".history"), (error, ".note")]
+    late = [("history", "accident_text"), ("note", error)]
+    joined = " || ".join(_LIST)
+    extras = [(c, "CASE WHEN listing_id % 8 = 0 THEN 'noted' END") for c in _EXTRAS]
+    labels = ["CASE WHEN vin IS NOT NULL THEN 'VIN:' END", "CASE WHEN price IS NOT NULL THEN 'Price:' END"]
+    b_miles = f"CASE WHEN listing_id % 8 = 1 THEN {plain} ELSE {_MILES_SQL} || ' miles' END"
+
+    def items(above: str) -> list[tuple[str, str]]:
+        return [(text, f"{above} > li") for text in _LIST]
+
+    a_facts = [*zip(("year", "make", "model", "mileage", "color"), (*facts, plain, "color"))]
+    named = [*zip(("year", "make", "model"), facts)]
+    details = "body > div.vehicle-details > dl > "
+    strings = [
+        [title, (_TITLE_SQL, ".listing-title"), *[(x, f".vehicle-info__{n}") for n, x in a_facts], (_COST_SQL, ".primary-price"),
+         ("'Exterior color:'", details + "dt"), ("color", details + "dd"), ("'Body style:'", details + "dt"), ("body_style", details + "dd"),
+         (f"{_MILES_SQL} || ' mi.'", _BODY + "p"), ("dealer_name", ".dealer-name"), (phone, ".dealer-phone"), (address, ".dealer-address"),
+         ("vin", _BODY + "span"), *items("html > body > ul.vehicle-features"), *[(x, f".{c}") for c, x in extras], *tail],
+        [title, (_TITLE_SQL, _BODY + "h1"), *[(x, f".vehicle-{n}") for n, x in named], ("dealer_name", "html > body > div.dealer-info > h3"),
+         (phone, "html > body > div.dealer-phone > a"), (labels[0], _BODY + "p"), ("vin", "html > body > p > span"),
+         (labels[1], "html > body > div.price-display > b"), (_COST_SQL, "html > body > div.price-display > span"),
+         (b_miles, ".mileage-value"), ("CASE WHEN listing_id % 8 = 1 THEN 'miles' END", _BODY + "span"), *items("html > body > ul.features-list"), *tail],
+        [title, (_TITLE_SQL, _BODY + "h1"), *[(x, f".vehicle-{n}") for n, x in named], ("color", ".color"), ("dealer_name", ".dealer-name"),
+         (phone, ".dealer-phone"), (labels[0], _BODY + "p"), ("vin", ".vin"), (labels[1], _BODY + "p"), (_COST_SQL, ".price"), (plain, ".mileage"),
+         ("'miles'", _BODY + "span"), *items("body > div.features > ul"), *tail],
+        [title, ("'All our offers'", "html > body > nav > a"), (_TITLE_SQL, _BODY + "h1"), ("dealer_name", ".dealer"), (f"'Call ' || {phone}", _BODY + "p"),
+         ("'VIN: ' || vin", _BODY + "p"), (f"'Price: ' || {_COST_SQL}", _BODY + "p"), (f"{_MILES_SQL} || ' miles'", _BODY + "p"), *items("html > body > ul"), *tail],
+    ]
+    marks = [
+        [("listing-title", _TITLE_SQL), ("vehicle-info", " || ".join(x for _, x in a_facts)), *[(f"vehicle-info__{n}", x) for n, x in a_facts],
+         ("price-section", _COST_SQL), ("primary-price", _COST_SQL), ("vehicle-details", "'Exterior color:' || color || 'Body style:' || body_style"),
+         ("dealer-name", "dealer_name"), ("dealer-phone", phone), ("dealer-address", address), ("vehicle-features", joined), ("vehicle-photos", "''"), *extras, *late],
+        [("facts", " || ".join(facts)), *[(f"vehicle-{n}", x) for n, x in named], ("dealer-info", "dealer_name"), ("dealer-phone", phone),
+         ("price-display", f"'Price:' || {_COST_SQL}"), ("mileage-value", b_miles), ("features-list", joined), ("photo-gallery", "''"), *late],
+        [("facts", " || ".join([*facts, "color"])), *[(f"vehicle-{n}", x) for n, x in named], ("color", "color"), ("dealer-name", "dealer_name"),
+         ("dealer-phone", phone), ("vin", "vin"), ("price", _COST_SQL), ("mileage", plain), ("features", joined), ("vehicle-photos", "''"), *late],
+        [("dealer", "dealer_name"), *late],
+    ]
+    return strings, marks
+
+
+_STRINGS, _MARKS = _layouts()
+
+
+def _by_layout(rows: list[list[str]]) -> str:
+    return "CASE listing_id % 4 " + " ".join(f"WHEN {k} THEN [{', '.join(x)}]" for k, x in enumerate(rows)) + " END"
+
+
+def _rows_sql(rows: list[list[str]], *names: str) -> str:
+    picked = ", ".join(f"x.{n} AS {n}" for n in names)
+    listed = f"SELECT listing_id, {_by_layout(rows)} AS s FROM listings"
+    return f"SELECT listing_id AS page_id, pos, {picked} FROM (SELECT listing_id, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM ({listed})) WHERE x.text IS NOT NULL"
+
+
+#: Strings and marks of every page as rows (page_id, pos, text, selector) and (page_id, pos, cls, text).
+STRINGS_SQL = _rows_sql([[f"{{'text': {t}, 'selector': '{at}'}}" for t, at in rows] for rows in _STRINGS], "text", "selector")
+MARKS_SQL = _rows_sql([[f"{{'cls': '{c}', 'text': {t}}}" for c, t in rows] for rows in _MARKS], "cls", "text")
 
 
 def lines_sql(keep: str, nav: bool) -> str:
-    """SQL for a page's lines: the pieces `x` that `keep` keeps, with or without those of its navigation."""
-    pieces = _PIECES.replace("{nav}", str(nav).lower())
-    return f"array_to_string(list_filter({pieces}, lambda x: x IS NOT NULL AND ({keep})), chr(10))"
+    """SQL for a page's lines: the strings `x` that `keep` keeps, with or without those of its navigation."""
+    shown = [[text for text, at in rows if nav or " nav " not in at] for rows in _STRINGS]
+    return f"array_to_string(list_filter({_by_layout(shown)}, lambda x: x IS NOT NULL AND ({keep})), chr(10))"
 
 
 def listing_pages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

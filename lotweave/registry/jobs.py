@@ -308,63 +308,84 @@ def recommendations(spark, sf):
 # --- suggestions ---------------------------------------------------------------------------
 
 
-@query("suggest_pattern", truth("""SELECT listing_id AS page_id, CASE listing_id % 4 WHEN 0 THEN '[document] > html > body > span'
-    WHEN 1 THEN 'html > body > p > span' WHEN 2 THEN '.vin' ELSE '[document] > html > body > p' END AS selector,
-  CASE WHEN listing_id % 4 = 3 THEN 'VIN: ' ELSE '' END || vin AS value FROM listings WHERE vin IS NOT NULL"""))
+def _quoted(text) -> str:
+    return "'" + str(text).replace("'", "''") + "'"
+
+
+_DICTIONARY = "SELECT * FROM (VALUES " + ", ".join(
+    f"({_quoted(d[0])}, {i}, {_quoted(w)})" for d in FIELD_DICTIONARY for i, w in enumerate(d[4])) + ") AS t(field, place, word)"
+_PATTERNS = "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(d[0])}, {_quoted(d[3])})" for d in FIELD_DICTIONARY if d[3]) + ") AS t(field, pattern)"
+_GIVEN = """SELECT page_id, unnest(['vin', 'year', 'make', 'model', 'price', 'mileage', 'color', 'dealer_name', 'features']) AS field,
+  unnest([vin, cast(year AS varchar), make, model, cast(price AS varchar), cast(mileage AS varchar), color, dealer_name, '[''Keyless Entry'', ''Heated Seats'']']) AS value FROM ans WHERE ok"""
+_BY_PATTERN = """SELECT s.page_id, 1 AS strategy, s.pos AS seq, p.field, s.selector, cast(0.8 AS double) AS confidence, s.text AS value,
+  'Pattern match for ' || p.pattern AS reasoning, s.text AS shown FROM strings s JOIN patterns p ON regexp_matches(s.text, p.pattern, 'i')"""
+_BY_MODEL = """SELECT s.page_id, 2 AS strategy, s.pos AS seq, g.field, s.selector, cast(0.9 AS double) AS confidence, g.value,
+  'AI identified this value: ' || g.value AS reasoning, s.text AS shown FROM strings s JOIN given g ON g.page_id = s.page_id AND contains(lower(s.text), lower(g.value))"""
+_BY_KEYWORD = """SELECT m.page_id, 3 AS strategy, d.place * 1000 + m.pos AS seq, d.field, '.' || m.cls AS selector, cast(0.6 AS double) AS confidence,
+  nullif(m.text, '') AS value, 'Keyword ''' || d.word || ''' found in class name' AS reasoning, m.text AS shown FROM marks m JOIN dictionary d ON contains(m.cls, d.word)"""
+# a path counts its elements; paths from the document itself find none
+_CHECKED = """SELECT *, CASE WHEN selector LIKE '[document]%' THEN 0 WHEN selector LIKE '% > li' THEN 3 WHEN selector LIKE '% > dt' OR selector LIKE '% > dd' THEN 2 ELSE 1 END AS n
+  FROM (SELECT * FROM by_pattern UNION ALL SELECT * FROM by_model UNION ALL SELECT * FROM by_keyword)
+  QUALIFY row_number() OVER (PARTITION BY page_id, field, selector ORDER BY strategy, seq) = 1"""
+_RANKED = """SELECT c.page_id, field, selector, confidence, value, reasoning,
+  cast(row_number() OVER (PARTITION BY c.page_id, field ORDER BY confidence DESC, strategy, seq) AS int) AS rank, n > 0 AS hit, cast(n AS int) AS matches,
+  CASE WHEN n = 0 THEN NULL WHEN n = 3 THEN 'Keyless Entry' WHEN selector LIKE '% > dt' THEN 'Exterior color:' WHEN selector LIKE '% > dd' THEN l.color ELSE shown END AS extracted
+  FROM checked c JOIN listings l ON l.listing_id = c.page_id"""
+_SUGGEST = dict(strings=C.STRINGS_SQL, marks=C.MARKS_SQL, dictionary=_DICTIONARY, patterns=_PATTERNS, ans=_ANSWER, given=_GIVEN,
+                by_pattern=_BY_PATTERN, by_model=_BY_MODEL, by_keyword=_BY_KEYWORD, checked=_CHECKED, ranked=_RANKED)
+
+
+@query("suggest_pattern", truth("SELECT page_id, field, selector, value, confidence, reasoning FROM by_pattern", **_SUGGEST))
 def suggest_pattern(spark, sf):
-    name, _, _, pattern, _ = FIELD_DICTIONARY[0]
-    rows = with_dom(C.listing_pages(spark, sf)).select("page_id", F.explode(suggest.by_pattern(name, pattern)).alias("c"))
-    return rows.select("page_id", "c.selector", "c.value")
+    found = F.concat(*[suggest.by_pattern(d[0], d[3]) for d in FIELD_DICTIONARY if d[3]])
+    rows = with_dom(C.listing_pages(spark, sf)).select("page_id", F.explode(found).alias("c"))
+    return rows.select("page_id", "c.field", "c.selector", "c.value", "c.confidence", "c.reasoning")
 
 
-@query("suggest_keyword", truth("""SELECT listing_id AS page_id, CASE listing_id % 4 WHEN 0 THEN '.primary-price' WHEN 1 THEN '.price-display' ELSE '.price' END AS selector,
-    CASE WHEN listing_id % 4 = 1 THEN 'Price:' ELSE '' END || '$' || format('{:,}', price) AS value FROM listings WHERE price IS NOT NULL AND listing_id % 4 < 3
-  UNION ALL SELECT listing_id, '.price-section', '$' || format('{:,}', price) FROM listings WHERE price IS NOT NULL AND listing_id % 4 = 0"""))
+@query("suggest_keyword", truth("SELECT page_id, field, selector, value, confidence, reasoning FROM by_keyword", **_SUGGEST))
 def suggest_keyword(spark, sf):
-    rows = with_dom(C.listing_pages(spark, sf)).select("page_id", F.explode(suggest.by_keyword([("price", ["price", "cost", "msrp", "asking"])])).alias("c"))
-    return rows.select("page_id", "c.selector", "c.value")
+    found = suggest.by_keyword([(d[0], d[4]) for d in FIELD_DICTIONARY])
+    rows = with_dom(C.listing_pages(spark, sf)).select("page_id", F.explode(found).alias("c"))
+    return rows.select("page_id", "c.field", "c.selector", "c.value", "c.confidence", "c.reasoning")
 
 
-@query("suggest_model", truth("""SELECT listing_id AS page_id, 'dealer_name' AS field, CASE listing_id % 4 WHEN 0 THEN '.dealer-name'
-    WHEN 1 THEN 'html > body > div.dealer-info > h3' WHEN 2 THEN '.dealer-name' ELSE '.dealer' END AS selector, dealer_name AS value
-  FROM listings WHERE listing_id % 19 <> 0 AND listing_id % 7 <> 0"""))
+@query("suggest_model", truth("SELECT page_id, field, selector, value FROM by_model", **_SUGGEST))
 def suggest_model(spark, sf):
     rows = suggest.candidate_rows(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf)))
-    return rows.where("strategy = 2 AND field = 'dealer_name'").select("page_id", "field", "selector", "value")
+    return rows.where("strategy = 2").select("page_id", "field", "selector", "value")
 
 
 def ranked(spark, sf, check=False):
     return suggest.rank(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf), check=check))
 
 
-@query("suggest_rank", truth("""SELECT listing_id AS page_id, 'vin' AS field, cast(1 AS int) AS rank, CASE listing_id % 4 WHEN 0 THEN '[document] > html > body > span'
-    WHEN 1 THEN 'html > body > p > span' WHEN 2 THEN '.vin' ELSE '[document] > html > body > p' END AS selector, cast(0.8 AS double) AS confidence FROM listings WHERE vin IS NOT NULL
-  UNION ALL SELECT listing_id, 'color', cast(CASE WHEN listing_id % 19 <> 0 THEN 4 ELSE 1 END AS int), '.color',
-    cast(CASE WHEN listing_id % 19 <> 0 THEN 0.9 ELSE 0.6 END AS double) FROM listings WHERE listing_id % 4 = 2"""))
+@query("suggest_rank", truth("SELECT page_id, field, rank, selector, confidence FROM ranked", **_SUGGEST))
 def suggest_rank(spark, sf):
-    return suggest.ranked_rows(ranked(spark, sf)).where("(field = 'vin' AND confidence = 0.8) OR (field = 'color' AND selector = '.color')").select(
-        "page_id", "field", "rank", "selector", "confidence")
+    return suggest.ranked_rows(ranked(spark, sf)).select("page_id", "field", "rank", "selector", "confidence")
 
 
-@query("suggest_all")
+@query("suggest_all", truth("SELECT *, rank <= 3 AS within_limit FROM ranked", **_SUGGEST))
 def suggest_all(spark, sf):
     return suggest.ranked_rows(ranked(spark, sf, check=True))
 
 
-@query("suggest_coverage")
-def suggest_coverage(spark, sf):
-    return suggest.suggest_coverage(ranked(spark, sf))
+@query("suggest_validate", truth("SELECT page_id, field, rank, selector, hit, extracted AS value FROM ranked", **_SUGGEST))
+def suggest_validate(spark, sf):
+    rows = suggest.ranked_rows(ranked(spark, sf, check=True))
+    return rows.select("page_id", "field", "rank", "selector", "hit", F.col("extracted").alias("value"))
 
 
-@query("suggest_validate", truth("""SELECT listing_id AS page_id, host <> 'carfax.com' AND host NOT LIKE 'dealer%' AS hit,
-  CASE WHEN host = 'www.cars.com' OR host = 'm.cars.com' THEN dealer_name END AS value FROM listings"""))
-def suggest_validate(spark, sf):
-    dom = with_dom(C.listing_pages(spark, sf)).withColumn("wanted", F.array(F.lit(".dealer-name")))
-    seen = suggest.with_tested(dom, "wanted").select("page_id", F.element_at("tested", ".dealer-name").alias("t"))
-    return seen.select("page_id", (F.col("t.matches") > 0).alias("hit"), F.col("t.text").alias("value"))
+@query("suggest_coverage", truth("""SELECT l.listing_id AS page_id, count(DISTINCT field) / cast(13 AS double) AS coverage, count(field) AS suggestions
+  FROM listings l LEFT JOIN ranked r ON r.page_id = l.listing_id GROUP BY 1""", **_SUGGEST))
+def suggest_coverage(spark, sf):
+    return suggest.suggest_coverage(ranked(spark, sf))
 
 
-@query("improvements")
+@query("improvements", truth("""SELECT r.page_id, r.field, rank, coalesce(w.suggestion, 'Field needs improvement') AS current_issue, selector AS suggested_selector,
+  'css' AS selector_type, confidence, reasoning, value AS extracted_preview
+  FROM ranked r JOIN (SELECT page_id, field, CASE kind WHEN 'missing' THEN 'Consider adding mapping for ''' || field || ''': ' || av
+    ELSE 'Values differ - Mapping: ''' || mv || ''' vs AI: ''' || av || '''' END AS suggestion FROM k WHERE kind IN ('missing', 'different') AND similarity < 0.7) w
+  ON w.page_id = r.page_id AND w.field = r.field""", **_COMPARE, **{n: x for n, x in _SUGGEST.items() if n != "ans"}))
 def improvements(spark, sf):
     return suggest.improvements(suggest.ranked_rows(ranked(spark, sf)), comparisons(spark, sf))
 
