@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import (
-    Step, compile_steps, element_text, match, node_selector, rule_kind, select, selector_ok, terminal,
-    text_of, xpath_values,
+    Step, compile_steps, element_text, node_selector, rule_kind, select, selector_ok, terminal, text_of,
 )
+from lotweave.operators.sweep import found_values, sweep
 
 HTML = """<html><body><div class="a x"><p id="one">1<span data-q="v w">2</span></p><div class="b"><p>3</p></div></div>
 <div class="b"><span class="price big">$4</span><a href="/l">5</a></div></body></html>"""
@@ -18,10 +18,11 @@ def dom(pages):
 
 def found(dom, rule):
     kind = rule_kind(F.lit(rule))
-    spans = match(compile_steps(F.lit(rule), kind))
-    texts = F.transform(spans, lambda s: element_text(F.get("nodes", s.id - 1)))
-    value = F.when(kind == "xpath", xpath_values(spans, terminal(F.lit(rule), kind))).otherwise(texts)
-    return dom.select(value.alias("v")).head().v
+    end = terminal(F.lit(rule), kind)
+    swept = dom.withColumn("hit", F.get(sweep(F.array(compile_steps(F.lit(rule), kind)), F.array(end)), F.lit(0)))
+    texts = F.transform(F.col("hit.spans"), lambda s: element_text(F.get("nodes", s.id - 1)))
+    value = F.when(kind == "xpath", found_values(F.col("hit"), end)).otherwise(texts)
+    return swept.select(value.alias("v")).head().v
 
 
 @pytest.mark.parametrize("rule, want", [
