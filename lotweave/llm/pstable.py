@@ -196,7 +196,7 @@ def _buckets(classes: DataFrame, asks: DataFrame, dim: int, top: float, tables:
     blocks = stored(blocks, "bucket-blocks")
     meetings = blocks.agg(F.coalesce(F.sum(F.col("asked") * F.col("blocks")), F.lit(0))).first()[0]
     parts = _parts(classes)
-    cells = parts * max(1, -(-meetings // (queries_held * parts)))
+    cells = _cells(asks.count(), meetings, parts, queries_held)
     cell = F.pmod(F.xxhash64("bucket", "slice", "query_slice"), F.lit(cells)).cast("int")
 
     def own(limit: str, seed: int) -> Column:
@@ -216,6 +216,16 @@ def _buckets(classes: DataFrame, asks: DataFrame, dim: int, top: float, tables:
     return held, wanted, parts
 
 
+def _cells(queries: int, meetings: int, parts: int, held: int) -> int:
+    """Cells of which one gets about `held` of the queries at most, if each goes to as many as it has meetings.
+
+    A query is missing from a cell with probability exp(-its meetings / cells).
+    """
+    if queries <= held or not meetings:
+        return parts
+    return max(parts, int(-meetings / queries / np.log(1 - held / queries)) + 1)
+
+
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
