@@ -132,7 +132,8 @@ def judged_answer() -> Column:
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Per answer: cleaned fields, success, confidence and error."""
     keep = [c for c in answers.columns if c != "response"]
-    judged = answers.select(*keep, judged_answer().alias("r")).select(
+    # a generated column: a filter on what was parsed stays above it, and no projection parses again
+    judged = answers.select(*keep, F.explode(F.array(judged_answer())).alias("r")).select(
         *keep, "r.fields", F.coalesce("r.field_count", F.lit(0)).alias("field_count"), "r.confidence"
     )
     ok = F.col("fields").isNotNull()
