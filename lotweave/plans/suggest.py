@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lotweave.constants import FIELD_DICTIONARY
 from lotweave.operators.dom import with_dom
 from lotweave.operators.lookup import keep_wanted
-from lotweave.operators.selectors import compile_steps, element_text, literal, node_selector, only, strip
+from lotweave.operators.selectors import compile_steps, element_text, let, literal, node_selector, only, strip
 from lotweave.operators.sweep import sweep
 from lotweave.plans.compare import entries
 from lotweave.plans.model import as_results
@@ -91,40 +91,47 @@ def by_keyword(fields: list[tuple[str, list[str]]], limit: int | None = None) ->
 
     Marks (lower-cased classes, id and data attributes) are taken once per element that has any, and one
     pattern over all keywords reads each mark once.  A data attribute counts for what follows ``data``.
+    An element's selector and text are made once, and only where a mark names a keyword.
     """
     entries_ = [(w, field, at) for field, words in fields for at, w in enumerate(words)]
     every = sorted({w for w, _, _ in entries_})
     # at each place the longest keyword is read; keywords that it starts with stand there too
     pattern = literal(f"(?=({trie_pattern(every)}))")
     listed = ", ".join(f"named_struct('word', '{w}', 'field', '{f}', 'at', {at})" for w, f, at in entries_)
+    named = ", ".join(f"'{w}', array({', '.join(str(k) for k, e in enumerate(entries_) if w.startswith(e[0]))})" for w in every)
+    kinds = (("class name", 0.6, "cls"), ("ID", 0.7, "name"), ("data attribute", 0.8, "data"))
     marks = """filter(transform(nodes, n -> named_struct('id', n.id, 't0', n.t0, 't1', n.t1,
       'cls', lower(array_join(n.classes, ' ')), 'name', coalesce(lower(n.attrs['id']), ''),
       'data', array_join(transform(filter(transform(map_keys(n.attrs), k -> lower(k)), k -> contains(k, 'data')),
         k -> substr(k, locate('data', k) + 4)), ' '))),
       m -> m.cls <> '' OR m.name <> '' OR m.data <> '')"""
-    kinds = (("class name", 0.6, "cls"), ("ID", 0.7, "name"), ("data attribute", 0.8, "data"))
+    # places in the dictionary, in its order, of the keywords that each kind of mark names
     read = ", ".join(
-        f"transform(filter(dictionary, d -> exists(regexp_extract_all(m.{col}, {pattern}, 1), w -> startswith(w, d.word))), d -> named_struct("
-        f"'field', d.field, 'seq', i + (d.at * 3 + {j}) * 4294967296L, 'id', m.id, 't0', m.t0, 't1', m.t1, 'by_id', {str(kind == 'ID').lower()}, "
-        f"'confidence', double({score}), 'why', concat(\"Keyword '\", d.word, \"' found in {kind}\")))"
-        for j, (kind, score, col) in enumerate(kinds)
+        f"'{col}', array_sort(array_distinct(flatten(transform(regexp_extract_all(m.{col}, {pattern}, 1), w -> map({named})[w]))))" for _, _, col in kinds
     )
-    hits = f"flatten(transform(marks, (m, i) -> concat({read})))"
-    if limit is not None:  # the first of each field, keyword and kind: places rise with the elements
-        same = "g.field = h.field AND g.seq < h.seq AND shiftright(g.seq, 32) = shiftright(h.seq, 32)"
-        hits = f"get(transform(array({hits}), a -> filter(a, h -> size(filter(a, g -> {same})) < {limit})), 0)"
-
-    def item(h: Column) -> Column:
-        by_id = F.concat(F.lit("#"), F.get("nodes", h["id"] - 1).attrs["id"])
-        return F.struct(
-            F.lit(3).alias("strategy"), h["seq"].alias("seq"), h["field"].alias("field"),
-            F.when(h["by_id"], by_id).otherwise(node_selector(h["id"])).alias("selector"),
-            h["confidence"].alias("confidence"),
-            only(element_text(h), lambda t: t != "").alias("value"), h["why"].alias("reasoning"),
-        )
+    heard = F.expr(f"transform({marks}, (m, i) -> named_struct('id', m.id, 't0', m.t0, 't1', m.t1, 'place', i, {read}))")
+    telling = F.filter(heard, lambda m: F.size(m["cls"]) + F.size(m["name"]) + F.size(m["data"]) > 0)
+    shown = F.transform(telling, lambda m: F.struct(
+        *[m[c].alias(c) for c in ("place", "cls", "name", "data")], node_selector(m["id"]).alias("selector"),
+        F.concat(F.lit("#"), F.get("nodes", m["id"] - 1).attrs["id"]).alias("by_id"), only(element_text(m), lambda t: t != "").alias("value"),
+    ))
 
-    found = F.expr(f"get(transform(array({marks}), marks -> get(transform(array(array({listed})), dictionary -> {hits}), 0)), 0)")
-    return F.transform(found, item).cast(_ITEM)
+    def items(m: Column, j: int) -> Column:
+        kind, score, col = kinds[j]
+
+        def item(k: Column) -> Column:
+            d = F.get(F.expr(f"array({listed})"), k)
+            seq = m["place"] + (d["at"] * 3 + j) * F.lit(4294967296)
+            why = F.concat(F.lit("Keyword '"), d["word"], F.lit(f"' found in {kind}"))
+            return _item(3, seq, d["field"], m["by_id" if kind == "ID" else "selector"], score, m["value"], why)
+
+        return F.transform(m[col], item)
+
+    hits = F.flatten(F.transform(shown, lambda m: F.concat(*[items(m, j) for j in range(len(kinds))])))
+    if limit is not None:  # the first of each field, keyword and kind: places rise with the elements
+        same = lambda g, h: (g["field"] == h["field"]) & (g["seq"] < h["seq"]) & (F.shiftright(g["seq"], 32) == F.shiftright(h["seq"], 32))
+        hits = let(hits, lambda a: F.filter(a, lambda h: F.size(F.filter(a, lambda g: same(g, h))) < limit))
+    return hits.cast(_ITEM)
 
 
 def with_tested(dom: DataFrame, selectors: str) -> DataFrame:
