@@ -1,8 +1,8 @@
 """Selector suggestions: where on a page the values of known fields seem to live.
 
 Candidates come from text patterns, model answers and attribute keywords, and are ranked inside the
-page row with array functions.  Page bodies and trees stay where they are: a model's answers meet the
-page's strings and their selectors only, joined on ``page_id``.
+page row with array functions.  Trees, candidates and ranks never move: a model's answers meet the page
+on ``page_id`` before its tree is built.
 """
 
 from __future__ import annotations
@@ -49,19 +49,19 @@ def by_pattern(field: str, pattern: str) -> Column:
 
 
 def located() -> Column:
-    """Strings of the page that say something, with the selectors of their elements."""
+    """Strings of the page that say something, with the elements that own them."""
     said = F.filter(F.col("texts"), lambda t: strip(t["text"]) != "")
-    return F.transform(said, lambda t: F.struct(F.lower(t["text"]).alias("text"), node_selector(t["owner"]).alias("selector")))
+    return F.transform(said, lambda t: F.struct(F.lower(t["text"]).alias("text"), t["owner"].alias("owner")))
 
 
 def by_model(answers: Column, strings: Column, limit: int | None = None) -> Column:
     """Strings (``located``) holding each value a model gave (array of struct field, value); ``limit`` per value."""
 
     def locate(a: Column) -> Column:
-        hits = F.filter(strings, lambda t: F.contains(t["text"], F.lower(a["value"])))
+        hits = let(F.lower(a["value"]), lambda v: F.filter(strings, lambda t: F.contains(t["text"], v)))
         return F.transform(
             hits if limit is None else F.slice(hits, 1, limit),
-            lambda t, i: _item(2, i, a["field"], t["selector"], 0.9, a["value"],
+            lambda t, i: _item(2, i, a["field"], node_selector(t["owner"]), 0.9, a["value"],
                                F.concat(F.lit("AI identified this value: "), a["value"])),
         )
 
@@ -152,28 +152,37 @@ def with_tested(dom: DataFrame, selectors: str) -> DataFrame:
     return swept.withColumn("tested", F.map_from_arrays(selectors, F.transform("swept", result))).drop("swept", "steps")
 
 
+def with_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pages with ``given``: the (field, value) entries of their model answers, null where there is none.
+
+    To be joined before ``with_dom``: a body is smaller than its tree and candidates, and pages dealt or
+    bucketed by ``page_id`` do not move at all.
+    """
+    given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
+    return pages.join(given, "page_id", "left")
+
+
 def candidates(dom: DataFrame, fields: list[str] | None = None, answers: DataFrame | None = None, check: bool = False) -> DataFrame:
     """All candidates of each page: (page_id, found array), with ``check`` a map of what their selectors find.
 
-    ``answers`` (parsed model answers) are joined to slim rows of candidates and located strings; keep
-    both tables bucketed by ``page_id`` to make that join local.
+    Model answers come with the page (``with_answers``), or as ``answers`` (parsed ones), which moves the
+    pages' trees.  Everything else stays in the page row.  A column ``weak`` passes through.
     """
+    if answers is not None:
+        dom = with_answers(dom, answers)
     wanted = [d for d in FIELD_DICTIONARY if fields is None or d[0] in fields]
     parts = [by_pattern(name, p) for name, _, _, p, _ in wanted if p]
     parts.append(by_keyword([(name, words) for name, _, _, _, words in wanted]))
-    slim = dom.select("page_id", "nodes", "texts", F.concat(*parts).alias("found"))
-    if answers is not None:
-        slim = slim.withColumn("strings", located())
+    if "given" in dom.columns:
+        asked = F.filter("given", lambda a: a["field"].isin([d[0] for d in wanted]))
+        parts.append(let(located(), lambda strings: by_model(asked, strings)))
+    keep = ["page_id", *[c for c in ("weak",) if c in dom.columns]]
+    # a generated column: its parts are made once, whatever is asked of them
+    slim = dom.select(*keep, "nodes", "texts", F.explode(F.array(F.concat(*parts))).alias("found"))
     if check:
-        selectors = F.col("found.selector") if answers is None else F.concat("found.selector", "strings.selector")
-        slim = with_tested(slim.withColumn("selectors", F.array_distinct(F.array_compact(selectors))), "selectors").drop("selectors")
-    slim = slim.drop("nodes", "texts")
-    if answers is None:
-        return slim
-    given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
-    asked = F.filter("given", lambda a: a["field"].isin([d[0] for d in wanted]))
-    joined = slim.join(given, "page_id", "left").withColumn("found", F.concat("found", by_model(asked, F.col("strings"))))
-    return joined.drop("strings", "given")
+        selectors = F.array_distinct(F.array_compact(F.col("found.selector")))
+        slim = with_tested(slim.withColumn("selectors", selectors), "selectors").drop("selectors")
+    return slim.drop("nodes", "texts")
 
 
 def candidate_rows(found: DataFrame) -> DataFrame:
@@ -235,8 +244,9 @@ def for_urls(urls: DataFrame, pages: DataFrame, source: PageIndex | DataFrame, a
     found are read.  A URL without a page fails with the reason and has no suggestions.
     """
     found = fetch_urls(urls, source).select("url", "page_id", F.col("error").alias("fetch_error"))
-    dom = with_dom(keep_wanted(pages, found, "page_id"))
-    ranked = rank(candidates(dom, fields, answers, check=True))
+    wanted = keep_wanted(pages, found, "page_id")
+    dom = with_dom(wanted if answers is None else with_answers(wanted, answers))
+    ranked = rank(candidates(dom, fields, check=True))
     share = suggest_coverage(ranked, len(FIELD_DICTIONARY if fields is None else fields)).select("page_id", "coverage")
     rows = found.join(ranked, "page_id", "left").join(share, "page_id", "left")
     return rows.select(
@@ -246,17 +256,30 @@ def for_urls(urls: DataFrame, pages: DataFrame, source: PageIndex | DataFrame, a
     )
 
 
-def improvements(ranked: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """Suggestions for fields that are missing or clearly different, with what is wrong now."""
-    weak = comparisons.where(
-        F.col("difference_type").isin("missing", "different") & (F.col("similarity") < 0.7)
-    ).select("page_id", "field", "suggestion")
-    return ranked.join(weak, ["page_id", "field"]).select(
-        "page_id", "field", "rank",
-        F.coalesce("suggestion", F.lit("Field needs improvement")).alias("current_issue"),
-        F.col("selector").alias("suggested_selector"), F.lit("css").alias("selector_type"),
-        "confidence", "reasoning", F.col("value").alias("extracted_preview"),
-    )
+def with_weak(pages: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """Pages that have fields which are missing or clearly different, with ``weak``: these (field, suggestion).
+
+    To be joined before ``with_dom``, as answers are: candidates and ranks then stay in their page row.
+    """
+    weak = comparisons.where(F.col("difference_type").isin("missing", "different") & (F.col("similarity") < 0.7))
+    return pages.join(weak.groupBy("page_id").agg(F.collect_list(F.struct("field", "suggestion")).alias("weak")), "page_id")
+
+
+def improvements(ranked: DataFrame) -> DataFrame:
+    """Suggestions for the ``weak`` fields of ranked pages, with what is wrong now."""
+
+    def better(w: Column) -> Column:
+        return F.transform(
+            F.filter("ranked", lambda x: x["field"] == w["field"]),
+            lambda x: F.struct(
+                x["field"].alias("field"), x["rank"].alias("rank"),
+                F.coalesce(w["suggestion"], F.lit("Field needs improvement")).alias("current_issue"),
+                x["selector"].alias("suggested_selector"), F.lit("css").alias("selector_type"),
+                x["confidence"].alias("confidence"), x["reasoning"].alias("reasoning"), x["value"].alias("extracted_preview"),
+            ),
+        )
+
+    return ranked.select("page_id", F.inline_outer(F.flatten(F.transform("weak", better)))).where("field IS NOT NULL")
 
 
 def field_dictionary(spark: SparkSession) -> DataFrame:

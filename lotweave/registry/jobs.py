@@ -349,14 +349,18 @@ def suggest_keyword(spark, sf):
     return rows.select("page_id", "c.field", "c.selector", "c.value", "c.confidence", "c.reasoning")
 
 
+def answered_pages(spark, sf):
+    return suggest.with_answers(C.listing_pages(spark, sf), answers(spark, sf))
+
+
 @query("suggest_model", truth("SELECT page_id, field, selector, value FROM by_model", **_SUGGEST))
 def suggest_model(spark, sf):
-    rows = suggest.candidate_rows(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf)))
+    rows = suggest.candidate_rows(suggest.candidates(with_dom(answered_pages(spark, sf))))
     return rows.where("strategy = 2").select("page_id", "field", "selector", "value")
 
 
 def ranked(spark, sf, check=False):
-    return suggest.rank(suggest.candidates(with_dom(C.listing_pages(spark, sf)), answers=answers(spark, sf), check=check))
+    return suggest.rank(suggest.candidates(with_dom(answered_pages(spark, sf)), check=check))
 
 
 @query("suggest_rank", truth("SELECT page_id, field, rank, selector, confidence FROM ranked", **_SUGGEST))
@@ -387,7 +391,8 @@ def suggest_coverage(spark, sf):
     ELSE 'Values differ - Mapping: ''' || mv || ''' vs AI: ''' || av || '''' END AS suggestion FROM k WHERE kind IN ('missing', 'different') AND similarity < 0.7) w
   ON w.page_id = r.page_id AND w.field = r.field""", **_COMPARE, **{n: x for n, x in _SUGGEST.items() if n != "ans"}))
 def improvements(spark, sf):
-    return suggest.improvements(suggest.ranked_rows(ranked(spark, sf)), comparisons(spark, sf))
+    weak = suggest.with_weak(answered_pages(spark, sf), comparisons(spark, sf))
+    return suggest.improvements(suggest.rank(suggest.candidates(with_dom(weak))))
 
 
 @query("suggest_url", truth(f"""SELECT DISTINCT v AS url, CASE WHEN ok THEN listing_id END AS page_id, ok AS success,
