@@ -12,8 +12,8 @@ entity has one surrogate in the whole corpus (coreference), two entities never s
 surrogate is computed in the row that holds it.  A check over the distinct entities of the corpus looks
 for surrogates that are other entities of it, and for shared ones, which only letters of scripts
 without an alphabet here or impossible check digits can make; these few exceptions get another
-permutation.  Where entities fill their shape (short names, short numbers) there may be no other string
-left: such a surrogate stays, distinct from all other surrogates.
+permutation.  Shapes of few strings (short names, short numbers) may be full, with no other string left:
+there a surrogate that is an entity stays, distinct from all other surrogates.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from lotweave.llm.common import stored
 KEY = "surrogates-1"  # the secret that surrogates are derived with: a parameter of every call
 ROUNDS = 4  # of the Feistel network
 TRIES = 3  # further permutations that an exception may get
-SPARSE = 1000  # strings of a shape per entity from which on surrogates may be no entity of the corpus
+ROOM = 10_000  # strings of a shape, whoever shares it, above which surrogates may be no entity of the corpus
 
 # -- fixed values: titles, by the gender that they tell ------------------------------------------------
 MALE_TITLES = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "господин")
@@ -234,11 +234,6 @@ def signs_of(kind: Column, entity: Column, letters: Column) -> Column:
     return F.when(kind == "ip", octets).when(kind == "name", F.transform(letters, name)).otherwise(F.transform(letters, other))
 
 
-def shape_of(signs: Column) -> Column:
-    """What signs have in common with those that may take their place: alphabets and fixed signs."""
-    return F.array_join(F.transform(signs, lambda s: F.when(s["of"] < 0, s["c"]).otherwise(F.concat(F.lit("<"), s["of"].cast("string"), F.lit(">")))), "")
-
-
 def permuted(signs: Column, kind: Column, attempt: Column, key: str) -> Column:
     """The signs moved by the keyed permutation of their shape that `attempt` numbers."""
 
@@ -374,22 +369,23 @@ def exceptions(found: DataFrame, key: str = KEY, tries: int = TRIES) -> DataFram
     """(kind, key, attempt) of the entities that get another permutation than the first.
 
     Those whose surrogate is another entity's too (the least key keeps it), or is itself an entity of
-    the corpus although its shape has SPARSE strings per entity: a small part of all.  A further try
-    counts if its surrogate is nobody else's and no entity; without one the first surrogate stays.
+    the corpus although its shape has more than ROOM strings: the shape alone decides, not how many
+    entities share it.  A further try counts if its surrogate is nobody else's and no entity; without
+    one the first surrogate stays.
     """
 
     def made(rows: DataFrame, attempt: int) -> DataFrame:
         one = F.array(F.struct("kind", "key", F.lit(attempt).alias("attempt")))
         spelt_ = with_surrogates(rows.select(one.alias("e")), "e", key).select(F.inline("e"))
         digits = F.aggregate("signs", F.lit(0.0), lambda sum_, s: sum_ + F.log10(s["wide"].cast("double")))
-        return spelt_.select("kind", "key", shape_of(F.col("signs")).alias("shape"), digits.alias("digits"), filled(F.col("key"), F.col("made")).alias("made"))
+        # sums of logarithms: the margin keeps a shape of just ROOM strings out
+        roomy = digits > F.log10(F.lit(ROOM)) + 1e-6
+        return spelt_.select("kind", "key", roomy.alias("roomy"), filled(F.col("key"), F.col("made")).alias("made"))
 
     first = stored(made(found, 0), "surrogates")
-    sparse = first.groupBy("kind", "shape").agg(F.count("*").alias("n"), F.max("digits").alias("digits"))
-    sparse = sparse.filter(F.col("digits") >= F.log10(F.col("n") * SPARSE)).select("kind", "shape")
     taken = first.groupBy("kind", "made").agg(F.min("key").alias("owner"), F.count("*").alias("n"))
     shared = first.join(taken.filter("n > 1"), ["kind", "made"]).filter("key != owner").select("kind", "key")
-    real = first.join(first.select("kind", F.col("key").alias("made")), ["kind", "made"], "left_semi").join(sparse, ["kind", "shape"], "left_semi")
+    real = first.where("roomy").join(first.select("kind", F.col("key").alias("made")), ["kind", "made"], "left_semi")
     open_ = stored(shared.union(real.select("kind", "key")).distinct(), "open")
     settled = None
     for attempt in range(1, tries + 1):
