@@ -119,13 +119,17 @@ def compare_fields(pairs: DataFrame) -> DataFrame:
     names = F.array_union(
         F.transform("mapping", lambda e: e["field"]), F.transform("model", lambda e: e["field"])
     )  # null, hence no rows, where the model failed
-    rows = pairs.withColumn("field", F.explode(names)).select(
+    # what belongs to the page is made before its fields become rows
+    paged = pairs.select(
+        "page_id", "mapping", "model", "tried", "mapping_confidence", "mapping_errors",
+        coverage(F.col("mapping")).alias("mapping_coverage"), coverage(F.col("model")).alias("model_coverage"),
+    )
+    rows = paged.withColumn("field", F.explode(names)).select(
         "page_id", "field",
         _value_of(F.col("mapping"), F.col("field")).alias("mapping_value"),
         _value_of(F.col("model"), F.col("field")).alias("model_value"),
         F.get(F.filter("tried", lambda t: t["field"] == F.col("field")), F.lit(0))["success"].alias("tried"),
-        "mapping_confidence", "mapping_errors",
-        coverage(F.col("mapping")).alias("mapping_coverage"), coverage(F.col("model")).alias("model_coverage"),
+        "mapping_confidence", "mapping_errors", "mapping_coverage", "model_coverage",
     )
     scored = with_similarity(rows, "mapping_value", "model_value")
     m, a = F.col("mapping_value"), F.col("model_value")

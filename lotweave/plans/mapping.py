@@ -91,7 +91,8 @@ def map_fields(ruled: DataFrame) -> DataFrame:
     ``fields_total`` counts every key of the mapping, metadata included.
     """
     keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules")]
-    mapped = with_swept(ruled).select(*keep, mapped_rules().alias("fields"))
+    # a generated column: tests of the fields stay above it, and no projection maps the page again
+    mapped = with_swept(ruled).select(*keep, F.explode(F.array(mapped_rules())).alias("fields"))
     n = F.size(F.filter("fields", lambda f: f["success"]))
     counted = mapped.select(
         "*",
@@ -268,7 +269,8 @@ def preview(ruled: DataFrame) -> DataFrame:
     A page of a site without rules has no fields and one error.
     """
     keep = [c for c in ruled.columns if c not in ("nodes", "texts", "rules", "parse_errors")]
-    rows = with_swept(ruled).select(*keep, F.when(F.col("rules").isNotNull(), previewed_rules()).alias("fields"))
+    shown = F.when(F.col("rules").isNotNull(), previewed_rules())
+    rows = with_swept(ruled).select(*keep, F.explode(F.array(shown)).alias("fields"))  # generated, as in map_fields
     lost = F.array(F.concat(F.lit("No mapping found for site: "), F.coalesce("site_id", F.lit(""))))
     n = F.coalesce(F.size(F.filter("fields", lambda f: f["success"])), F.lit(0))
     total = F.when(F.col("fields").isNull(), 0).otherwise(F.size("fields"))

@@ -9,6 +9,7 @@ from lotweave.functions.xpath import valid_xpaths
 from lotweave.operators.dom import with_dom
 from lotweave.operators.selectors import selector_ok
 from lotweave.plans import mapping, rollup
+from lotweave.session import written
 from lotweave.sources.pages import fetch_urls
 from lotweave.sources.rules import rule_rows
 
@@ -257,7 +258,8 @@ def test_schemas(tests: DataFrame, pages: DataFrame, rule_sets: DataFrame) -> Da
     """
     found = fetch_urls(tests, pages).select("url", "page_id", F.col("error").alias("fetch_error"))
     placed = tests.select("site_id", "url").distinct().join(found, "url", "left")
-    placed = placed.join(rule_sets.select("site_id", F.lit(True).alias("_known")), "site_id", "left")
+    known = rule_sets.select("site_id", F.lit(True).alias("_known"))
+    placed = written(placed.join(known, "site_id", "left"), "tests")  # read twice: URLs are looked up once
     asked = placed.where("page_id IS NOT NULL AND _known").select("page_id", "site_id")
     shown = mapping.preview(mapping.with_rules(with_dom(pages.select("page_id", "html").join(asked, "page_id")), rule_sets))
     results = shown.select("page_id", "site_id", "success", "successful_fields", "total_fields", "confidence", "errors")

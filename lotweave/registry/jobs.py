@@ -17,7 +17,7 @@ from lotweave.registry.extraction import (
 )
 from lotweave.registry.scalars import _REQUESTS, goal_sql
 from lotweave.sources import cases, pages as P
-from lotweave.session import checkpoint_dir
+from lotweave.session import checkpoint_dir, written
 from lotweave.sources.index import PageIndex, vin_pages as vin_pages_of
 from lotweave.sources.rules import rule_rows
 
@@ -276,7 +276,7 @@ _WEIGHT = "CASE field WHEN 'vin' THEN 3.0 WHEN 'price' THEN 2.5 WHEN 'year' THEN
   FROM listings l LEFT JOIN (SELECT page_id, sum(similarity * {_WEIGHT}) / sum({_WEIGHT}) AS similarity,
     count(*) FILTER (WHERE kind = 'match') AS matches, count(*) AS fields FROM k GROUP BY page_id) x ON x.page_id = l.listing_id""", **_COMPARE))
 def overall_similarity(spark, sf):
-    both = pairs(spark, sf)
+    both = written(pairs(spark, sf), "pairs")  # read twice: pages are mapped and answers parsed once
     return compare.page_results(both, compare.compare_fields(both)).select(
         "page_id", "success", F.round("overall_similarity", 9).alias("overall_similarity"), "matches", "fields", "error")
 

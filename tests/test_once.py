@@ -26,3 +26,20 @@ def test_a_mark_is_read_once_for_all_keywords(spark, pages):
     found = suggest.by_keyword([(d[0], d[4]) for d in FIELD_DICTIONARY])
     plan = plan_of(with_dom(pages("<p>x</p>")).select(found.alias("found")))
     assert not re.search(r"exists\(regexp_extract_all", plan)
+
+
+def test_a_page_is_mapped_once(spark):
+    for name in ("map_fields", "map_confidence", "preview_fields", "preview_summary", "compare_fields"):
+        assert plan_of(QUERIES[name](spark, SF)).count("ArrowEvalPython [_swept(") == 1, name
+
+
+def test_what_is_read_twice_is_made_once(spark):
+    assert "MapInArrow" not in plan_of(QUERIES["overall_similarity"](spark, SF))
+    assert plan_of(QUERIES["schema_results"](spark, SF)).count("RepartitionByExpression") == 1
+
+
+def test_candidates_stay_in_the_page_row(spark):
+    for name in ("suggest_rank", "suggest_all", "suggest_model"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        # nothing joins above the tree: answers meet the page below it
+        assert "Join" not in plan[: plan.index("MapInArrow")], name
