@@ -173,19 +173,44 @@ def _step(s: dict) -> tuple:
     return bool(s["child"]), (s["tag"], s["id"], tuple(s["classes"] or ()), attrs)
 
 
+def _joined(*codes: np.ndarray) -> np.ndarray:
+    """One number per row, equal where all its codes are; codes and numbers count from 0."""
+    out = codes[0]
+    for more in codes[1:]:
+        out = np.unique(out * (more.max(initial=0) + 1) + more, return_inverse=True)[1]
+    return out
+
+
+def _coded(values: pa.Array) -> np.ndarray:
+    """One number per value, equal where values are equal: strings, flags, lists and structs of them, and nulls."""
+    if pa.types.is_struct(values.type):
+        inner = _joined(*[_coded(c) for c in values.flatten()]) if values.type.num_fields else np.zeros(len(values), np.int64)
+    elif pa.types.is_list(values.type):
+        first, items = _offsets(values), _coded(values.flatten()) + 1
+        size = np.diff(first)
+        inner = np.zeros(len(values), np.int64)
+        for j in range(int(size.max(initial=0))):  # the next item of every list that has one, else 0
+            item = np.zeros(len(values), np.int64)
+            there = size > j
+            item[there] = items[first[:-1][there] + j]
+            inner = _joined(inner, item)
+    else:
+        return values.dictionary_encode().indices.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
+    null = values.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    return _joined(np.where(null, 0, inner), null)
+
+
 def _selectors(asked: pa.ListArray, ends: pa.ListArray) -> tuple[list[tuple | None], np.ndarray]:
-    """The distinct (steps, end) of a batch, and the number of each asked one among them."""
-    lists = asked.flatten()
-    kinds: dict[str, int] = {}
+    """The distinct (steps, end) of a batch, and the number of each asked one among them.
+
+    Selectors are told apart by numbers made column by column; only the distinct ones become Python values.
+    """
+    lists, last = asked.flatten(), ends.flatten()
+    _, places, numbers = np.unique(_joined(_coded(lists), _coded(last)), return_index=True, return_inverse=True)
     out: list[tuple | None] = []
-    numbers = np.empty(len(lists), np.int64)
-    for k, (steps, end) in enumerate(zip(lists, ends.flatten().to_pylist())):
-        text = (str(steps), end)
-        if text not in kinds:
-            kinds[text] = len(out)
-            plain = steps.as_py()
-            out.append((tuple(_step(s) for s in plain), end) if plain else None)
-        numbers[k] = kinds[text]
+    for at in places.tolist():
+        plain = lists[at].as_py()
+        out.append((tuple(_step(s) for s in plain), last[at].as_py()) if plain else None)
     return out, numbers
 
 

@@ -77,3 +77,40 @@ def test_fifty_thousand_elements_with_half_of_them_matching(spark, pages, shape)
     dom.unpersist()
     assert r["n0"] == n and r["n2"] == n and r["n1"] == (n if shape == "deep" else 0) and r["t"] == (0 if shape == "deep" else n)
     assert took < 30
+
+
+def test_selectors_are_told_apart_without_reading_each():
+    import pyarrow as pa
+
+    from lotweave.operators import sweep as S
+
+    attr = pa.struct([("name", pa.string()), ("op", pa.string()), ("value", pa.string())])
+    step = pa.struct([("child", pa.bool_()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.list_(attr))])
+
+    def one(tag=None, id=None, classes=(), attrs=(), child=False):
+        return {"child": child, "tag": tag, "id": id, "classes": list(classes), "attrs": [dict(zip(("name", "op", "value"), a)) for a in attrs]}
+
+    kinds = [
+        None, [], [one("a")], [one(id="a")], [one("a", child=True)], [one("a"), one("b")], [one("b"), one("a")], [one("a", classes=["x"])],
+        [one("a", classes=["x", "y"])], [one("a", classes=["y", "x"])], [one("a", classes=["x"]), one(classes=["y"])], [one("a"), one(classes=["x", "y"])],
+        [one(attrs=[("x", "=", "y")])], [one(attrs=[("x", "=", None)])], [one(attrs=[("x", "=", "")])], [one(attrs=[("y", "=", "x")])], [one("")],
+    ]
+    asked = pa.array([kinds, None, kinds[::-1], []], pa.list_(pa.list_(step)))
+    ends = pa.array([["element"] * len(kinds), None, ["element"] * 5 + ["text()"] + ["element"] * (len(kinds) - 6), []], pa.list_(pa.string()))
+    for lists, said in ((asked, ends), (asked.slice(1), ends.slice(1))):
+        selectors, numbers = S._selectors(lists, said)
+        want = [(tuple(S._step(s) for s in x), e) if x else None for p, q in zip(lists.to_pylist(), said.to_pylist()) for x, e in zip(p or (), q or ())]
+        assert [selectors[k] for k in numbers] == want
+        # one number each: null, empty, and steps that differ in anything at all
+        assert len(selectors) <= len(kinds) + 1
+
+    class Counted(list):
+        pass
+
+    many = pa.array([[[one("a")], [one("b", classes=["x"])]]] * 5000, pa.list_(pa.list_(step)))
+    read, real = Counted(), S._step
+    S._step = lambda s: read.append(1) or real(s)
+    try:
+        assert len(S._selectors(many, pa.array([["element"] * 2] * 5000))[0]) == 2 and len(read) == 2
+    finally:
+        S._step = real
