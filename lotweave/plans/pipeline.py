@@ -60,7 +60,7 @@ def first_parse(pages: DataFrame, registry: DataFrame, *keep: str) -> DataFrame:
     ).withColumn("weak", record.needs_model(F.col("confidence")))
 
 
-def answered_vehicles(answers: DataFrame, *keep: str) -> DataFrame:
+def answered_vehicles(answers: DataFrame, *keep: str | Column) -> DataFrame:
     """Parsed answers as vehicles.
 
     Failed answers stay as nulls: a filter would be pushed below their parsing and parse twice.
@@ -86,16 +86,35 @@ def settled(given: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def with_answers(first: DataFrame, answers: DataFrame) -> DataFrame:
+    """First parses with the answers of the weak ones, given as they came (response) or parsed (fields).
+
+    The weak flag is part of the join condition: only those rows look up an answer.  Answers as they
+    came are parsed behind the join, so that one nobody asks for costs a lookup key and no more.
+    """
+    asked = F.col("weak") & (F.col("page_id") == F.col("_page"))
+    if "response" in answers.columns:
+        met = first.withColumnRenamed("confidence", "_own").join(
+            answers.select(F.col("page_id").alias("_page"), "response"), asked, "left"
+        )
+        own = [F.col("_own").alias(c) if c == "confidence" else c for c in first.columns]
+        given = answered_vehicles(model.parse_answers(met), *own)
+    else:
+        given = first.join(answered_vehicles(answers), asked, "left")
+    return given.withColumn("has_ai", F.coalesce("_ok", F.lit(False)))
+
+
 def parse_pages(pages: DataFrame, registry: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Parse result per page: (page_id, url, domain, success, parser_used, confidence, error, vehicle)."""
+    """Parse result per page: (page_id, url, domain, success, parser_used, confidence, error, vehicle).
+
+    ``answers`` are a model's (page_id, response), best left unparsed, or what `model.parse_answers` made of them.
+    """
     first = first_parse(pages, registry)
     if answers is None:
         given = first.select("*", F.lit(None).cast("double").alias("ai_confidence"),
                              F.lit(None).cast(first.schema["generic"].dataType).alias("ai"), F.lit(False).alias("has_ai"))
     else:
-        # the weak flag is part of the join condition: only those rows look up an answer
-        given = first.join(answered_vehicles(answers), F.col("weak") & (F.col("page_id") == F.col("_page")), "left")
-        given = given.withColumn("has_ai", F.coalesce("_ok", F.lit(False)))
+        given = with_answers(first, answers)
     return settled(given)
 
 
@@ -153,11 +172,13 @@ def process(
 
     With an ``index`` of the pages no body is read to find them.
 
-    Candidates and parse results are written to the shared folder, since both are read more than
-    once: the corpus is searched once and a page parsed once.  The choice among a request's candidates
-    moves outcomes only; the vehicle of the one chosen page is joined afterwards.
+    Typed requests, candidates and parse results are written to the shared folder, since all are read
+    more than once: a request is typed once, the corpus is searched once and a page parsed once.  The
+    choice among a request's candidates moves outcomes only; the vehicle of the one chosen page is
+    joined afterwards.
     """
-    asked = typed_requests(requests)
+    # stored: filters on kind and error would else sink to the scan and type all requests in its few tasks, each time
+    asked = written(typed_requests(requests).select("request_id", "input_value", "input_type", "request_error"), "asked")
     tries = written(candidates(asked, index or pages, limit), "candidates")
     results = parse_pages(keep_wanted(pages, tries, "page_id"), registry, answers)
     parsed = written(results.select("page_id", "success", "parser_used", "confidence", "error", "vehicle"), "parsed")

@@ -506,7 +506,7 @@ _ROUTE_CTES = dict(r=_ROUTES, p=_PARSED)
 
 
 def parsed(spark, sf):
-    return pipeline.parse_pages(C.listing_pages(spark, sf), pipeline.parser_registry(spark), answers(spark, sf))
+    return pipeline.parse_pages(C.listing_pages(spark, sf), pipeline.parser_registry(spark), C.model_responses(spark, sf))
 
 
 @query("parse_pipeline", truth(f"""SELECT listing_id AS page_id, regexp_replace(host, '^www[.]', '') AS domain, good AS success, parser_used, conf AS confidence,
@@ -534,7 +534,7 @@ _SERVED = "(listing_id % 8 = 1 OR (listing_id % 8 IN (0, 2) AND vin IS NOT NULL)
 
 def traces(spark, sf):
     pages, registry = C.listing_pages(spark, sf), pipeline.parser_registry(spark)
-    return pipeline.process(C.requests(spark, sf), pages, registry, answers(spark, sf), index=indexed(spark, sf))
+    return pipeline.process(C.requests(spark, sf), pages, registry, C.model_responses(spark, sf), index=indexed(spark, sf))
 
 
 @query("pipeline_vin", truth(f"""SELECT listing_id AS request_id, {_TRACE_KIND} AS input_type,

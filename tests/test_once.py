@@ -4,7 +4,7 @@ import re
 
 from lotweave.constants import FIELD_DICTIONARY
 from lotweave.operators.dom import with_dom
-from lotweave.plans import suggest
+from lotweave.plans import model, pipeline, suggest
 from lotweave.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,30 @@ def test_candidates_stay_in_the_page_row(spark):
         plan = plan_of(QUERIES[name](spark, SF))
         # nothing joins above the tree: answers meet the page below it
         assert "Join" not in plan[: plan.index("MapInArrow")], name
+
+
+def test_an_answer_is_parsed_only_for_a_page_that_asks_for_it(spark):
+    for name in ("parse_pipeline", "corpus_yield"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        # above the join of answers with the weak pages, not below it for all answers
+        assert plan.count("parseJson") == 1 and plan.index("parseJson") < plan.index("Join LeftOuter"), name
+
+
+def test_a_request_is_typed_once(spark):
+    df = QUERIES["trace_output"](spark, SF)
+    assert any("/asked-" in f for f in df.inputFiles()) and "RLIKE" not in plan_of(df)
+
+
+def test_answers_as_they_came_give_what_parsed_ones_give(spark, pages):
+    strong = "<h1>2020 Kia Rio</h1><p>VIN: 1HGCM82633A004352</p><p>Price: $9,500</p>"
+    table = pages(strong, "<p>x</p>", "<p>y</p>", "<p>z</p>", "<p>q</p>", url="https://x.com/1")
+    answer = '{"make": "Kia", "model": "Rio", "year": 2020}'
+    rows = [(0, answer), (1, answer), (1, '{"make": "Seat"}'), (2, "Sorry"), (3, None), (None, answer), (9, answer)]
+    given = spark.createDataFrame(rows, "page_id long, response string")
+    registry = pipeline.parser_registry(spark)
+    raw, parsed = (pipeline.parse_pages(table, registry, a) for a in (given, model.parse_answers(given)))
+    assert raw.columns == parsed.columns
+    got = sorted(map(str, raw.collect()))
+    assert got == sorted(map(str, parsed.collect()))
+    assert sorted((r.page_id, r.success, r.vehicle and r.vehicle.make) for r in raw.collect() if r.page_id != 0 and r.page_id < 3) == [
+        (1, True, "Kia"), (1, True, "Seat"), (2, False, None)]
