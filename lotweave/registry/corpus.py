@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from lotweave.session import spread
 
 # Twenty listings per dealer, in order: every supplier is one, and there are twenty parts per supplier.
-LISTINGS = """
-SELECT p_partkey AS listing_id,
+_FIELDS = """p_partkey AS listing_id,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE substr(upper(md5(cast(p_partkey AS string))), 1, 17) END AS vin,
   cast(1985 + p_size AS int) AS year,
   replace(p_brand, '#', '') AS make,
@@ -30,10 +29,12 @@ SELECT p_partkey AS listing_id,
     ELSE concat('dealer', cast(p_partkey % 10 AS string), '.example.com') END AS host,
   CASE p_partkey % 3 WHEN 0 THEN 'No accident reported' WHEN 1 THEN '1 accident reported' END AS accident_text,
   p_partkey % 17 = 0 AS is_error_page
-FROM {part} JOIN (
+"""
+_JOINED = """FROM {part} JOIN (
   SELECT s_suppkey, s_name, n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
   ) d ON s_suppkey = cast(floor(p_partkey / 20) AS bigint)
 """
+LISTINGS = f"\nSELECT {_FIELDS}{_JOINED}"
 LISTINGS_SQL = LISTINGS.format(part="part", supplier="supplier", nation="nation")
 URL = "concat('https://', host, '/vehicledetail/', cast(listing_id AS string), '/')"
 
@@ -43,8 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = spark.sql(LISTINGS, **{name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")})
-    return spread(joined, "listing_id")  # the join itself: its slim rows may all come out of one task
+    names = "p_partkey, p_name, p_brand, p_type, p_size, s_name, n_name"
+    joined = spark.sql(f"SELECT {names} {_JOINED}", **{name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")})
+    # the join's slim rows may all come out of one task: they are dealt before anything is computed from them
+    return spark.sql(f"SELECT {_FIELDS}FROM {{joined}}", joined=spread(joined, "p_partkey"))
 
 
 def _tag(markup: str, value: str) -> str:

@@ -86,3 +86,26 @@ def test_rejected_declarations_lose_nothing_else(spark, pages):
     shown = [[t["text"] for t in r.texts if t["kind"] == "text"] for r in rows]
     assert shown[0] == ["a", "b"] and shown[1] == ["c"] and shown[2][0] == "d"
     assert [r.parse_errors for r in rows][:2] == [1, 0]
+
+
+def test_plain_tags_are_read_as_the_tokenizer_reads_them(monkeypatch):
+    plain = '<div id="a" class=""><p class="x y" title="1 > 2">t &amp; u<br></p><li class="a" class="b">v</li></div>'
+    odd = [
+        "<P>a</P >", '<b a="1"b="2">', "<td a=1 b>x", '<a href="x&amp;y">z</a x>', "<br/><i/>", '<p a="<b>">q</p>', "a < b", "</>x", "<p a='1'>", '<p a="',
+        '<script>a<b c="d">e</p></script>f', "<title>a<b>c</b></title>", "<textarea><p>x</textarea>", "<style>p</div></style>", "<svg><title>x</title></svg>", "<é>x", "<p\x00>",
+    ]
+    pages = [plain, *odd, *[plain + o + plain for o in odd], *[plain[:n] for n in range(len(plain))]]
+
+    def rows(reader):
+        made = reader()
+        for page in pages:
+            made.add_page(page)
+        return [a.to_pylist() for a in made.arrays()], made.errors
+
+    class Tokenizer(_Rows):
+        parse_starttag, parse_endtag, updatepos = HTMLParser.parse_starttag, HTMLParser.parse_endtag, HTMLParser.updatepos
+
+    assert rows(_Rows) == rows(Tokenizer)
+    monkeypatch.setattr(HTMLParser, "parse_starttag", None)
+    monkeypatch.setattr(HTMLParser, "parse_endtag", None)
+    _Rows().add_page(plain)  # reads no tag of these itself

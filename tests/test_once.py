@@ -6,6 +6,7 @@ from lotweave.constants import FIELD_DICTIONARY
 from lotweave.operators.dom import with_dom
 from lotweave.plans import model, pipeline, suggest
 from lotweave.registry import QUERIES
+from lotweave.registry.corpus import listings
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,9 @@ def test_answers_as_they_came_give_what_parsed_ones_give(spark, pages):
     assert got == sorted(map(str, parsed.collect()))
     assert sorted((r.page_id, r.success, r.vehicle and r.vehicle.make) for r in raw.collect() if r.page_id != 0 and r.page_id < 3) == [
         (1, True, "Kia"), (1, True, "Seat"), (2, False, None)]
+
+
+def test_listings_are_dealt_before_they_are_computed(spark):
+    plan = plan_of(listings(spark, SF))
+    assert plan.index("md5") < plan.index("RepartitionByExpression") < plan.index("Join")
+    assert plan_of(listings(spark, SF)).count("md5") == 1
