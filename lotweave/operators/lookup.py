@@ -1,4 +1,4 @@
-"""Joins of page-sized rows with a smaller side: sizes are left to the planner, skew is the caller's to name."""
+"""Joins of page-sized rows: sizes of a smaller side are left to the planner, skew is the caller's to name."""
 
 from __future__ import annotations
 
@@ -23,6 +23,16 @@ def lookup_join(
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
+def page_join(pages: DataFrame, rows: DataFrame, how: str = "left") -> DataFrame:
+    """Join of two sides that both grow with the pages, on ``page_id``: neither is ever broadcast.
+
+    The planner takes a text for 20 bytes and an array for one item, and does not count what a generated
+    column adds, so a side of a gigabyte may seem to be under the broadcast threshold; all of it would then
+    pass through the driver.  Sides dealt by ``page_id`` alike do not move.
+    """
+    return pages.join(rows.hint("merge"), "page_id", how)
+
+
 def keep_wanted(big: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     """Rows of ``big`` whose key is wanted: a semi join on the distinct keys.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lotweave.constants import CRITICAL_FIELDS, EXPECTED_FIELDS, FIELD_ORDER, SIMILARITY_WEIGHTS
 from lotweave.functions.similarity import text_ratio
+from lotweave.operators.lookup import page_join
 from lotweave.operators.selectors import let, strip
 from lotweave.plans.model import as_results
 
@@ -107,7 +108,7 @@ def pair_up(previews: DataFrame, answers: DataFrame) -> DataFrame:
         F.col("confidence").alias("mapping_confidence"), F.size("errors").alias("mapping_errors"),
     )
     right = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("model"), F.col("error").alias("model_error"))
-    return left.join(right, "page_id", "left")
+    return page_join(left, right)
 
 
 def _value_of(found: Column, field: Column) -> Column:

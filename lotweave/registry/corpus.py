@@ -45,7 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = "p_partkey, p_name, p_brand, p_type, p_size, s_name, n_name"
-    joined = spark.sql(f"SELECT {names} {_JOINED}", **{name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")})
+    # both sides grow with the corpus, and a table's packed files say little about its rows: neither side is broadcast
+    joined = spark.sql(f"SELECT /*+ MERGE(d) */ {names} {_JOINED}", **{name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")})
     # the join's slim rows may all come out of one task: they are dealt before anything is computed from them
     return spark.sql(f"SELECT {_FIELDS}FROM {{joined}}", joined=spread(joined, "p_partkey"))
 
