@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lotweave.constants import FIELD_DICTIONARY
 from lotweave.operators.dom import with_dom
-from lotweave.operators.lookup import keep_wanted
+from lotweave.operators.lookup import keep_wanted, page_join
 from lotweave.operators.selectors import compile_steps, element_text, let, literal, node_selector, only, strip
 from lotweave.operators.sweep import sweep
 from lotweave.plans.compare import entries
@@ -159,7 +159,7 @@ def with_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
     bucketed by ``page_id`` do not move at all.
     """
     given = answers.select("page_id", F.when(F.col("success"), entries(as_results())).alias("given"))
-    return pages.join(given, "page_id", "left")
+    return page_join(pages, given)
 
 
 def candidates(dom: DataFrame, fields: list[str] | None = None, answers: DataFrame | None = None, check: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lotweave.plans import compare, model
+from lotweave.plans import compare, model, suggest
 from lotweave.registry.corpus import listings
 
 BROADCAST = re.compile(r"BroadcastHashJoin \[(?:page_id|FLOOR)")
@@ -41,3 +41,10 @@ def test_answers_are_not_broadcast_to_compared_pages(spark):
     got = [(r.page_id, r.mapping and len(r.mapping), r.model and r.model[0].value, r.mapping_error, r.model_error) for r in rows]
     assert sorted(got, key=str) == [(0, 1, "v", None, None), (0, 1, "w", None, None), (1, None, None, "lost", None), (2, 1, None, None, model.PARSE_ERROR)]
     assert not BROADCAST.search(plan)
+
+
+def test_answers_are_not_broadcast_to_pages(spark, pages):
+    rows, plan = ran(suggest.with_answers(pages("a", "b", "c"), said(spark)))
+    got = [(r.page_id, r.html, r.given and r.given[0].value) for r in rows]
+    assert sorted(got, key=str) == [(0, "a", "v"), (0, "a", "w"), (1, "b", None), (2, "c", None)]
+    assert not BROADCAST.search(plan)
