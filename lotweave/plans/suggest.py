@@ -262,7 +262,7 @@ def with_weak(pages: DataFrame, comparisons: DataFrame) -> DataFrame:
     To be joined before ``with_dom``, as answers are: candidates and ranks then stay in their page row.
     """
     weak = comparisons.where(F.col("difference_type").isin("missing", "different") & (F.col("similarity") < 0.7))
-    return pages.join(weak.groupBy("page_id").agg(F.collect_list(F.struct("field", "suggestion")).alias("weak")), "page_id")
+    return page_join(pages, weak.groupBy("page_id").agg(F.collect_list(F.struct("field", "suggestion")).alias("weak")), "inner")
 
 
 def improvements(ranked: DataFrame) -> DataFrame:

@@ -48,3 +48,11 @@ def test_answers_are_not_broadcast_to_pages(spark, pages):
     got = [(r.page_id, r.html, r.given and r.given[0].value) for r in rows]
     assert sorted(got, key=str) == [(0, "a", "v"), (0, "a", "w"), (1, "b", None), (2, "c", None)]
     assert not BROADCAST.search(plan)
+
+
+def test_neither_pages_nor_weak_fields_are_broadcast(spark, pages):
+    rows = [(0, "vin", "missing", 0.0, "s"), (0, "price", "different", 0.5, None), (0, "make", "match", 1.0, None), (1, "year", "different", 0.8, "t"), (5, "vin", "missing", 0.0, "u")]
+    judged = spark.createDataFrame(rows, "page_id long, field string, difference_type string, similarity double, suggestion string")
+    rows, plan = ran(suggest.with_weak(pages("a", "b", "c"), judged))
+    assert [(r.page_id, r.html, sorted(w.field for w in r.weak)) for r in rows] == [(0, "a", ["price", "vin"])]
+    assert not BROADCAST.search(plan)
