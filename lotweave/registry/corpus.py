@@ -34,6 +34,11 @@ _JOINED = """FROM {part} JOIN (
   SELECT s_suppkey, s_name, n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
   ) d ON s_suppkey = cast(floor(p_partkey / 20) AS bigint)
 """
+# The same join with its keys named: a supplier is a dealer's site, as in the configs.
+_MET = """FROM (SELECT *, p_partkey AS listing_id, cast(floor(p_partkey / 20) AS bigint) AS site_id FROM {part}) p JOIN (
+  SELECT s_suppkey AS site_id, s_name, n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+  ) d ON p.site_id = d.site_id
+"""
 LISTINGS = f"\nSELECT {_FIELDS}{_JOINED}"
 LISTINGS_SQL = LISTINGS.format(part="part", supplier="supplier", nation="nation")
 URL = "concat('https://', host, '/vehicledetail/', cast(listing_id AS string), '/')"
@@ -44,11 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = "p_partkey, p_name, p_brand, p_type, p_size, s_name, n_name"
     # both sides grow with the corpus, and a table's packed files say little about its rows: neither side is broadcast
-    joined = spark.sql(f"SELECT /*+ MERGE(d) */ {names} {_JOINED}", **{name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")})
+    tables = {name: table(spark, sf_dir, name) for name in ("part", "supplier", "nation")}
+    joined = spark.sql(f"SELECT /*+ MERGE(d) */ listing_id, p_name, p_brand, p_type, p_size, s_name, n_name {_MET}", **tables)
     # the join's slim rows may all come out of one task: they are dealt before anything is computed from them
-    return spark.sql(f"SELECT {_FIELDS}FROM {{joined}}", joined=spread(joined, "p_partkey"))
+    fields = _FIELDS.replace("p_partkey AS listing_id", "listing_id").replace("p_partkey", "listing_id")
+    return spark.sql(f"SELECT {fields}FROM {{joined}}", joined=spread(joined, "listing_id"))
 
 
 def _tag(markup: str, value: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotweave.plans import compare, model, suggest
 from lotweave.registry.corpus import listings
 
-BROADCAST = re.compile(r"BroadcastHashJoin \[(?:page_id|FLOOR)")
+BROADCAST = re.compile(r"BroadcastHashJoin \[(?:page_id|site_id|FLOOR)")
 
 
 def ran(df):
