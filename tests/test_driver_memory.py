@@ -1,12 +1,16 @@
 """What grows with the corpus never passes through the driver, however few bytes the planner takes it for."""
 
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotweave.plans import compare, model, suggest
+from lotweave.registry import QUERIES
 from lotweave.registry.corpus import listings
 
+SF = "/root/testdata/sf0.001"
 BROADCAST = re.compile(r"BroadcastHashJoin \[(?:page_id|site_id|FLOOR)")
 
 
@@ -56,3 +60,14 @@ def test_neither_pages_nor_weak_fields_are_broadcast(spark, pages):
     rows, plan = ran(suggest.with_weak(pages("a", "b", "c"), judged))
     assert [(r.page_id, r.html, sorted(w.field for w in r.weak)) for r in rows] == [(0, "a", ["price", "vin"])]
     assert not BROADCAST.search(plan)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+@pytest.mark.parametrize("name", [
+    "compare_fields", "field_union", "coverage", "improvements", "suggest_all", "recommendations", "suggest_coverage", "suggest_model",
+    "suggest_rank", "suggest_validate"])
+def test_sizes_choose_no_join_of_pages(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.splitlines() if re.search(r"Join \w+, .*\bpage_id#\d+L? = page_id#", line)]
+    assert met and all("strategy=merge" in line for line in met)
+    assert plan.count("strategy=merge") == len(met) + plan.count("RepartitionByExpression [listing_id")
